@@ -113,7 +113,7 @@ def elimination_curve(
         _eliminate(train, width, sizes, max_depth, seed, visit)
         return got
 
-    folds = run_all([lambda f=f: one_fold(f) for f in range(k)], parallelism)
+    folds = run_all(design.sparkSession, [lambda f=f: one_fold(f) for f in range(k)], parallelism)
     return {n: [got[n] for got in folds] for n in sizes}
 
 
