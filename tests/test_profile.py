@@ -1,0 +1,80 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flowsieve.operators import features, profile
+
+
+def test_constant_columns(spark):
+    df = spark.createDataFrame(
+        [(1, None, 1.0, "a", 1), (2, None, 1.0, "a", None)], "v int, empty double, same double, text string, partial int"
+    )
+    got = {r.column_name: (r.n_values, r.is_constant) for r in profile.constant_columns(df).collect()}
+    assert got == {"v": (2, 0), "empty": (0, 1), "same": (2, 1), "text": (2, 1), "partial": (1, 1)}
+    assert profile.drop_constant(df, keep=("text",)).columns == ["v", "text"]
+
+
+def related(spark):
+    return spark.range(500).select(
+        F.col("id").cast("double").alias("a"),
+        (F.col("id") * 3.0).alias("same"),
+        (-F.col("id") + F.sin("id")).alias("mirror"),
+        F.cos("id").alias("free"),
+        (F.col("id") > 250).cast("double").alias("label"),
+    )
+
+
+def test_correlation_equals_numpy(spark):
+    df = related(spark)
+    r = profile.correlation(df, df.columns)
+    expected = np.corrcoef(np.array(df.collect()).T)
+    got = np.array([[r[a, b] for b in df.columns] for a in df.columns])
+    assert np.allclose(got, expected)
+
+
+def test_pruning_keeps_one_of_each_bundle(spark):
+    gone = profile.corr_prune(related(spark), ["a", "same", "mirror", "free"], "label")
+    assert len(gone) == 2 and "free" not in gone
+
+
+def test_pruning_rule():
+    r = {}
+
+    def put(a, b, v):
+        r[a, b] = r[b, a] = v
+
+    names = ["p", "q", "s"]
+    for n in names:
+        put(n, n, 1.0)
+    put("p", "q", 0.99), put("p", "s", -0.97), put("q", "s", 0.96)
+    put("p", "y", 0.3), put("q", "y", -0.5), put("s", "y", 0.5)
+    # p,q strongest: p is weaker; p,s is settled; q,s tie: the later goes
+    assert profile.redundant(r, names, "y", 0.95) == ["p", "s"]
+    put("s", "y", math.nan)
+    assert profile.redundant(r, names, "y", 0.98) == ["p"]
+
+
+def test_correlation_refuses_gaps(spark):
+    df = related(spark).withColumn("a", F.when(F.col("a") > 3, F.col("a")))
+    with pytest.raises(Exception):
+        profile.correlation(df, ["a", "free"])
+
+
+def test_scaling(spark):
+    df = spark.createDataFrame([(1.0, 5.0, 1), (3.0, 5.0, 2), (8.0, 5.0, 3)], "x double, flat double, k int")
+    std = features.scale_std(df, ["x", "flat"]).orderBy("k").collect()
+    assert np.allclose([r.x for r in std], np.array([1, 3, 8]) / np.std([1, 3, 8], ddof=1))
+    assert [r.flat for r in std] == [0.0, 0.0, 0.0]
+    mid = features.scale_centred(df, ["x", "flat"]).orderBy("k").collect()
+    assert np.allclose([r.x for r in mid], (np.array([1, 3, 8]) - 4) / np.std([1, 3, 8]))
+    assert [r.flat for r in mid] == [0.0, 0.0, 0.0]
+    assert [r.k for r in mid] == [1, 2, 3]
+
+
+def test_assembling_dotted_names_after_normalising(spark):
+    from flowsieve.functions.names import normalise_names
+
+    df = normalise_names(spark.createDataFrame([(1.0, 2.0)], "`a.b.` double, c double"))
+    assert list(features.assemble(df, ["a_b_", "c"]).first().features) == [1.0, 2.0]
