@@ -385,16 +385,14 @@ def fit_mlp(spark, d):
 
 def grid_search(spark, d):
     design, width = _design(spark, d, k=3, seed=1, fold="inner_fold")
-    out = []
-    for spec in small_models():
-        out += tuning.grid_search(design, spec, width=width, k=3, parallelism=3).rows()
-    return spark.createDataFrame(out, tuning.SEARCH_COLUMNS)
+    found = tuning.grid_search(design, small_models(), width=width, k=3, parallelism=4)
+    return spark.createDataFrame([row for search in found for row in search.rows()], tuning.SEARCH_COLUMNS)
 
 
 def nested_cv(spark, d):
     design, width = _design(spark, d, k=3, seed=1, fold="fold")
     done = tuning.nested_cv(
-        design, small_models(), width=width, key=["vec_id"], k_outer=3, k_inner=3, parallelism=3
+        design, small_models(), width=width, key=["vec_id"], k_outer=3, k_inner=2, parallelism=4
     )
     return done.metrics
 

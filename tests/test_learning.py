@@ -54,7 +54,7 @@ def test_elimination_rules():
 
 def test_grid_search_and_ties(design):
     spec = models.logistic([20, 50], max_iter=10)
-    found = tuning.grid_search(design, spec, width=4, fold="fold", k=3, parallelism=3)
+    found = tuning.grid_search(design, [spec], width=4, fold="fold", k=3, parallelism=3)[0]
     assert found.mean_scores == [1.0, 1.0] and found.best == 0
     assert [r[-1] for r in found.rows()] == [1, 0]
     assert all(s > 0 for per_fold in found.seconds for s in per_fold)
