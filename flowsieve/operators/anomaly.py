@@ -7,6 +7,7 @@ score. Training rows number at most trees x sample size, whatever the size of th
 from __future__ import annotations
 
 import math
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,9 +24,9 @@ from flowsieve.session import materialise, ship_package
 EULER_GAMMA = 0.5772156649015329
 POOL_FACTOR = 4
 
-NODE_SCHEMA = (
-    "grp string, tree int, node int, feature int, threshold double, `left` int, `right` int, depth double"
-)
+NODE_FIELDS = ["feature", "threshold", "child", "depth"]
+NODE_SCHEMA = "grp string, tree int, node int, feature int, threshold double, child int, depth double"
+SCORE_ROWS = 1024  # rows scored at a time: keeps the working arrays in cache
 
 
 def average_path(n: int) -> float:
@@ -38,19 +39,15 @@ def average_path(n: int) -> float:
 
 
 def grow_tree(x: np.ndarray, rng: np.random.Generator, features: np.ndarray, limit: int) -> list[tuple]:
-    """Nodes (feature, threshold, left, right, depth) of one isolation tree.
+    """Nodes (feature, threshold, child, depth) of one isolation tree, breadth first.
 
-    A leaf points to itself, and its depth includes the expected depth below it.
+    Values above the threshold go to ``child + 1``, others to ``child``. A leaf is its own
+    child behind an infinite threshold; its depth includes the expected depth below it.
     """
-    nodes: list[tuple] = []
-    todo = [(np.arange(len(x)), 0, -1, 0)]
+    nodes: list[tuple] = [()]
+    todo = deque([(0, np.arange(len(x)), 0)])
     while todo:
-        rows, depth, parent, side = todo.pop()
-        me = len(nodes)
-        if parent >= 0:
-            f, t, *ends, d = nodes[parent]
-            ends[side] = me
-            nodes[parent] = (f, t, *ends, d)
+        me, rows, depth = todo.popleft()
         split = None
         if depth < limit and len(rows) > 1:
             for f in rng.permutation(features):
@@ -59,12 +56,14 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, features: np.ndarray, lim
                     split = (int(f), float(min(rng.uniform(low, high), np.nextafter(high, low))))
                     break
         if split is None:
-            nodes.append((0, 0.0, me, me, depth + average_path(len(rows))))
+            nodes[me] = (0, math.inf, me, depth + average_path(len(rows)))
             continue
-        nodes.append((*split, me, me, float(depth)))
-        goes_left = x[rows, split[0]] <= split[1]
-        todo.append((rows[~goes_left], depth + 1, me, 1))
-        todo.append((rows[goes_left], depth + 1, me, 0))
+        child = len(nodes)
+        nodes[me] = (*split, child, float(depth))
+        nodes += [(), ()]
+        above = x[rows, split[0]] > split[1]
+        todo.append((child, rows[~above], depth + 1))
+        todo.append((child + 1, rows[above], depth + 1))
     return nodes
 
 
@@ -76,21 +75,36 @@ class Forest:
     roots: np.ndarray
     feature: np.ndarray
     threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
+    child: np.ndarray
     depth: np.ndarray
     steps: int
     scale: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """-2^(-mean depth / c(sample size)): the lower, the more isolated."""
+        if self.scale <= 0:  # trees of one row tell nothing
+            return np.full(len(x), -0.5)
+        total = np.empty(len(x))
+        for start in range(0, len(x), SCORE_ROWS):
+            part = np.ascontiguousarray(x[start : start + SCORE_ROWS])
+            total[start : start + len(part)] = self._depths(part)
+        return -np.exp2(-total / len(self.roots) / self.scale)
+
+    def _depths(self, x: np.ndarray) -> np.ndarray:
+        """Summed leaf depth per row, walking all rows down all trees together."""
+        values, row_start = x.ravel(), (np.arange(len(x)) * x.shape[1])[:, None]
         at = np.repeat(self.roots[None, :], len(x), axis=0)
-        row = np.arange(len(x))[:, None]
+        index = np.empty_like(at)
+        value, bound = np.empty(at.shape), np.empty(at.shape)
+        # clip only skips the bounds check; every index is in range
         for _ in range(self.steps):
-            down = x[row, self.feature[at]] <= self.threshold[at]
-            at = np.where(down, self.left[at], self.right[at])
-        mean_depth = self.depth[at].sum(axis=1) / len(self.roots)
-        return -np.exp2(-mean_depth / self.scale) if self.scale > 0 else np.full(len(x), -0.5)
+            self.feature.take(at, out=index, mode="clip")
+            index += row_start
+            values.take(index, out=value, mode="clip")
+            self.threshold.take(at, out=bound, mode="clip")
+            self.child.take(at, out=index, mode="clip")
+            np.add(index, value > bound, out=at)
+        return self.depth.take(at).sum(axis=1)
 
 
 def _draw(df: DataFrame, columns: list[str], key: list[str], rows: int, trees: int, sample: int, seed: int):
@@ -165,7 +179,7 @@ def fit_forests(
             chosen = rng.choice(len(at), size=features, replace=False)
             nodes = grow_tree(x[:, at], rng, chosen, limit)
             out += [(name, tree, i, *node) for i, node in enumerate(nodes)]
-        return pd.DataFrame(out, columns=["grp", "tree", "node", "feature", "threshold", "left", "right", "depth"])
+        return pd.DataFrame(out, columns=["grp", "tree", "node", *NODE_FIELDS])
 
     drawn = _draw(df.select(*key, *[F.col(c).cast("double").alias(c) for c in columns]), columns, key, rows, trees, sample, seed)
     # at most groups x trees x (2 x sample - 1) nodes
@@ -176,11 +190,10 @@ def fit_forests(
         first = mine.index.to_numpy() - mine["node"].to_numpy()
         forests[name] = Forest(
             columns=list(cols),
-            roots=np.flatnonzero(mine["node"].to_numpy() == 0).astype(np.int32),
-            feature=mine["feature"].to_numpy(dtype=np.int32),
+            roots=np.flatnonzero(mine["node"].to_numpy() == 0),
+            feature=mine["feature"].to_numpy(dtype=np.intp),
             threshold=mine["threshold"].to_numpy(dtype=float),
-            left=(mine["left"].to_numpy() + first).astype(np.int32),
-            right=(mine["right"].to_numpy() + first).astype(np.int32),
+            child=(mine["child"].to_numpy() + first).astype(np.intp),
             depth=mine["depth"].to_numpy(dtype=float),
             steps=limit,
             scale=average_path(sample),

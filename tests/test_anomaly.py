@@ -22,8 +22,8 @@ def fitted(df, **options):
 
 def depth_of(forest, root, x):
     at = root
-    while forest.left[at] != at:
-        at = forest.left[at] if x[forest.feature[at]] <= forest.threshold[at] else forest.right[at]
+    while forest.child[at] != at:
+        at = forest.child[at] + (x[forest.feature[at]] > forest.threshold[at])
     return forest.depth[at]
 
 
@@ -40,11 +40,14 @@ def test_scores_equal_a_walk_down_each_tree(spark):
 def test_every_tree_isolates_its_whole_sample(spark):
     for forest in fitted(points(spark)).values():
         assert len(forest.roots) == 20
-        bounds = [*forest.roots[1:], len(forest.left)]
+        bounds = [*forest.roots[1:], len(forest.child)]
         for low, high in zip(forest.roots, bounds):
             at = np.arange(low, high)
-            assert (forest.left[at] >= low).all() and (forest.right[at] < high).all()
+            assert (forest.child[at] >= at).all() and (forest.child[at] < high).all()
             assert len(at) % 2 == 1 and len(at) <= 511
+            inner = at[forest.child[at] != at]
+            reached = np.concatenate([forest.child[inner], forest.child[inner] + 1])
+            assert sorted(reached) == list(range(low + 1, high))
 
 
 def test_sample_has_exact_size_without_repeats(spark):
@@ -58,7 +61,7 @@ def test_forest_does_not_depend_on_partitioning(spark):
     one, many = fitted(points(spark, partitions=1)), fitted(points(spark, partitions=8))
     for name in GROUPS:
         assert np.array_equal(one[name].threshold, many[name].threshold)
-        assert np.array_equal(one[name].left, many[name].left)
+        assert np.array_equal(one[name].child, many[name].child)
 
 
 def test_extremes_are_flagged_and_few_others(spark):
