@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from flowsieve.plans.detector import DetectorConfig, run
+from flowsieve.session import drop_tables
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -27,9 +28,13 @@ def main(argv: list[str] | None = None) -> None:
         step=args.step,
         parallelism=args.parallelism,
     )
-    result = run(SparkSession.builder.appName("flowsieve").getOrCreate(), cfg, args.output)
-    print(f"columns: {result.widths}")
-    print(f"features: {result.selected}")
+    spark = SparkSession.builder.appName("flowsieve").getOrCreate()
+    try:
+        result = run(spark, cfg, args.output)
+        print(f"columns: {result.widths}")
+        print(f"features: {result.selected}")
+    finally:
+        drop_tables(spark)
 
 
 if __name__ == "__main__":

@@ -15,7 +15,7 @@ from flowsieve.functions.names import check_columns
 from flowsieve.session import broadcast_if_small, materialise
 
 ROWS_PER_CELL = 1_000_000
-PROFILE_DIGITS = 4
+PREFIX_DIGITS = 4
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -100,24 +100,22 @@ def shuffle_hash(key: list[str], seed: int) -> Column:
 
 def _cell_digits(rows: int) -> int:
     """Leading hex digits of the digest that give cells of about ROWS_PER_CELL rows."""
-    return max(1, min(6, math.ceil(math.log(max(rows, 1) / ROWS_PER_CELL + 1, 16))))
+    return max(1, min(PREFIX_DIGITS, math.ceil(math.log(max(rows, 1) / ROWS_PER_CELL + 1, 16))))
 
 
-def _hashed(df: DataFrame, key: list[str], seed: int) -> tuple[DataFrame, int]:
-    """``df`` with its digest column ``_h``, and the number of digits to cut cells by.
+def _counted(df: DataFrame, label: str, key: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its digest ``_h``, and a stored table of rows per class and digest prefix.
 
-    Unique keys fill the digest range evenly. If one cell is far above its share, the key
-    repeats (copies of a row, say): then the scan position joins the digest, which spreads
-    the copies over all cells. Positions are fixed by writing the table first.
+    The table has at most 16^PREFIX_DIGITS rows per class and comes from one pass that
+    combines before the shuffle.
     """
-    hashed = df.withColumn("_h", shuffle_hash(key, seed))
-    cells = hashed.groupBy(F.substring("_h", 1, PROFILE_DIGITS).alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    share = total / 16**PROFILE_DIGITS
-    if largest > share + 12 * math.sqrt(share) + 64:
-        tied = materialise(df.withColumn("_tie", F.monotonically_increasing_id()), "tied")
-        hashed = tied.withColumn("_h", shuffle_hash([*key, "_tie"], seed)).drop("_tie")
-    return hashed, _cell_digits(total)
+    missing = F.raise_error(F.lit(f"null in {label}: cannot stratify")).cast("string")
+    hashed = df.withColumn("_h", shuffle_hash(key, seed)).withColumn(
+        "_stratum", F.coalesce(F.col(label).cast("string"), missing)
+    )
+    prefix = F.substring("_h", 1, PREFIX_DIGITS).alias("_prefix")
+    counts = hashed.groupBy("_stratum", F.col(label).alias("_class"), prefix).agg(F.count(F.lit(1)).alias("n"))
+    return hashed, materialise(counts, "cells")
 
 
 def stratified_folds(
@@ -128,20 +126,28 @@ def stratified_folds(
     Rows are ranked by (class, digest, key) and dealt out in turn, so folds differ by at
     most one row in total and within each class. Cells are (class, digest prefix): the
     prefix leads the sort key, hence cell start + place in cell equals the global rank.
-    The result depends only on keys, labels and seed, not on partitioning. One shuffle of
-    the rows, by cell; the join with the cell starts reuses it.
+    Two passes over the rows: one counts cells, one ranks within them after the only
+    shuffle. The result depends only on keys, labels and seed, not on partitioning.
+
+    Unique keys fill the digest range evenly. If one prefix is far above its share, the key
+    repeats (copies of a row, say): then the scan position joins the digest, which spreads
+    the copies over all cells. Positions are fixed by writing the table first.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
     check_columns(df, [label, *key])
-    hashed, digits = _hashed(df, key, seed)
-    missing = F.raise_error(F.lit(f"null in {label}: cannot stratify")).cast("string")
-    hashed = hashed.withColumn(
-        "_cell",
-        F.concat(F.coalesce(F.col(label).cast("string"), missing), F.lit("~"), F.substring("_h", 1, digits)),
-    )
-    counts = hashed.groupBy("_cell", F.col(label).alias("_class")).agg(F.count(F.lit(1)).alias("n"))
-    classes = counts.groupBy("_class").agg(F.sum("n").alias("n"))
+    hashed, cells = _counted(df, label, key, seed)
+    per_prefix = cells.groupBy("_prefix").agg(F.sum("n").alias("n"))
+    total, largest = per_prefix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    share = total / 16**PREFIX_DIGITS
+    if largest > share + 12 * math.sqrt(share) + 64:
+        tied = materialise(df.withColumn("_tie", F.monotonically_increasing_id()), "tied")
+        hashed, cells = _counted(tied, label, [*key, "_tie"], seed)
+        hashed = hashed.drop("_tie")
+    digits = _cell_digits(total)
+    cell = lambda digest: F.concat("_stratum", F.lit("~"), F.substring(digest, 1, digits))
+    counts = cells.groupBy("_class", cell("_prefix").alias("_cell")).agg(F.sum("n").alias("n"))
+    classes = cells.groupBy("_class").agg(F.sum("n").alias("n"))
     short = F.raise_error(
         F.concat(F.lit(f"class has fewer rows than {k} folds: "), F.col("_class").cast("string"))
     ).cast("bigint")
@@ -157,10 +163,11 @@ def stratified_folds(
     )
     place = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *key)) - 1
     return (
-        hashed.withColumn("_place", place)
+        hashed.withColumn("_cell", cell("_h"))
+        .withColumn("_place", place)
         .join(starts, "_cell")
         .withColumn(into, F.pmod(F.col("_start") + F.col("_place"), F.lit(k)).cast("int"))
-        .drop("_h", "_cell", "_place", "_start")
+        .select(*df.columns, into)
     )
 
 

@@ -50,6 +50,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _LOCAL_ROOT[app]
 
 
+def _table_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back.
 
@@ -57,11 +61,17 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     it is columnar, so later passes read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{_table_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*(partition_by or [])).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete what this application has materialised; call it when no result needs it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_table_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Hint a broadcast only after counting; larger sides keep the shuffle join."""
     return F.broadcast(df) if df.count() <= max_rows else df

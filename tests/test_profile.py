@@ -71,6 +71,9 @@ def test_scaling(spark):
     assert np.allclose([r.x for r in mid], (np.array([1, 3, 8]) - 4) / np.std([1, 3, 8]))
     assert [r.flat for r in mid] == [0.0, 0.0, 0.0]
     assert [r.k for r in mid] == [1, 2, 3]
+    vectors = features.assemble(df, ["x", "flat"]).orderBy("k")
+    as_vector = features.scaler().fit(vectors).transform(vectors).collect()
+    assert np.allclose([r.scaled_features.toArray() for r in as_vector], [(r.x, r.flat) for r in std])
 
 
 def test_assembling_dotted_names_after_normalising(spark):
