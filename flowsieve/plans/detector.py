@@ -117,6 +117,7 @@ def _eliminate(design: DataFrame, names: list[str], cfg: DetectorConfig, name: s
             into="selection_fold",
         ),
         name,
+        partition_by=["selection_fold"],
     )
     return selection.rfecv(
         folded, names, k=cfg.k_select, step=cfg.step, max_depth=cfg.tree_depth, parallelism=cfg.parallelism

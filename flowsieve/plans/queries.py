@@ -327,6 +327,7 @@ def multi_group_outliers(spark, d):
 
 
 def _design(spark, d, *, k: int, seed: int, fold: str) -> tuple[DataFrame, int]:
+    """Vectors with a binary label and folds, stored once for the many fits to come."""
     emb = table(spark, d, "embeddings")
     vectors = emb.select(
         "vec_id",
@@ -334,7 +335,7 @@ def _design(spark, d, *, k: int, seed: int, fold: str) -> tuple[DataFrame, int]:
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     )
     folded = rows.stratified_folds(vectors, label="label", key=["vec_id"], k=k, seed=seed, into=fold)
-    return materialise(folded, "design"), _embedding_width(emb)
+    return materialise(folded, "design", partition_by=[fold]), _embedding_width(emb)
 
 
 def tree_importance(spark, d):
@@ -366,8 +367,8 @@ def small_models():
 
 def _fit(spark, d, spec):
     design, width = _design(spark, d, k=5, seed=1, fold="fold")
-    train, test = rows.train_test(design, 0)
-    predictions, _ = tuning.fit_predict(train, test, spec, spec.candidates[0], width=width)
+    parts = tuning.make_parts(*rows.train_test(design, 0), [spec])
+    predictions, _ = tuning.fit_predict(parts, spec, spec.candidates[0], width=width)
     return predictions.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -406,8 +407,8 @@ def flagship(spark, d):
     inputs = [c for c in timed.columns if c not in ("event_id", "label")]
     design = features.assemble(timed, inputs).select("event_id", "label", "features")
     folded = materialise(rows.stratified_folds(design, label="label", key=["event_id"]), "flagship")
-    train, test = rows.train_test(folded, 0)
-    predictions, _ = tuning.fit_predict(train, test, models.logistic(), {"C": 20}, width=len(inputs))
+    parts = tuning.make_parts(*rows.train_test(folded, 0), [models.logistic()])
+    predictions, _ = tuning.fit_predict(parts, models.logistic(), {"C": 20}, width=len(inputs))
     matrix = M.confusion_matrix(predictions).withColumn("model", F.lit("LogisticRegression"))
     return matrix.join(M.binary_metrics(matrix), "model").join(M.auc_hard(matrix), "model")
 
