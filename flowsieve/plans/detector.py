@@ -30,8 +30,9 @@ class DetectorConfig:
 
     ``correlated``: ``recorded`` drops the listed columns, ``measured`` applies the rule.
     ``features``: ``eliminate`` runs recursive elimination, ``recorded`` keeps the listed
-    survivors, ``all`` keeps everything. ``select_inside_fold`` repeats the elimination on
-    each outer training part, so that held-out rows cannot influence it.
+    survivors, ``all`` keeps everything. ``select_inside_fold`` repeats outlier removal,
+    pruning and elimination on each outer training part alone, so that held-out rows
+    influence none of them and are all scored.
     """
 
     sources: dict[str, str]
@@ -126,7 +127,10 @@ def _eliminate(design: DataFrame, names: list[str], cfg: DetectorConfig, name: s
 
 @dataclass
 class DetectorResult:
-    """Column counts per stage (label included), the kept features and the evaluation."""
+    """Column counts per stage (label included), the kept features and the evaluation.
+
+    With selection inside folds there is no common feature list: ``selected`` is empty.
+    """
 
     widths: dict[str, int]
     selected: list[str]
@@ -134,45 +138,67 @@ class DetectorResult:
     evaluation: tuning.NestedResult
 
 
-def run(spark: SparkSession, cfg: DetectorConfig, output: str | None = None) -> DetectorResult:
-    """The whole way; with ``output``, appends the metrics tables and a text report there."""
-    prepared = prepare(spark, cfg)
-    cleaned = clean(prepared, cfg)
-    widths = {"prepared": len(prepared.columns) - 1, "cleaned": len(cleaned.columns) - 1}
-    names = [c for c in cleaned.columns if c not in INTERNAL]
-    found = None
+def _candidates(cleaned: DataFrame, cfg: DetectorConfig) -> list[str]:
     if cfg.features == "recorded":
-        names = normal(presets.FINAL_FEATURES)
-    design = _design(cleaned, names)
-    if cfg.features == "eliminate" and not cfg.select_inside_fold:
-        found = _eliminate(design, names, cfg, "selection")
-        design = _narrow(design, found.selected)
-        names = [names[i] for i in found.selected]
-    widths["selected"] = len(names) + 1
-    folded = materialise(
-        rows.stratified_folds(design, label="label", key=[ROW_ID], k=cfg.k_outer, seed=presets.CV_SEED),
-        "design",
-        partition_by=["fold"],
-    )
+        return normal(presets.FINAL_FEATURES)
+    return [c for c in cleaned.columns if c not in INTERNAL]
 
-    def reselect(train, test):
-        inner = _eliminate(train.drop("fold"), names, cfg, "selection-in-fold")
-        return _narrow(train, inner.selected), _narrow(test, inner.selected), len(inner.selected)
 
-    inside = cfg.features == "eliminate" and cfg.select_inside_fold
-    evaluation = tuning.nested_cv(
+def _folded(df: DataFrame, cfg: DetectorConfig) -> DataFrame:
+    folds = rows.stratified_folds(df, label="label", key=[ROW_ID], k=cfg.k_outer, seed=presets.CV_SEED)
+    return materialise(folds, "design", partition_by=["fold"])
+
+
+def _evaluate(folded: DataFrame, cfg: DetectorConfig, width: int, prepare=None) -> tuning.NestedResult:
+    return tuning.nested_cv(
         folded,
         cfg.models,
-        width=len(names),
+        width=width,
         key=[ROW_ID],
         k_outer=cfg.k_outer,
         k_inner=cfg.k_inner,
         parallelism=cfg.parallelism,
-        prepare=reselect if inside else None,
+        prepare=prepare,
     )
+
+
+def _select_before(prepared: DataFrame, cfg: DetectorConfig) -> DetectorResult:
+    """Clean and select on all rows, then evaluate."""
+    cleaned = clean(prepared, cfg)
+    names = _candidates(cleaned, cfg)
+    design, found = _design(cleaned, names), None
+    if cfg.features == "eliminate":
+        found = _eliminate(design, names, cfg, "selection")
+        design = _narrow(design, found.selected)
+        names = [names[i] for i in found.selected]
+    widths = {"cleaned": len(cleaned.columns) - 1, "selected": len(names) + 1}
+    return DetectorResult(widths, names, found, _evaluate(_folded(design, cfg), cfg, len(names)))
+
+
+def _select_inside(prepared: DataFrame, cfg: DetectorConfig) -> DetectorResult:
+    """Deal out the folds first, then clean and select on each training part."""
+
+    def prepare_fold(train, test):
+        kept = clean(train.drop("fold"), cfg)
+        names = _candidates(kept, cfg)
+        train, test = _design(kept, names), _design(test, names)
+        if cfg.features == "eliminate":
+            chosen = _eliminate(train, names, cfg, "selection-in-fold").selected
+            return _narrow(train, chosen), _narrow(test, chosen), len(chosen)
+        return train, test, len(names)
+
+    folded = _folded(rows.drop_negative(prepared, "flow_duration"), cfg)
+    return DetectorResult({}, [], None, _evaluate(folded, cfg, 0, prepare_fold))
+
+
+def run(spark: SparkSession, cfg: DetectorConfig, output: str | None = None) -> DetectorResult:
+    """The whole way; with ``output``, appends the metrics tables and a text report there."""
+    prepared = prepare(spark, cfg)
+    result = (_select_inside if cfg.select_inside_fold else _select_before)(prepared, cfg)
+    result.widths["prepared"] = len(prepared.columns) - 1
     if output:
-        write_report(evaluation, output)
-    return DetectorResult(widths, names, found, evaluation)
+        write_report(result.evaluation, output)
+    return result
 
 
 def write_report(evaluation: tuning.NestedResult, output: str) -> None:

@@ -84,3 +84,6 @@ def test_selection_inside_folds(spark, cfg):
     one = replace(cfg, select_inside_fold=True, models=cfg.models[:1], k_outer=2, k_select=2, step=0.5)
     result = detector.run(spark, one)
     assert result.evaluation.confusions.count() == 2 and result.elimination is None
+    total = result.evaluation.confusions.agg(F.sum(F.expr("tn + fp + fn + tp"))).first()[0]
+    assert total == 2000  # held-out rows are never removed
+    assert result.evaluation.metrics.where("metric = 'accuracy'").agg(F.min("value")).first()[0] > 0.8
