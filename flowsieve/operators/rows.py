@@ -15,7 +15,7 @@ from flowsieve.functions.names import check_columns
 from flowsieve.session import broadcast_if_small, materialise
 
 ROWS_PER_CELL = 1_000_000
-PREFIX_DIGITS = 4
+PREFIX_DIGITS = 4  # even: two hex digits per byte
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,8 +94,14 @@ def sorted_row_id(df: DataFrame, keys: list[str], *, into: str = "row_id") -> Da
 
 
 def shuffle_hash(key: list[str], seed: int) -> Column:
-    """Seeded digest of a row's key; its order is the shuffled order."""
-    return F.md5(F.concat_ws("~", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    """Seeded digest of a row's key; its order is the shuffled order. Kept as 16 bytes, which
+    halves what is shuffled and sorted; they order like the hex text."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
+    return F.unhex(F.md5(F.concat_ws("~", F.lit(str(seed)), *parts)))
+
+
+def _prefix(digest: Column) -> Column:
+    return F.hex(F.substring(digest, 1, PREFIX_DIGITS // 2))
 
 
 def _cell_digits(rows: int) -> int:
@@ -113,8 +119,8 @@ def _counted(df: DataFrame, label: str, key: list[str], seed: int) -> tuple[Data
     hashed = df.withColumn("_h", shuffle_hash(key, seed)).withColumn(
         "_stratum", F.coalesce(F.col(label).cast("string"), missing)
     )
-    prefix = F.substring("_h", 1, PREFIX_DIGITS).alias("_prefix")
-    counts = hashed.groupBy("_stratum", F.col(label).alias("_class"), prefix).agg(F.count(F.lit(1)).alias("n"))
+    by = ["_stratum", F.col(label).alias("_class"), _prefix(F.col("_h")).alias("_prefix")]
+    counts = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
     return hashed, materialise(counts, "cells")
 
 
@@ -145,8 +151,8 @@ def stratified_folds(
         hashed, cells = _counted(tied, label, [*key, "_tie"], seed)
         hashed = hashed.drop("_tie")
     digits = _cell_digits(total)
-    cell = lambda digest: F.concat("_stratum", F.lit("~"), F.substring(digest, 1, digits))
-    counts = cells.groupBy("_class", cell("_prefix").alias("_cell")).agg(F.sum("n").alias("n"))
+    cell = lambda prefix: F.concat("_stratum", F.lit("~"), F.substring(prefix, 1, digits))
+    counts = cells.groupBy("_class", cell(F.col("_prefix")).alias("_cell")).agg(F.sum("n").alias("n"))
     classes = cells.groupBy("_class").agg(F.sum("n").alias("n"))
     short = F.raise_error(
         F.concat(F.lit(f"class has fewer rows than {k} folds: "), F.col("_class").cast("string"))
@@ -163,7 +169,7 @@ def stratified_folds(
     )
     place = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *key)) - 1
     return (
-        hashed.withColumn("_cell", cell("_h"))
+        hashed.withColumn("_cell", cell(_prefix(F.col("_h"))))
         .withColumn("_place", place)
         .join(starts, "_cell")
         .withColumn(into, F.pmod(F.col("_start") + F.col("_place"), F.lit(k)).cast("int"))
