@@ -16,6 +16,8 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--output", required=True)
     parser.add_argument("--features", choices=["eliminate", "recorded", "all"], default="eliminate")
     parser.add_argument("--correlated", choices=["recorded", "measured"], default="recorded")
+    parser.add_argument("--outliers", choices=["forest", "recorded"], default="forest")
+    parser.add_argument("--centre", action="store_true", help="scale to zero mean as well")
     parser.add_argument("--select-inside-fold", action="store_true")
     parser.add_argument("--step", type=float, default=1)
     parser.add_argument("--parallelism", type=int, default=4)
@@ -24,6 +26,8 @@ def main(argv: list[str] | None = None) -> None:
         sources=dict(s.split("=", 1) for s in args.sources),
         features=args.features,
         correlated=args.correlated,
+        outliers=args.outliers,
+        centre=args.centre,
         select_inside_fold=args.select_inside_fold,
         step=args.step,
         parallelism=args.parallelism,

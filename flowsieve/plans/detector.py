@@ -20,7 +20,7 @@ from flowsieve.functions.times import cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, profile, report, rows, selection, tuning
 from flowsieve.operators.features import assemble
 from flowsieve.operators.models import ModelSpec, default_models
-from flowsieve.session import materialise
+from flowsieve.session import materialise, materialised
 from flowsieve.sources.flows import scan_flows
 
 
@@ -28,7 +28,8 @@ from flowsieve.sources.flows import scan_flows
 class DetectorConfig:
     """Every choice of a run; the defaults are those of the fixed values.
 
-    ``correlated``: ``recorded`` drops the listed columns, ``measured`` applies the rule.
+    ``outliers``: ``forest`` fits the detectors, ``recorded`` deletes the listed row ids (of
+    the original three files in their order). ``correlated``: ``recorded`` drops the listed columns, ``measured`` applies the rule.
     ``features``: ``eliminate`` runs recursive elimination, ``recorded`` keeps the listed
     survivors, ``all`` keeps everything. ``select_inside_fold`` repeats outlier removal,
     pruning and elimination on each outer training part alone, so that held-out rows
@@ -41,6 +42,7 @@ class DetectorConfig:
     strict_time: bool = True
     lenient_numbers: bool = False
     outlier_groups: dict[str, list[str]] = field(default_factory=lambda: dict(presets.OUTLIER_GROUPS))
+    outliers: str = "forest"
     contamination: float = presets.CONTAMINATION
     forest_trees: int = presets.FOREST_TREES
     correlated: str = "recorded"
@@ -53,6 +55,7 @@ class DetectorConfig:
     k_outer: int = presets.FOLDS
     k_inner: int = presets.FOLDS
     models: list[ModelSpec] = field(default_factory=default_models)
+    centre: bool = False
     parallelism: int = 4
 
 
@@ -91,10 +94,14 @@ def prepare(spark: SparkSession, cfg: DetectorConfig) -> DataFrame:
 def clean(df: DataFrame, cfg: DetectorConfig) -> DataFrame:
     """Remove negative durations and outliers, then redundant columns."""
     valid = rows.drop_negative(df, "flow_duration")
-    groups = {g: normal(cols) for g, cols in cfg.outlier_groups.items()}
-    kept = anomaly.drop_outliers(
-        valid, groups, key=[ROW_ID], contamination=cfg.contamination, trees=cfg.forest_trees
-    )
+    if cfg.outliers == "recorded":
+        ids = [(i,) for group in presets.RECORDED_OUTLIERS.values() for i in group]
+        kept = rows.exclude_ids(valid, df.sparkSession.createDataFrame(ids, f"{ROW_ID} long"), ROW_ID)
+    else:
+        groups = {g: normal(cols) for g, cols in cfg.outlier_groups.items()}
+        kept = anomaly.drop_outliers(
+            valid, groups, key=[ROW_ID], contamination=cfg.contamination, trees=cfg.forest_trees
+        )
     if cfg.correlated == "recorded":
         return rows.drop_columns(kept, normal(presets.DROP_CORRELATED))
     varied = profile.drop_constant(kept, keep=INTERNAL)
@@ -111,18 +118,14 @@ def _narrow(df: DataFrame, indices: list[int]) -> DataFrame:
     return sliced.drop("features").withColumnRenamed("_kept", "features")
 
 
-def _eliminate(design: DataFrame, names: list[str], cfg: DetectorConfig, name: str) -> selection.Elimination:
-    folded = materialise(
-        rows.stratified_folds(
-            design, label="label", key=[ROW_ID], k=cfg.k_select, seed=presets.SELECTION_SEED,
-            into="selection_fold",
-        ),
-        name,
-        partition_by=["selection_fold"],
-    )
-    return selection.rfecv(
-        folded, names, k=cfg.k_select, step=cfg.step, max_depth=cfg.tree_depth, parallelism=cfg.parallelism
+def _eliminate(design: DataFrame, names: list[str], cfg: DetectorConfig) -> selection.Elimination:
+    folds = rows.stratified_folds(
+        design, label="label", key=[ROW_ID], k=cfg.k_select, seed=presets.SELECTION_SEED, into="selection_fold"
     )
+    with materialised(folds, "selection", partition_by=["selection_fold"]) as folded:
+        return selection.rfecv(
+            folded, names, k=cfg.k_select, step=cfg.step, max_depth=cfg.tree_depth, parallelism=cfg.parallelism
+        )
 
 
 @dataclass
@@ -157,6 +160,7 @@ def _evaluate(folded: DataFrame, cfg: DetectorConfig, width: int, prepare=None)
         key=[ROW_ID],
         k_outer=cfg.k_outer,
         k_inner=cfg.k_inner,
+        centre=cfg.centre,
         parallelism=cfg.parallelism,
         prepare=prepare,
     )
@@ -168,7 +172,7 @@ def _select_before(prepared: DataFrame, cfg: DetectorConfig) -> DetectorResult:
     names = _candidates(cleaned, cfg)
     design, found = _design(cleaned, names), None
     if cfg.features == "eliminate":
-        found = _eliminate(design, names, cfg, "selection")
+        found = _eliminate(design, names, cfg)
         design = _narrow(design, found.selected)
         names = [names[i] for i in found.selected]
     widths = {"cleaned": len(cleaned.columns) - 1, "selected": len(names) + 1}
@@ -183,7 +187,7 @@ def _select_inside(prepared: DataFrame, cfg: DetectorConfig) -> DetectorResult:
         names = _candidates(kept, cfg)
         train, test = _design(kept, names), _design(test, names)
         if cfg.features == "eliminate":
-            chosen = _eliminate(train, names, cfg, "selection-in-fold").selected
+            chosen = _eliminate(train, names, cfg).selected
             return _narrow(train, chosen), _narrow(test, chosen), len(chosen)
         return train, test, len(names)
 

@@ -111,6 +111,31 @@ FOREST_FEATURES = 8
 FOREST_SEED = 1
 CONTAMINATION = 0.0001
 
+# --- fixed values: row ids recorded as outliers, per measurement group
+RECORDED_OUTLIERS = {
+    "group_1": [
+        137634, 138049, 147620, 147664, 147667, 147864, 148224, 148677, 148919, 161840,
+        161850, 162344, 162484, 162553, 163620, 165565, 170556, 171865, 172068, 172073,
+        172372, 172887, 173297, 174005, 174117, 174122, 174772, 174882, 183635, 184528,
+        185984, 195031, 202947, 202972,
+    ],
+    "group_2": [
+        138429, 138540, 138768, 140200, 140343, 140449, 142446, 148192, 148802, 149547,
+        154315, 155973, 156111, 157924, 162540, 168084, 169795, 170457, 170502, 172539,
+        174147, 174305, 178548, 186159, 186622, 192352, 199391, 204259, 275986, 276453,
+        278726, 279174, 281082,
+    ],
+    "group_3": [
+        148217, 149500, 149601, 152625, 153470, 153924, 154777, 154869, 154989, 155226,
+        155270, 155595, 155913, 173338, 183233,
+    ],
+    "group_4": [
+        142919, 149492, 162537, 167153, 167785, 167854, 168314, 168498, 168674, 168866,
+        169467, 169601, 169697, 169907, 170153, 172172, 173961, 183184, 187781, 195726,
+        195774, 197408, 201427, 204487, 204554,
+    ],
+}
+
 # --- fixed values: folds and seeds
 FOLDS = 5
 SELECTION_SEED = 3

@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,22 +55,40 @@ def _table_folder(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}"
 
 
+def _store(df: DataFrame, name: str, partition_by: list[str] | None) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{_table_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*(partition_by or [])).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the checkpoint folder and read it back.
 
     Unlike cached blocks the table outlives lost executors, and unlike an RDD checkpoint
     it is columnar, so later passes read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{_table_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*(partition_by or [])).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _store(df, name, partition_by)[0]
+
+
+@contextmanager
+def materialised(df: DataFrame, name: str, partition_by: list[str] | None = None):
+    """The same for a table that is not needed after the block; it is deleted then."""
+    stored, path = _store(df, name, partition_by)
+    try:
+        yield stored
+    finally:
+        _delete(df.sparkSession, path)
 
 
 def drop_tables(spark: SparkSession) -> None:
     """Delete what this application has materialised; call it when no result needs it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_table_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, _table_folder(spark))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:

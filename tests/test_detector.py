@@ -48,6 +48,17 @@ def test_cleaning_drops_extremes_and_recorded_columns(prepared, cfg):
     assert 2000 - 4 * 5 <= cleaned.count() <= 1995
 
 
+def test_recorded_outliers_are_deleted_by_id(prepared, cfg, monkeypatch):
+    from dataclasses import replace
+
+    from flowsieve import presets
+
+    assert [len(g) for g in presets.RECORDED_OUTLIERS.values()] == [34, 33, 15, 25]
+    monkeypatch.setattr(presets, "RECORDED_OUTLIERS", {"group_1": [3, 5], "group_2": [5, 10**6]})
+    cleaned = detector.clean(prepared, replace(cfg, outliers="recorded"))
+    assert cleaned.count() == 1998 and cleaned.where("row_id in (3, 5)").count() == 0
+
+
 def test_measured_pruning_drops_one_of_each_twin(prepared, cfg):
     from dataclasses import replace
 
@@ -73,7 +84,7 @@ def test_whole_run(spark, cfg, tmp_path):
 def test_recorded_features_need_no_elimination(spark, cfg):
     from dataclasses import replace
 
-    one = replace(cfg, features="recorded", models=cfg.models[:1], k_outer=2)
+    one = replace(cfg, features="recorded", outliers="recorded", centre=True, models=cfg.models[:1], k_outer=2)
     result = detector.run(spark, one)
     assert result.widths["selected"] == 28 and result.elimination is None
 
