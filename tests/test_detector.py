@@ -14,8 +14,8 @@ def cfg(flow_files):
         contamination=0.0025,
         step=0.25,
         tree_depth=4,
-        k_select=3,
-        k_outer=3,
+        k_select=2,
+        k_outer=2,
         k_inner=2,
         models=[models.logistic([20], max_iter=15), models.forest([5], max_depth=4)],
     )
@@ -76,7 +76,7 @@ def test_whole_run(spark, cfg, tmp_path):
     scores = result.evaluation.metrics.where("metric = 'accuracy'").groupBy("model").agg(F.avg("value").alias("a"))
     assert all(r.a > 0.85 for r in scores.collect())
     stored = spark.read.parquet(str(tmp_path / "out" / "fold_metrics"))
-    assert stored.where("metric = 'recall'").count() == 6
+    assert stored.where("metric = 'recall'").count() == 4
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "report_text")).collect())
     assert "LogisticRegression" in text and "Confusion matrices" in text
 
