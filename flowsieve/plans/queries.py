@@ -326,21 +326,26 @@ def multi_group_outliers(spark, d):
 # --- selection and models (iterative fits: no SQL form)
 
 
-def _design(spark, d, *, k: int, seed: int, fold: str) -> tuple[DataFrame, int]:
-    """Vectors with a binary label and folds, stored once for the many fits to come."""
+def _vectors(spark, d) -> tuple[DataFrame, int]:
     emb = table(spark, d, "embeddings")
     vectors = emb.select(
         "vec_id",
         (F.col("label") > 4).cast("int").alias("label"),
         array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
     )
+    return vectors, _embedding_width(emb)
+
+
+def _design(spark, d, *, k: int, seed: int, fold: str) -> tuple[DataFrame, int]:
+    """Vectors with a binary label and folds, stored once for the many fits to come."""
+    vectors, width = _vectors(spark, d)
     folded = rows.stratified_folds(vectors, label="label", key=["vec_id"], k=k, seed=seed, into=fold)
-    return materialise(folded, "design", partition_by=[fold]), _embedding_width(emb)
+    return materialise(folded, "design", partition_by=[fold]), width
 
 
 def tree_importance(spark, d):
-    design, width = _design(spark, d, k=3, seed=3, fold="selection_fold")
-    return selection.tree_importance(design, [f"e{i}" for i in range(width)])
+    vectors, width = _vectors(spark, d)
+    return selection.tree_importance(vectors, [f"e{i}" for i in range(width)])
 
 
 ELIMINATION = {"k": 3, "step": 0.25, "max_depth": 5}

@@ -26,12 +26,20 @@ def related(spark):
     )
 
 
-def test_correlation_equals_numpy(spark):
+@pytest.mark.parametrize("narrow", [0, 12])
+def test_correlation_equals_numpy(spark, monkeypatch, narrow):
+    monkeypatch.setattr(profile, "NARROW", narrow)
     df = related(spark)
     r = profile.correlation(df, df.columns)
     expected = np.corrcoef(np.array(df.collect()).T)
     got = np.array([[r[a, b] for b in df.columns] for a in df.columns])
     assert np.allclose(got, expected)
+    flat = profile.correlation(df.withColumn("free", F.lit(2.0)), ["a", "free", "label"])
+    assert math.isnan(flat["a", "free"]) and flat["a", "label"] > 0.8
+    for gap in (None, float("nan")):
+        holed = df.withColumn("a", F.when(F.col("a") > 3, F.col("a")).otherwise(F.lit(gap)))
+        with pytest.raises(Exception):
+            profile.correlation(holed, ["a", "free"])
 
 
 def test_pruning_keeps_one_of_each_bundle(spark):
@@ -56,12 +64,6 @@ def test_pruning_rule():
     assert profile.redundant(r, names, "y", 0.98) == ["p"]
 
 
-def test_correlation_refuses_gaps(spark):
-    df = related(spark).withColumn("a", F.when(F.col("a") > 3, F.col("a")))
-    with pytest.raises(Exception):
-        profile.correlation(df, ["a", "free"])
-
-
 def test_scaling(spark):
     df = spark.createDataFrame([(1.0, 5.0, 1), (3.0, 5.0, 2), (8.0, 5.0, 3)], "x double, flat double, k int")
     std = features.scale_std(df, ["x", "flat"]).orderBy("k").collect()
