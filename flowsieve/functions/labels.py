@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.session import small_table
+
 LITERAL_LIMIT = 100
 
 
@@ -45,6 +47,6 @@ def recode(
         table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
         found = F.element_at(table, source) if mapping else F.lit(None)
         return df.withColumn(into, F.coalesce(found.cast(kind), fallback))
-    table = df.sparkSession.createDataFrame(list(mapping.items()), "_from string, _to int")
+    table = small_table(df.sparkSession, list(mapping.items()), "_from string, _to int")
     joined = df.join(F.broadcast(table), source == F.col("_from"), "left")
     return joined.withColumn(into, F.coalesce(F.col("_to").cast(kind), fallback)).drop("_from", "_to")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowsieve import presets
 from flowsieve.functions.names import check_columns
+from flowsieve.session import small_table
 
 NARROW = 12  # columns up to which pairs are plain aggregates
 
@@ -82,13 +83,13 @@ def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pairs (x, y, r), each once, x before y in column order."""
     r = correlation(df, columns)
     pairs = [(a, b, r[a, b]) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    return df.sparkSession.createDataFrame(pairs, "x string, y string, r double")
+    return small_table(df.sparkSession, pairs, "x string, y string, r double")
 
 
 def corr_with_label(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     r = correlation(df, [*columns, label])
     rows = [(c, r[c, label]) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "column_name string, r double")
+    return small_table(df.sparkSession, rows, "column_name string, r double")
 
 
 def redundant(r: dict[tuple[str, str], float], columns: list[str], label: str, threshold: float) -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowsieve.session import small_table
+
 
 def fold_report(metrics: DataFrame) -> DataFrame:
     """(model, fold, metric, value) to (model, metric, per_fold, mean); lists are in fold
@@ -46,4 +48,4 @@ def render_text(report: DataFrame, confusions: DataFrame, best: DataFrame) -> st
 
 def append_text(df: DataFrame, text: str, path: str) -> None:
     """Append the rendered report as a text file under ``path``, on the cluster's storage."""
-    df.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("append").text(path)
+    small_table(df.sparkSession, [(text,)], "value string").coalesce(1).write.mode("append").text(path)

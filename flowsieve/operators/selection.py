@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from flowsieve import presets
 from flowsieve.operators.rows import train_test
 from flowsieve.operators.tuning import accuracy, run_all
+from flowsieve.session import small_table
 
 
 def _tree(max_depth: int, seed: int, column: str = "features") -> DecisionTreeClassifier:
@@ -21,8 +22,8 @@ def _tree(max_depth: int, seed: int, column: str = "features") -> DecisionTreeCl
 def tree_importance(design: DataFrame, names: list[str], *, max_depth: int = 5, seed: int = 0) -> DataFrame:
     """(feature, importance) of one decision tree over all rows."""
     weights = _tree(max_depth, seed).fit(design).featureImportances.toArray()
-    return design.sparkSession.createDataFrame(
-        [(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double"
+    return small_table(
+        design.sparkSession, [(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double"
     )
 
 
@@ -151,7 +152,7 @@ def rfecv(
 
 def curve_table(design: DataFrame, scores: dict[int, list[float]]) -> DataFrame:
     rows = [(n, f, s) for n, per_fold in scores.items() for f, s in enumerate(per_fold)]
-    table = design.sparkSession.createDataFrame(rows, "n_features int, fold int, accuracy double")
+    table = small_table(design.sparkSession, rows, "n_features int, fold int, accuracy double")
     return table.groupBy("n_features").agg(
         F.count(F.lit(1)).cast("int").alias("folds"),
         F.avg("accuracy").alias("mean_accuracy"),
@@ -161,4 +162,4 @@ def curve_table(design: DataFrame, scores: dict[int, list[float]]) -> DataFrame:
 
 def support_table(design: DataFrame, found: Elimination) -> DataFrame:
     rows = [(n, r, int(r == 1)) for n, r in zip(found.names, found.rank)]
-    return design.sparkSession.createDataFrame(rows, "feature string, rank int, selected int")
+    return small_table(design.sparkSession, rows, "feature string, rank int, selected int")

@@ -20,7 +20,7 @@ from flowsieve.functions.times import cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, profile, report, rows, selection, tuning
 from flowsieve.operators.features import assemble
 from flowsieve.operators.models import ModelSpec, default_models
-from flowsieve.session import materialise, materialised
+from flowsieve.session import materialise, materialised, small_table
 from flowsieve.sources.flows import scan_flows
 
 
@@ -96,7 +96,7 @@ def clean(df: DataFrame, cfg: DetectorConfig) -> DataFrame:
     valid = rows.drop_negative(df, "flow_duration")
     if cfg.outliers == "recorded":
         ids = [(i,) for group in presets.RECORDED_OUTLIERS.values() for i in group]
-        kept = rows.exclude_ids(valid, df.sparkSession.createDataFrame(ids, f"{ROW_ID} long"), ROW_ID)
+        kept = rows.exclude_ids(valid, small_table(df.sparkSession, ids, f"{ROW_ID} long"), ROW_ID)
     else:
         groups = {g: normal(cols) for g, cols in cfg.outlier_groups.items()}
         kept = anomaly.drop_outliers(

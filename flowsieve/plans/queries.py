@@ -16,7 +16,7 @@ from flowsieve.functions.network import prefix_flags
 from flowsieve.functions.times import cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, features, models, profile, quantiles, report, rows, selection, tuning
 from flowsieve.operators import metrics as M
-from flowsieve.session import materialise
+from flowsieve.session import materialise, small_table
 from flowsieve.sources.flows import scan_parquet, stack_sources
 
 NUMERICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -392,7 +392,7 @@ def fit_mlp(spark, d):
 def grid_search(spark, d):
     design, width = _design(spark, d, k=3, seed=1, fold="inner_fold")
     found = tuning.grid_search(design, small_models(), width=width, k=3, parallelism=4)
-    return spark.createDataFrame([row for search in found for row in search.rows()], tuning.SEARCH_COLUMNS)
+    return small_table(spark, [row for search in found for row in search.rows()], tuning.SEARCH_COLUMNS)
 
 
 def nested_cv(spark, d):

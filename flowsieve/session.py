@@ -9,8 +9,12 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
 
 _LOCAL_ROOT: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -91,6 +95,15 @@ def drop_tables(spark: SparkSession) -> None:
     _delete(spark, _table_folder(spark))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few driver-side rows, handed over as Arrow so that no Python worker starts."""
+    fields = T.StructType.fromDDL(schema).fields
+    arrays = [
+        pa.array([r[i] for r in rows], ARROW_TYPES[f.dataType.simpleString()]) for i, f in enumerate(fields)
+    ]
+    return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
     """Hint a broadcast only after counting; larger sides keep the shuffle join."""
     return F.broadcast(df) if df.count() <= max_rows else df
