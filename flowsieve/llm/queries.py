@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import quality
+from flowsieve.llm import jaccard, lines, mixing, quality
 from flowsieve.llm.common import table
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    joined = jaccard.jaccard_join(table(spark, d, "documents").select("doc_id", "text"))
+    return joined.select(joined.doc.alias("doc_id"), "class_id", "n_links")
+
+
+def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    cleaned = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     trusted = table(spark, d, "labels").where("quality = 1 and toxic = 0")
     judged = quality.quality_rules(table(spark, d, "documents").select("doc_id", "text"), trusted)
@@ -24,9 +34,17 @@ def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, d, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
+    "op9_source_mix": op9_source_mix,
 }
 
 #: SQL twins, where SQL can express the operator.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.SQL}
