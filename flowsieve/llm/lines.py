@@ -106,7 +106,7 @@ with cut as (
 ), keyed as (
   select *, md5(concat_ws(',', length(a), length(b), a, b)) k from cut
 ), solid as (
-  select doc_id, k, lines, list_filter(range(1, len(lines) + 1), i -> regexp_matches(lines[i], '[^\x20\x09-\x0D]')) s from keyed
+  select doc_id, k, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '[^\x20\x09-\x0D]')) s from keyed
 ), placed as (
   select distinct doc_id, k, s, unnest(range(1, len(s) - 1)) p, lines from solid
 ), windows as (
@@ -120,6 +120,6 @@ with cut as (
 )
 select doc_id, len(lines)::bigint n_lines, coalesce(len(g), 0)::bigint n_removed,
   case when g is null then text
-    else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), i -> not list_contains(g, i)), i -> lines[i]), chr(10)) end "text"
+    else array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: not list_contains(g, i)), lambda i: lines[i]), chr(10)) end "text"
 from keyed left join gone using (k)
 """

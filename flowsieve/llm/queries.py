@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import jaccard, lines, mixing, quality
+from flowsieve.llm import decontam, jaccard, lines, mixing, quality
 from flowsieve.llm.common import table
 
 
+def op1_template_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    found = decontam.leaks(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select(
+        found.doc.alias("doc_id"), found.item.alias("item_id"), "n_windows", "coverage", "exact"
+    )
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     joined = jaccard.jaccard_join(table(spark, d, "documents").select("doc_id", "text"))
     return joined.select(joined.doc.alias("doc_id"), "class_id", "n_links")
@@ -40,6 +47,7 @@ def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op8_quality_rules": op8_quality_rules,
