@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import decontam, jaccard, lines, mixing, quality
+from flowsieve.llm import decontam, jaccard, lines, mixing, quality, tokens
 from flowsieve.llm.common import table
 
 
@@ -25,6 +25,12 @@ def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, d, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     trusted = table(spark, d, "labels").where("quality = 1 and toxic = 0")
     judged = quality.quality_rules(table(spark, d, "documents").select("doc_id", "text"), trusted)
@@ -50,6 +56,7 @@ QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
+    "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
 }
