@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import decontam, jaccard, lines, mixing, quality, tokens
+from flowsieve.llm import decontam, jaccard, lines, mixing, quality, tokens, warc
 from flowsieve.llm.common import table
 
 
@@ -52,6 +52,10 @@ def op9_source_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_warc_transactions(spark: SparkSession, d: str) -> DataFrame:
+    return warc.round_trip(table(spark, d, "pages"))
+
+
 QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -59,7 +63,8 @@ QUERIES = {
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
+    "op10_warc_transactions": op10_warc_transactions,
 }
 
 #: SQL twins, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op6_line_dedup": lines.SQL}
+ORACLES: dict[str, str] = {"op6_line_dedup": lines.SQL, "op10_warc_transactions": warc.SQL}
