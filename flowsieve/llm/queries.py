@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import decontam, jaccard, lines, mixing, quality, tokens, warc
+from flowsieve.llm import chat, decontam, jaccard, lines, mixing, quality, tokens, warc
 from flowsieve.llm.common import table
+from flowsieve.session import small_table
 
 
 def op1_template_decontamination(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,13 @@ def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(joined.doc.alias("doc_id"), "class_id", "n_links")
 
 
+def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    probe = small_table(spark, chat.PROBE, "conv_id bigint, turn bigint, role string, text string")
+    back = chat.read_back(chat.format_conversations(turns.unionByName(probe)))
+    return back.select(back.conv.cast("bigint").alias("conv_id"), *back.columns[1:])
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     cleaned = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
@@ -59,6 +67,7 @@ def op10_warc_transactions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_chat_format": op4_chat_format,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
