@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import chat, decontam, jaccard, lines, mixing, quality, tokens, warc
+from flowsieve.llm import chat, decontam, jaccard, lines, mixing, quality, secrets, tokens, warc
 from flowsieve.llm.common import table
 from flowsieve.session import small_table
 
@@ -28,6 +28,11 @@ def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return back.select(back.conv.cast("bigint").alias("conv_id"), *back.columns[1:])
 
 
+def op5_secret_ownership(spark: SparkSession, d: str) -> DataFrame:
+    """A source is an owner; its texts of one language are a repository."""
+    return secrets.find_secrets(table(spark, d, "documents"), owner="source", repo=("lang",))
+
+
 def op6_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     cleaned = lines.dedup_lines(table(spark, d, "documents").select("doc_id", "text"))
     return cleaned.select("doc_id", "n_lines", "n_removed", "text")
@@ -68,6 +73,7 @@ QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op4_chat_format": op4_chat_format,
+    "op5_secret_ownership": op5_secret_ownership,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_quality_rules": op8_quality_rules,
