@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import chat, decontam, jaccard, lines, mixing, quality, secrets, tokens, warc
+from flowsieve.llm import chat, decontam, jaccard, licences, lines, mixing, quality, secrets, tokens, warc
 from flowsieve.llm.common import table
 from flowsieve.session import small_table
 
@@ -21,6 +21,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return joined.select(joined.doc.alias("doc_id"), "class_id", "n_links")
 
 
+def op3_licence_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return licences.find_licences(table(spark, d, "documents"))
+
+
 def op4_chat_format(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     probe = small_table(spark, chat.PROBE, "conv_id bigint, turn bigint, role string, text string")
@@ -72,6 +76,7 @@ def op10_warc_transactions(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_licence_sentences": op3_licence_sentences,
     "op4_chat_format": op4_chat_format,
     "op5_secret_ownership": op5_secret_ownership,
     "op6_line_dedup": op6_line_dedup,
@@ -82,4 +87,4 @@ QUERIES = {
 }
 
 #: SQL twins, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op6_line_dedup": lines.SQL, "op10_warc_transactions": warc.SQL}
+ORACLES: dict[str, str] = {"op3_licence_sentences": licences.sql(), "op6_line_dedup": lines.SQL, "op10_warc_transactions": warc.SQL}
