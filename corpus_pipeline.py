@@ -3,26 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowsieve.llm import quality
-from flowsieve.llm.common import table
+from flowsieve.llm import decontam, jaccard, lines, mixing, quality
+from flowsieve.llm.common import NOT_BREAK, set_aside, table
+from flowsieve.session import materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
+    """The documents that pass the quality rules; those without text fail them."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
-    return quality.quality_rules(docs, trusted).where("kept").select(*docs.columns)
+    docs, own = set_aside(docs, quality.ADDED)
+    return quality.quality_rules(docs, trusted).where("kept").select(*own)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated windows of lines removed; a document of which nothing is left goes with them."""
+    docs, own = set_aside(docs, ["n_lines", "n_removed"])
+    cleaned = lines.dedup_lines(docs)
+    cleaned = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(NOT_BREAK))
+    changed = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", changed).select(*own)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similarity 0.8 or more join."""
+    return jaccard.keep_one(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without items of the benchmark, as they are or with other values."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with the words it takes of each, repeats counted."""
+    return mixing.mix(docs).where("taken > 0")
 
 
 STAGES = [
     ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near copies", near_copy_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("mixing", mixing_stage),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each on the written result of the one before."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
 
 

@@ -42,6 +42,13 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
     return names
 
 
+def set_aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns that an operator would replace renamed, and how to select them as they were."""
+    clash = [c for c in docs.columns if c.lower() in {a.lower() for a in added}]
+    renamed = dict(zip(clash, fresh(docs, *[f"_own_{c}" for c in clash])))
+    return docs.withColumnsRenamed(renamed), [F.col(renamed.get(c, c)).alias(c) for c in docs.columns]
+
+
 def row_key(*columns: Column) -> Column:
     """16 bytes that tell rows of different content apart; nulls differ from empty strings."""
     parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in columns]

@@ -89,16 +89,13 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     root = np.arange(n)
     while len(i):
         low = np.minimum(root[i], root[j])
-        np.minimum.at(root, i, low)
-        np.minimum.at(root, j, low)
-        root = root[root]
+        for k in (root[i], root[j]):  # hang roots, not members, so that whole trees move
+            np.minimum.at(root, k, low)
+        while (root[root] != root).any():
+            root = root[root]
         open_ = root[i] != root[j]
         i, j = i[open_], j[open_]
-    while True:
-        up = root[root]
-        if (up == root).all():
-            return root
-        root = up
+    return root
 
 
 def _pairs(side: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -231,14 +228,14 @@ def sketch(docs: DataFrame, *, id_col: str = "doc_id", text: str = "text") -> Da
     """``doc``, ``key``, ``sid`` (digest of the shingle set; null without words), ``n``, ``sig``, ``bands``."""
     ship_package(docs.sparkSession)
     cut = docs.select(
-        F.col(id_col).alias("doc"),
+        F.col(id_col).cast("string").alias("doc"),  # pandas has no whole numbers with nulls
         row_key(F.col(id_col), F.col(text)).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    kind = dict(cut.dtypes)["doc"]
-    return cut.mapInPandas(
-        _sketched, f"doc {kind}, key binary, sid binary, n bigint, sig binary, bands array<bigint>"
+    made = cut.mapInPandas(
+        _sketched, "doc string, key binary, sid binary, n bigint, sig binary, bands array<bigint>"
     )
+    return made.withColumn("doc", F.col("doc").cast(docs.schema[id_col].dataType))
 
 
 def _in_units(rows: DataFrame, blocks: str) -> DataFrame:

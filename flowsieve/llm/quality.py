@@ -23,6 +23,16 @@ THRESHOLD = -0.15
 UNIT = 1_000_000
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
+ADDED = [
+    "n_words",
+    "word_chars",
+    "n_symbols",
+    "n_dup_lines",
+    "n_repeat_words",
+    "base_failed",
+    "log_ratio",
+    "kept",
+]
 
 
 def _pairs(h: Column, apart: int) -> Column:

@@ -108,10 +108,9 @@ def count_tokens(
             yield pd.DataFrame({"id": batch["id"], "n_bytes": batch["n_bytes"], "n_tokens": counts})
 
     cut = docs.select(
-        F.col(id_col).alias("id"), text_of(text).alias("text"), F.octet_length(text_of(text)).cast("bigint").alias("n_bytes")
+        F.col(id_col).cast("string").alias("id"), text_of(text).alias("text"), F.octet_length(text_of(text)).cast("bigint").alias("n_bytes")
     )
-    kind = dict(cut.dtypes)["id"]
-    counted = cut.mapInPandas(run, f"id {kind}, n_bytes bigint, n_tokens bigint")
+    counted = cut.mapInPandas(run, "id string, n_bytes bigint, n_tokens bigint")
     return counted.select(
-        F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
+        F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )

@@ -9,7 +9,7 @@ CHUNK = 1 << 18
 _TABLES: list[np.ndarray] = []
 
 
-def _tables() -> list[np.ndarray]:
+def tables() -> list[np.ndarray]:
     """Powers of the base and of its inverse, up to the size of a chunk."""
     if not _TABLES:
         inverse = pow(BASE, -1, 1 << 64)
@@ -47,7 +47,7 @@ def word_hashes(text: str) -> np.ndarray:
     """A 64-bit digest of each word, in order: a polynomial over its bytes, mixed."""
     raw = text.encode("utf-8", "surrogatepass")
     data = np.frombuffer(raw, np.uint8)
-    powers, inverse = _tables()
+    powers, inverse = tables()
     parts, at = [], 0
     while at < len(data):
         end = min(at + CHUNK, len(data))
