@@ -1,0 +1,59 @@
+import re
+
+from flowsieve.llm import lines as L
+
+WORD = re.compile(r"[^\x20\x09-\x0d]")
+
+
+def brute(rows):
+    """Clean the rows in the order of id, then digest; equal rows are one document."""
+    import hashlib
+
+    def key(i, t):
+        a = "~" if i is None else f"={i}"
+        b = "~" if t is None else f"={t}"
+        return hashlib.md5(f"{len(a)},{len(b)},{a},{b}".encode()).digest()
+
+    seen, done = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, key(*r))):
+        lines = (t or "").split("\n")
+        solid = [k for k, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for p in range(len(solid) - 2):
+            w = tuple(lines[k].strip(" \t\n\x0b\x0c\r") for k in solid[p : p + 3])
+            if w in seen:
+                gone |= set(solid[p : p + 3])
+            seen.add(w)
+        text = "\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else t
+        done[(i, t)] = (str(i), len(lines), len(gone), str(text))
+    return sorted(done[r] for r in rows)
+
+
+def got(df):
+    return sorted((str(r["doc_id"]), r["n_lines"], r["n_removed"], str(r["text"])) for r in df.collect())
+
+
+def test_windows_merge_and_first_stays(spark):
+    rows = [
+        (1, "a\nb\nc\nd\nx"),
+        (2, "y\n b\t\n\nc\nd\nz"),
+        (3, "a\nb\nc\nd\ne\na\nb\nc\nd"),
+        (3, "a\nb\nc\nd\ne\na\nb\nc\nd"),
+        (None, "a\nb\nc"),
+        (4, "a\nb"),
+        (5, "q\nq\nq\nq\nq"),
+        (6, None),
+        (7, ""),
+        (2, "b\nc\nd"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = got(L.dedup_lines(df))
+    assert found == brute(rows)
+    assert ("2", 6, 3, "y\n\nz") in found and ("5", 5, 4, "q") in found
+
+
+def test_edge_rows(edge, nothing):
+    rows = [(r["doc_id"], r["text"]) for r in edge.collect()]
+    cleaned = L.dedup_lines(edge)
+    assert got(cleaned) == brute(rows)
+    assert set(edge.columns) <= set(cleaned.columns) and L.dedup_lines(nothing).count() == 0

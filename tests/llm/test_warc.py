@@ -1,0 +1,92 @@
+import base64
+import hashlib
+
+import pytest
+
+from flowsieve.llm import warc as W
+
+SCHEMA = "page_id bigint, url string, html string"
+ROWS = [
+    (1, None, None),
+    (2, "http://x/\r\n\r\nWARC/1.1\r\n", ""),
+    (None, "u", "abc"),
+    (3, "v", "abc"),
+    (3, "v", "abc"),
+    (4, "w", "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 5\r\n\r\n\r\n\r\n"),
+    (5, "w", "é漢😀\x00"),
+    (6, "w", "\r\n\r\n"),
+    (7, "w", "y" * 400_000),
+    (8, "z", "y" * 400_000),
+]
+
+
+def brute(rows, least=0):
+    by, out = {}, []
+    for i, _, html in rows:
+        by.setdefault(html or "", []).append(i)
+    for html, ids in by.items():
+        body = html.encode()
+        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
+        ids.sort(key=lambda v: (v is not None, v or 0))
+        rest = ids[:-1]
+        if len(body) < least:
+            out += [(str(i), len(body), digest, "response", "None") for i in rest]
+        else:
+            out += [(str(i), len(body), digest, "revisit", str(ids[-1])) for i in rest]
+        out.append((str(ids[-1]), len(body), digest, "response", "None"))
+    return sorted(out)
+
+
+def got(df):
+    names = ["payload_bytes", "payload_digest", "record_type"]
+    return sorted((str(r["page_id"]), *[r[n] for n in names], str(r["refers_to"])) for r in df.collect())
+
+
+@pytest.mark.parametrize("least", [0, 4])
+def test_round_trip(spark, least):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    assert got(W.round_trip(df, least=least)) == brute(ROWS, least)
+
+
+def test_no_pages(spark):
+    assert W.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_payloads_come_back_whole(spark, tmp_path):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    W.write_archives(df, str(tmp_path / "a"))
+    nested = W.assemble(W.read_records(spark, str(tmp_path / "a"))).collect()
+    assert len(nested) == len(ROWS)
+    assert all(r["request"] and r["metadata"] for r in nested)
+    bodies = {bytes(r["response"]["payload"]) for r in nested if r["response"]["type"] == "response"}
+    assert bodies == {(h or "").encode() for *_, h in ROWS}
+    ids = [r[k]["record_id"] for r in nested for k in ("request", "response", "metadata")]
+    assert len(set(ids)) == 3 * len(ROWS)
+
+
+def test_assembly_from_either_side(spark):
+    row = lambda i, kind, to=None: (i, kind, to, *[None] * 7)
+    records = spark.createDataFrame(
+        [
+            row("q1", "request", "r1"),
+            row("r1", "response"),
+            row("r2", "response", "q2"),
+            row("q2", "request"),
+            row("m1", "metadata", "r1"),
+            row("m0", "metadata", "r1"),
+            row("x", "request", "nowhere"),
+            row("r3", "revisit"),
+            row("w", "warcinfo"),
+        ],
+        W.RECORDS,
+    )
+    found = {
+        r["capture"]: tuple(r[k] and r[k]["record_id"] for k in ("response", "request", "metadata"))
+        for r in W.assemble(records).collect()
+    }
+    assert found == {"r1": ("r1", "q1", "m0"), "r2": ("r2", "q2", None), "r3": ("r3", None, None)}
+
+
+def test_broken_archives_are_errors():
+    with pytest.raises(ValueError):
+        list(W.parse_records(b"HTTP/1.1 200 OK\r\n\r\nx"))
