@@ -40,7 +40,11 @@ def recode(
     source = F.col(column)
     if trim:
         source = F.trim(source)
-        mapping = {k.strip(): v for k, v in mapping.items()}
+        trimmed: dict[str, int] = {}
+        for k, v in mapping.items():  # blanks only, as in the column
+            if trimmed.setdefault(k.strip(" "), v) != v:
+                raise ValueError(f"{k!r} has two codes once trimmed")
+        mapping = trimmed
     fallback = _unmapped(source, column, unmapped)
     kind = "string" if unmapped == "keep" else "int"
     if len(mapping) <= LITERAL_LIMIT:

@@ -22,7 +22,6 @@ from flowsieve.operators.quantiles import exact_quantiles
 from flowsieve.session import materialise, ship_package
 
 EULER_GAMMA = 0.5772156649015329
-POOL_FACTOR = 4
 
 NODE_FIELDS = ["feature", "threshold", "child", "depth"]
 NODE_SCHEMA = "grp string, tree int, node int, feature int, threshold double, child int, depth double"
@@ -110,26 +109,19 @@ class Forest:
 def _draw(df: DataFrame, columns: list[str], key: list[str], rows: int, trees: int, sample: int, seed: int):
     """``sample`` rows per tree without replacement, as (tree, place, columns).
 
-    A first hash thins the table to a pool a few times larger than all samples together
-    (one hash per row, no shuffle); a second one, per tree, ranks the pool's rows.
+    A row takes part in a tree if its digest for that tree is below twice the share wanted, which is
+    decided in the scan; of these, the smallest digests make the sample. About 2 x trees x sample rows
+    leave the scan, and a task passes on at most ``sample`` rows per tree. Rows of equal key and values
+    are drawn together; it is the same rule for a table of any size.
     """
     unit = lambda *parts: (F.xxhash64(*parts).cast("double") / F.lit(2.0**64)) + 0.5
-    pool = df.select(*key, *columns)
-    wanted = POOL_FACTOR * trees * sample
-    pool_size = min(rows, wanted)
-    if rows > wanted:
-        pool = pool.where(unit(F.lit(seed), F.lit("pool"), *key) < wanted / rows)
-    # one row per key: repeated keys would be drawn together, so they are refused
-    packed = pool.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*columns)).alias("x"))
-    repeated = F.raise_error(F.lit(f"key {key} does not identify a row")).cast("int")
-    packed = packed.withColumn("_one", F.when(F.col("n") > 1, repeated).otherwise(1)).where("_one = 1")
-    draws = packed.select(
-        *key, "x", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-    ).withColumn("u", unit(F.lit(seed), F.col("tree"), *key))
-    if pool_size > 2 * sample:
-        draws = draws.where(F.col("u") < 2.0 * sample / pool_size)
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", *key))
-    return draws.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", "x.*")
+    bound = 2.0 * sample / rows
+    row = F.xxhash64(F.lit(seed), *key, *columns)
+    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(t, F.col("_row")) < bound)
+    draws = df.select(*key, *columns, row.alias("_row"))
+    draws = draws.withColumn("tree", F.explode(trees_of)).withColumn("u", unit(F.col("tree"), F.col("_row")))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", *key, *columns))
+    return draws.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", *columns)
 
 
 def fit_forests(
@@ -144,7 +136,8 @@ def fit_forests(
 ) -> dict[str, Forest]:
     """One forest per column group, all from the same drawn rows and in the same passes.
 
-    ``key`` must identify a row. The result does not depend on partitioning. A null, NaN or
+    ``key`` should identify a row: rows of equal key and values are drawn together. The result does not
+    depend on partitioning. A null, NaN or
     infinity in any group column is an error, as is a group with fewer than ``features``
     columns.
     """

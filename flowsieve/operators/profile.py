@@ -13,8 +13,6 @@ from flowsieve import presets
 from flowsieve.functions.names import check_columns
 from flowsieve.session import small_table
 
-NARROW = 12  # columns up to which pairs are plain aggregates
-
 
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, n_values, is_constant) per column, from one pass.
@@ -43,38 +41,17 @@ def drop_constant(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def correlation(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Pearson matrix in one pass; only columns x columns numbers reach the driver.
+    """Pearson matrix from a check and one pass; only columns x columns numbers reach the driver.
 
     A null or NaN is an error (rows would otherwise vanish from some pairs). The coefficient
     of a constant column is undefined and comes back as NaN: drop constants first.
     """
     check_columns(df, columns)
     numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return (_by_aggregates if len(columns) <= NARROW else _by_vectors)(numbers, columns)
-
-
-def _by_aggregates(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """A few columns: plain aggregates in generated code."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(
-        *[F.count(F.when(F.col(c).isNull() | F.isnan(c), 1)).alias(f"gaps_{i}") for i, c in enumerate(columns)],
-        *[F.stddev_pop(c).alias(f"std_{i}") for i, c in enumerate(columns)],
-        *[F.covar_pop(a, b).alias(f"cov_{i}") for i, (a, b) in enumerate(pairs)],
-    ).first()
-    gaps = [c for i, c in enumerate(columns) if row[f"gaps_{i}"]]
-    if gaps:
-        raise ValueError(f"null or NaN in {gaps}")
-    std = {c: row[f"std_{i}"] for i, c in enumerate(columns)}
-    r = {(c, c): 1.0 for c in columns}
-    for i, (a, b) in enumerate(pairs):
-        scale = (std[a] or 0.0) * (std[b] or 0.0)
-        r[a, b] = r[b, a] = row[f"cov_{i}"] / scale if scale else math.nan
-    return r
-
-
-def _by_vectors(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Many columns: the number of pairs would overflow generated code."""
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="error").transform(df)
+    gaps = numbers.agg(*[F.count(F.when(F.col(c).isNull() | F.isnan(c), 1)).alias(c) for c in columns]).first()
+    if any(gaps):
+        raise ValueError(f"null or NaN in {[c for c in columns if gaps[c]]}")
+    vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="error").transform(numbers)
     matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
     return {(a, b): float(matrix[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,8 +19,10 @@ def fold_report(metrics: DataFrame) -> DataFrame:
     )
 
 
-def append_metrics(metrics: DataFrame, path: str) -> None:
-    """Add to the metrics table, one folder per model."""
+def append_metrics(metrics: DataFrame, path: str, run_id: str | None = None) -> None:
+    """Add to the metrics table, one folder per model. ``run_id`` (new if not given) tells the rows
+    of this run from those of earlier ones."""
+    metrics = metrics.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
     metrics.write.mode("append").partitionBy("model").parquet(path)
 
 

@@ -125,7 +125,14 @@ def _counted(df: DataFrame, label: str, key: list[str], seed: int) -> tuple[Data
 
 
 def stratified_folds(
-    df: DataFrame, *, label: str, key: list[str], k: int = 5, seed: int = 1, into: str = "fold"
+    df: DataFrame,
+    *,
+    label: str,
+    key: list[str],
+    k: int = 5,
+    seed: int = 1,
+    into: str = "fold",
+    spread_copies: bool = False,
 ) -> DataFrame:
     """Assign each row a fold 0..k-1, shuffled, with every class spread evenly.
 
@@ -135,21 +142,19 @@ def stratified_folds(
     Two passes over the rows: one counts cells, one ranks within them after the only
     shuffle. The result depends only on keys, labels and seed, not on partitioning.
 
-    Unique keys fill the digest range evenly. If one prefix is far above its share, the key
-    repeats (copies of a row, say): then the scan position joins the digest, which spreads
-    the copies over all cells. Positions are fixed by writing the table first.
+    The key must identify a row within its class; a repeat fails the job when folds are read.
+    ``spread_copies`` allows repeats: the scan position then always joins the digest, so copies
+    are spread over all cells, and folds depend on the order of the scan, which is fixed by
+    writing the table first.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
     check_columns(df, [label, *key])
+    columns = df.columns
+    if spread_copies:
+        df, key = materialise(df.withColumn("_tie", F.monotonically_increasing_id()), "tied"), [*key, "_tie"]
     hashed, cells = _counted(df, label, key, seed)
-    per_prefix = cells.groupBy("_prefix").agg(F.sum("n").alias("n"))
-    total, largest = per_prefix.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
-    share = total / 16**PREFIX_DIGITS
-    if largest > share + 12 * math.sqrt(share) + 64:
-        tied = materialise(df.withColumn("_tie", F.monotonically_increasing_id()), "tied")
-        hashed, cells = _counted(tied, label, [*key, "_tie"], seed)
-        hashed = hashed.drop("_tie")
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     digits = _cell_digits(total)
     cell = lambda prefix: F.concat("_stratum", F.lit("~"), F.substring(prefix, 1, digits))
     counts = cells.groupBy("_class", cell(F.col("_prefix")).alias("_cell")).agg(F.sum("n").alias("n"))
@@ -167,13 +172,17 @@ def stratified_folds(
         .join(classes, "_class")
         .select("_cell", (F.col("_before") + F.col("_within")).alias("_start"))
     )
-    place = F.row_number().over(Window.partitionBy("_cell").orderBy("_h", *key)) - 1
+    ranking = Window.partitionBy("_cell").orderBy("_h", *key)
+    place = F.row_number().over(ranking) - 1
+    # the digest is the same for nulls and empty texts, so the keys themselves are compared
+    alike = F.lag(F.struct(*key)).over(ranking).eqNullSafe(F.struct(*key))
+    repeated = F.raise_error(F.lit(f"key {key} does not identify a row")).cast("int")
     return (
         hashed.withColumn("_cell", cell(_prefix(F.col("_h"))))
-        .withColumn("_place", place)
+        .withColumn("_place", F.when(alike, repeated).otherwise(place))
         .join(starts, "_cell")
         .withColumn(into, F.pmod(F.col("_start") + F.col("_place"), F.lit(k)).cast("int"))
-        .select(*df.columns, into)
+        .select(*columns, into)
     )
 
 

@@ -6,6 +6,7 @@ rows, the outlier scores, the selection design, and the fold-partitioned design.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorSlicer
@@ -206,8 +207,9 @@ def run(spark: SparkSession, cfg: DetectorConfig, output: str | None = None) ->
 
 
 def write_report(evaluation: tuning.NestedResult, output: str) -> None:
-    report.append_metrics(evaluation.metrics, f"{output}/fold_metrics")
-    report.append_metrics(evaluation.searches, f"{output}/searches")
+    run_id = uuid.uuid4().hex
+    report.append_metrics(evaluation.metrics, f"{output}/fold_metrics", run_id)
+    report.append_metrics(evaluation.searches, f"{output}/searches", run_id)
     summary = report.fold_report(evaluation.metrics)
     text = report.render_text(summary, evaluation.confusions, evaluation.best)
     report.append_text(evaluation.metrics, text, f"{output}/report_text")

@@ -138,6 +138,67 @@ def _param_grid() -> str:
     )
 
 
+# Orders with the label that query ``_orders`` gives them: the feature that decides it is known.
+_ORDERS = """
+SELECT o_orderkey, CAST(o_orderstatus = 'F' AS INTEGER) AS final,
+       CAST(xor(CAST(o_orderstatus = 'F' AS INTEGER), CAST(o_orderkey % 10 = 0 AS INTEGER)) AS INTEGER) AS label
+FROM orders
+"""
+_ORDER_FOLDS = f"""
+SELECT *, CAST((row_number() OVER (
+           ORDER BY label, md5('1~' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1) % 5 AS INTEGER) AS fold
+FROM ({_ORDERS})
+"""
+_FITTED = f"SELECT o_orderkey, label, final AS prediction, fold FROM ({_ORDER_FOLDS})"
+_ORDER_FEATURES = ["is_final", "o_totalprice", "o_custkey", "priority"]
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    quoted = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+    return f"(VALUES {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) AS v({columns})"
+
+
+def _importance() -> str:
+    rows = [(n, int(i == 0)) for i, n in enumerate(_ORDER_FEATURES)]
+    found = "SELECT DISTINCT final FROM orders_final"
+    return (
+        f"WITH orders_final AS ({_ORDERS}) SELECT feature, importance::DOUBLE AS importance "
+        f"FROM {_values(rows, 'feature, importance')} WHERE (SELECT count(*) FROM ({found})) = 2"
+    )
+
+
+def _curve() -> str:
+    """Every size has the deciding feature, so every held-out row of every fold is right."""
+    return (
+        f"WITH f AS (SELECT fold, avg(CAST(final = final AS DOUBLE)) AS a FROM ({_ORDER_FOLDS}) GROUP BY fold) "
+        "SELECT CAST(n AS INTEGER) AS n_features, CAST(count(*) AS INTEGER) AS folds, avg(a) AS mean_accuracy, "
+        f"stddev_pop(a) AS std_accuracy FROM f, {_values([(4,), (3,), (2,), (1,)], 'n')} GROUP BY n"
+    )
+
+
+def _support() -> str:
+    """One feature is enough; of equal ones the later column goes first."""
+    rows = [(n, i + 1, int(i == 0)) for i, n in enumerate(_ORDER_FEATURES)]
+    return (
+        "SELECT feature, CAST(rank AS INTEGER) AS rank, CAST(selected AS INTEGER) AS selected "
+        f"FROM {_values(rows, 'feature, rank, selected')} WHERE (SELECT count(*) FROM orders) > 0"
+    )
+
+
+def _searched() -> str:
+    """All candidates predict the deciding feature, so all score alike and the first is best."""
+    grids = [("LogisticRegression", i, f"{{'C': {c}}}") for i, c in enumerate([20, 30, 40, 50])]
+    grids += [("RF_Classifier", i, f"{{'n_estimators': {n}}}") for i, n in enumerate([100, 200, 300])]
+    hidden = [(50, 50, 50), (50, 50), (100,)]
+    grids += [("MLPClassifier", i, f"{{'hidden_layer_sizes': {h}}}") for i, h in enumerate(hidden)]
+    scored = f"SELECT fold, avg(CAST(final = label AS DOUBLE)) AS a FROM ({_ORDER_FOLDS}) GROUP BY fold"
+    return (
+        f"WITH f AS ({scored}) SELECT model, CAST(candidate AS INTEGER) AS candidate, params, "
+        f"{_r('(SELECT avg(a) FROM f)')} AS avg_accuracy, CAST(candidate = 0 AS INTEGER) AS best "
+        f"FROM {_values(grids, 'model, candidate, params')}"
+    )
+
+
 _MINUTES, _HOURS = _cyclic("minute", 60), _cyclic("hour", 24)
 
 _PREFIXES = {
@@ -161,7 +222,7 @@ ORACLES: dict[str, str] = {
         FROM lineitem WHERE l_returnflag = 'N'
         UNION ALL BY NAME
         SELECT l_discount, l_orderkey, l_linenumber, l_quantity, 'R' AS source
-        FROM lineitem WHERE l_returnflag = 'R'""",
+        FROM lineitem WHERE l_returnflag IS NULL OR l_returnflag NOT IN ('A', 'N')""",
     "row_id": """
         SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders""",
     "frame_shape": "SELECT count(*) AS n_rows, CAST(6 AS INTEGER) AS n_columns FROM orders",
@@ -205,6 +266,16 @@ ORACLES: dict[str, str] = {
         for c in NUMERICS
     )
     + " FROM lineitem",
+    "scale_vector": "SELECT l_orderkey, l_linenumber, "
+    + ", ".join(f"{_r(f'{c} / (SELECT stddev_samp({c}) FROM lineitem)')} AS {c}" for c in NUMERICS)
+    + " FROM lineitem",
+    "tree_importance": _importance(),
+    "rfecv_curve": _curve(),
+    "rfecv_support": _support(),
+    "fit_logistic": _FITTED,
+    "fit_forest": _FITTED,
+    "fit_mlp": _FITTED,
+    "grid_search": _searched(),
     "drop_negative": "SELECT * FROM customer WHERE NOT coalesce(c_acctbal < 0, false)",
     "exclude_ids": """
         SELECT * FROM orders

@@ -104,9 +104,13 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast only after counting; larger sides keep the shuffle join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only after measuring: text by its bytes, anything else 8 a value."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = 8 * (len(df.columns) + 2)
+    size = F.lit(fixed) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
+    total = df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= max_bytes else df
 
 
 def ship_package(spark: SparkSession) -> None:

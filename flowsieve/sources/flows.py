@@ -89,15 +89,15 @@ def scan_parquet(
 ) -> DataFrame:
     """Parquet, optionally projected and cast to a declared schema.
 
-    ``row_key`` adds ``_file`` and ``_row``, which together identify a row physically and do
-    not depend on how the files are split among tasks.
+    ``row_key`` adds ``_file`` and ``_row``, the file's name and the place in it, which
+    together identify a row and depend neither on the folder nor on how files are split among tasks.
     """
     df = spark.read.parquet(path)
     extra = []
     if row_key:
         df = df.select(
             "*",
-            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_name").alias("_file"),
             F.col("_metadata.row_index").alias("_row"),
         )
         extra = [T.StructField("_file", T.StringType()), T.StructField("_row", T.LongType())]

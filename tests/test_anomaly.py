@@ -86,10 +86,11 @@ def test_unusable_values_are_refused(spark, bad):
         fitted(df)
 
 
-def test_repeated_keys_are_refused(spark):
-    df = points(spark, 600).withColumn("id", F.col("id") % 3)
-    with pytest.raises(Exception, match="does not identify a row"):
-        fitted(df)
+@pytest.mark.parametrize("n", [600, 60_000])
+def test_repeated_keys_are_taken_alike_at_any_size(spark, n):
+    df = points(spark, n).withColumn("id", F.col("id") % 3)
+    one, other = fitted(df), fitted(df.repartition(3))
+    assert all((one[g].threshold == other[g].threshold).all() for g in one)
 
 
 def test_too_many_features_are_refused(spark):

@@ -126,3 +126,10 @@ def test_fixed_lists_take_84_columns_to_28():
         sizes.append(len(names))
     assert sizes == [84, 71, 85, 82, 61, 28]
     assert set(names) - {"Label"} == set(presets.FINAL_FEATURES)
+
+
+def test_trimming_maps_and_columns_alike(spark):
+    df = spark.createDataFrame([("a ",), ("b\t",)], "c string")
+    assert [r.c for r in recode(df, "c", {" a": 1, "b\t": 2}, trim=True).collect()] == [1, 2]
+    with pytest.raises(ValueError, match="two codes"):
+        recode(df, "c", {"a": 1, "a ": 2}, trim=True)

@@ -54,7 +54,8 @@ def test_report(spark, tmp_path):
     assert row.per_fold == [0.5, 0.6, 0.7] and np.isclose(row["mean"], 0.6)
     for _ in range(2):
         report.append_metrics(metrics, str(tmp_path / "m"))
-    assert spark.read.parquet(str(tmp_path / "m")).count() == 6
+    stored = spark.read.parquet(str(tmp_path / "m"))
+    assert stored.count() == 6 and stored.select("run_id").distinct().count() == 2
     matrix = spark.createDataFrame([("m", 0, 4, 1, 2, 3)], "model string, fold int, tn long, fp long, fn long, tp long")
     best = spark.createDataFrame([("m", 0, "{'C': 20}")], "model string, fold int, params string")
     text = report.render_text(report.fold_report(metrics), matrix, best)

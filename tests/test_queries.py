@@ -4,9 +4,12 @@ import pytest
 
 import oracle_check
 from __spark_entry__ import entry, oracle_sql, queries
+from flowsieve.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
-FAST_ROWS_ONLY = ["iforest_scores", "anomaly_rows", "multi_group_outliers", "tree_importance", "fit_logistic"]
+FAST_ROWS_ONLY = ["iforest_scores", "anomaly_rows", "multi_group_outliers"]
+# Fifty fits; and layers of fifty that 1,500 rows do not fix exactly. oracle_check.py runs both at sf0.01.
+SLOW = {"grid_search", "fit_mlp"}
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +17,7 @@ def con():
     return oracle_check.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
 def test_equals_sql(spark, con, name):
     assert oracle_check.compare(con, oracle_sql()[name], queries()[name](spark, SF)) == []
 

@@ -123,11 +123,20 @@ def test_folds_equal_a_plain_ranking(spark, monkeypatch):
 def test_folds_spread_copies_of_one_key(spark, monkeypatch):
     monkeypatch.setattr(rows, "ROWS_PER_CELL", 100)
     df = labelled(spark, 6000).withColumn("key", F.when(F.col("key") % 3 == 0, -1).otherwise(F.col("key")))
-    folded = rows.stratified_folds(df, label="label", key=["key"])
+    with pytest.raises(Exception, match="does not identify a row"):
+        rows.stratified_folds(df, label="label", key=["key"]).collect()
+    folded = rows.stratified_folds(df, label="label", key=["key"], spread_copies=True)
     sizes = [r["count"] for r in folded.groupBy("fold").count().collect()]
     assert sorted(sizes) == [1200] * 5
 
 
+@pytest.mark.parametrize("partitions", [1, 8])
+def test_two_copies_of_a_key_are_enough_to_fail(spark, partitions):
+    df = labelled(spark, 3000, partitions).withColumn("key", F.when(F.col("key") == 7, 0).otherwise(F.col("key")))
+    with pytest.raises(Exception, match="does not identify a row"):
+        rows.stratified_folds(df, label="label", key=["key"]).collect()
+
+
 def test_folds_need_enough_rows_and_labels(spark):
     few = spark.createDataFrame([(1, 0), (2, 0), (3, 0), (4, 1)], "key int, label int")
     with pytest.raises(Exception, match="fewer rows than 3 folds"):
