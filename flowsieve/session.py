@@ -20,10 +20,15 @@ _LOCAL_ROOT: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
-def local_session(cores: int | str = 8, app: str = "flowsieve", memory: str = "16g") -> SparkSession:
-    """A session for tests and the bench; a cluster brings its own."""
+def local_session(
+    cores: int | str = 8, app: str = "flowsieve", memory: str = "8g", shared: str | None = None
+) -> SparkSession:
+    """A session for tests and the bench; a cluster brings its own. ``shared``: ``spark.checkpoint.dir``."""
+    builder = SparkSession.builder
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.session.timeZone", "UTC")

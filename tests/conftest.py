@@ -10,8 +10,8 @@ from flowsieve.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8, app="flowsieve-tests", memory="8g")
+def spark(tmp_path_factory):
+    session = local_session(8, app="flowsieve-tests", shared=str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
 
