@@ -112,7 +112,8 @@ def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     """Hint a broadcast only after measuring: text by its bytes, anything else 8 a value."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    fixed = 8 * (len(df.columns) + 2)
+    numbers = lambda kind: len(kind.fields) + 1 if isinstance(kind, T.StructType) else 1
+    fixed = 8 * (sum(numbers(f.dataType) for f in df.schema) + 2)
     size = F.lit(fixed) + sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(0))
     total = df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
     return F.broadcast(df) if total <= max_bytes else df
