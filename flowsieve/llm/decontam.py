@@ -8,24 +8,23 @@ compared: each value of the item must always stand for the same value in the doc
 
 from __future__ import annotations
 
-import re
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import BREAK, fresh, row_key
-from flowsieve.llm.vectors import mix, word_hashes
+from flowsieve.llm.common import fresh, row_key
+from flowsieve.llm.vectors import CHUNK, mix, tables
 from flowsieve.session import materialise, ship_package
 
 WINDOW, LEAST = 8, 4
 COVERAGE = 0.5
 #: Bits of the filter that spares most windows of the documents the join; its size is fixed.
 FILTER_BITS = 1 << 24
-VOCABULARY = 200_000
 
-# Words for numbers and units, signs that count as units.
+# Words for numbers and units.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
     "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
@@ -38,90 +37,136 @@ UNITS = frozenset(
     "khz mhz ghz w kw mw v kv j kj cal kcal pa kpa bar k c f degree degrees percent dollar dollars cent cents "
     "euro euros usd eur gbp kb mb gb tb".split()
 )
-TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)?|[%$€£°]")
-SPLIT = re.compile(BREAK)
-ENDS = re.compile(r"[.!?:][\"'”’)\]]*$")
 LITERAL, NUMBER, UNIT, NAME, SIGN = range(5)
 PLACEHOLDERS = mix(np.array([0, 11, 12, 13], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
+# Byte classes: 0 between tokens, 1 letters and all of other alphabets, 2 digits, 3 signs that count as units.
+_CLASS = np.zeros(256, np.int8)
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_CLASS[48:58] = 2
+_CLASS[[36, 37]] = 3
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SIGNS = str.maketrans("€£°", "$$%")
+_SPACE, _POINT, _QUOTE, _STOP = (np.zeros(256, bool) for _ in range(4))
+_SPACE[[32, *range(9, 14)]] = _POINT[[44, 46]] = _QUOTE[39] = _STOP[[33, 46, 58, 63]] = True
+#: Bytes of documents that are worked on together, so that short texts cost little each.
+GROUP = 1 << 17
 
 
-class Lexicon(dict):
-    """Words of texts to ids, with the tokens of each word in flat arrays; forgotten when it is full."""
-
-    def __init__(self):
-        super().__init__()
-        self.forget()
-
-    def forget(self):
-        self.clear()
-        self.texts: list[str] = []
-        self.n = 0
-        self.hash = np.zeros(1024, np.uint64)
-        self.kind = np.zeros(1024, np.int8)
-        self.first = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
-        self.ends = np.zeros(1024, bool)
-
-    def __missing__(self, word: str) -> int:
-        found = TOKEN.findall(word)
-        k, at = len(self), self.n
-        while k >= len(self.count):
-            self.first, self.count, self.ends = (np.resize(x, 2 * len(x)) for x in (self.first, self.count, self.ends))
-        while at + len(found) > len(self.kind):
-            self.hash, self.kind = np.resize(self.hash, 2 * len(self.hash)), np.resize(self.kind, 2 * len(self.kind))
-        self.first[k], self.count[k], self.ends[k] = at, len(found), bool(ENDS.search(word))
-        for t in found:
-            low = t.lower()
-            if t[0].isdigit() or low in NUMBER_WORDS:
-                kind = NUMBER
-            elif low in UNITS:
-                kind = UNIT
-            elif t in "%$€£°":
-                kind = SIGN
-            elif t[0].isupper() and len(t) > 1 and not t.isupper():
-                kind = NAME
-            else:
-                kind = LITERAL
-            self.kind[self.n], self.hash[self.n] = kind, word_hashes(low)[0]
-            self.texts.append(low.replace(",", "") if kind == NUMBER else low)
-            self.n += 1
-        self[word] = k
-        return k
-
-
-class Template:
-    """The canonical tokens of a text: digests, kinds, and where the values are."""
-
-    def __init__(self, text: str, lexicon: Lexicon):
-        if len(lexicon) > VOCABULARY:
-            lexicon.forget()
-        ids = np.array([lexicon[w] for w in SPLIT.split(text) if w], np.int64)
-        count = lexicon.count[ids]
-        flat = np.repeat(lexicon.first[ids] - np.cumsum(count) + count, count) + np.arange(count.sum())
-        start = np.zeros(len(flat), bool)
-        opens = np.ones(len(ids), bool)
-        opens[1:] = lexicon.ends[ids[:-1]]
-        heads = (np.cumsum(count) - count)[(count > 0) & opens]
-        start[heads] = True
-        kind = lexicon.kind[flat].copy()
-        before = np.zeros_like(kind)
-        before[1:] = kind[:-1]
-        after = np.zeros_like(kind)
-        after[:-1] = kind[1:]
-        kind[(kind == SIGN) & ((before == NUMBER) | (after == NUMBER))] = UNIT
-        kind[(kind == SIGN) | (kind == UNIT) & (before != NUMBER) & (lexicon.kind[flat] != SIGN)] = LITERAL
-        kind[(kind == NAME) & start] = LITERAL
-        name = kind == NAME
+def _between(kinds: np.ndarray, data: np.ndarray, signs: np.ndarray, kind: int) -> None:
+    """Give the signs the class of both their neighbours, where that is ``kind``."""
+    at = np.flatnonzero(signs[data[1:-1]]) + 1 if len(data) > 2 else np.empty(0, np.int64)
+    kinds[at[(kinds[at - 1] == kind) & (kinds[at + 1] == kind)]] = kind
+
+
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-case bytes, and where a capital begins; Latin letters, with their accents."""
+    low, capital = _LOWER[data], (data >= 65) & (data <= 90)
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] >= 0x80) & (data[lead + 1] <= 0x9E) & (data[lead + 1] != 0x97)]
+    low[lead + 1] += 0x20
+    capital[lead] = True
+    return low, capital
+
+
+def _chunk(data: np.ndarray, opens: bool) -> tuple[tuple[np.ndarray, ...], bool]:
+    """(start, end, kind, digest, whether it opens a sentence) of the tokens; whether the next one opens one."""
+    powers, inverse = tables()
+    kinds = _CLASS[data]
+    _between(kinds, data, _POINT, 2)
+    _between(kinds, data, _QUOTE, 1)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[0] = edge[-1] = True
+    edge[1:-1] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == 3)
+    edges = np.flatnonzero(edge)
+    solid = kinds[edges[:-1]] != 0
+    start, end = edges[:-1][solid], edges[1:][solid]
+    low, capital = _lowered(data)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers[: len(data)], out=sums[1:])
+    digest = mix((sums[end] - sums[start]) * inverse[start])
+    stops = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(_STOP[data] & (kinds == 0), out=stops[1:])
+    before = np.concatenate([[0], end[:-1]])
+    first = stops[start] > stops[before] if len(start) else np.empty(0, bool)
+    kind = np.choose(kinds[start], [LITERAL, LITERAL, NUMBER, SIGN]).astype(np.int8)
+    second = start + 1 + (data[start] >= 0xC0)
+    name = capital[start] & (second < end) & ~capital[np.minimum(second, len(data) - 1)]
+    kind[name & (kind == LITERAL)] = NAME
+    if len(start):
+        first[0] |= opens
+        opens = bool(stops[-1] > stops[end[-1]])
+    else:
+        opens = opens or bool(stops[-1])
+    return (start, end, kind, digest, first), opens
+
+
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    parts, at, opens = [], 0, True
+    while at < len(data):
+        end = min(at + CHUNK, len(data))
+        if end < len(data):
+            gaps = np.flatnonzero(_SPACE[data[at:end]])
+            end = at + int(gaps[-1]) + 1 if len(gaps) else end
+        part, opens = _chunk(data[at:end], opens)
+        parts.append((part[0] + at, part[1] + at, *part[2:]))
+        at = end
+    if not parts:
+        parts = [_chunk(data, True)[0]]
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+@lru_cache(maxsize=1)
+def _listed() -> tuple[np.ndarray, np.ndarray]:
+    digest = lambda words: np.sort(np.array([_tokens(np.frombuffer(w.encode(), np.uint8))[3][0] for w in words]))
+    return digest(NUMBER_WORDS), digest(UNITS)
+
+
+def _among(digests: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, digests), len(known) - 1)] == digests
+
+
+class Templates:
+    """The canonical tokens of some texts: digests, kinds, and where the values are.
+
+    A name is a word with one capital that does not open a sentence; neighbours are one name. A unit
+    is a listed word after a number, or a sign before or after one. All work is on arrays of bytes.
+    """
+
+    def __init__(self, texts: list[str]):
+        texts = [t.translate(_SIGNS) if any(c in t for c in "€£°") else t for t in texts]
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        self.raw = b"\n".join(raws)
+        begins = np.cumsum([0, *[len(r) + 1 for r in raws[:-1]]])
+        start, end, kind, digest, first = _tokens(np.frombuffer(self.raw, np.uint8))
+        owner = np.searchsorted(begins, start, side="right") - 1
+        heads = np.ones(len(kind), bool)
+        heads[1:] = owner[1:] != owner[:-1]
+        numbers, units = _listed()
+        if len(kind):
+            worded = (kind == LITERAL) | (kind == NAME)
+            kind[worded & _among(digest, numbers)] = NUMBER
+            unit = worded & _among(digest, units)
+            kind[unit] = UNIT
+            before = np.concatenate([[LITERAL], kind[:-1]])
+            before[heads] = LITERAL
+            after = np.concatenate([kind[1:], [LITERAL]])
+            after[:-1][heads[1:]] = LITERAL
+            kind[unit & (before != NUMBER)] = LITERAL
+            kind[kind == SIGN] = np.where((before == NUMBER) | (after == NUMBER), UNIT, LITERAL)[kind == SIGN]
+        kind[(kind == NAME) & (first | heads)] = LITERAL
         run = np.zeros(len(kind), bool)
-        run[1:] = name[1:] & name[:-1]
-        self.flat, self.at = flat, np.flatnonzero(~run)
-        self.kind = kind[self.at]
-        self.hash = np.where(self.kind == LITERAL, lexicon.hash[flat[self.at]], PLACEHOLDERS[self.kind])
-        self.lexicon = lexicon
+        run[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
+        self.at = np.flatnonzero(~run)
+        self.start, self.end = start, end
+        self.kind, self.owner = kind[self.at], owner[self.at]
+        self.hash = np.where(self.kind == LITERAL, digest[self.at], PLACEHOLDERS[self.kind])
+        #: First canonical token of each text.
+        self.base = np.searchsorted(self.owner, np.arange(len(texts)))
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Digests of the windows of ``size`` tokens, at least half of them literal; and their places."""
+        """Digests of the windows of ``size`` tokens of one text, at least half of them literal; and their places."""
         n = len(self.hash) - size + 1
         if n <= 0:
             return np.empty(0, np.uint64), np.empty(0, np.int64)
@@ -129,7 +174,8 @@ class Template:
         for k in range(size):
             total += self.hash[k : k + n] * _STEPS[k]
         sums = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
-        places = np.flatnonzero(2 * (sums[size:] - sums[:-size]) >= size)
+        literal = 2 * (sums[size:] - sums[:-size]) >= size
+        places = np.flatnonzero(literal & (self.owner[:n] == self.owner[size - 1 :]))
         return mix(total[places]), places
 
     def slots(self, place: int, size: int) -> list[str]:
@@ -137,17 +183,17 @@ class Template:
         values = []
         for k in range(place, place + size):
             if self.kind[k] != LITERAL:
-                end = self.at[k + 1] if k + 1 < len(self.at) else len(self.flat)
-                values.append(" ".join(self.lexicon.texts[t] for t in self.flat[self.at[k] : end]))
+                last = self.at[k + 1] if k + 1 < len(self.at) else len(self.start)
+                value = self.raw[self.start[self.at[k]] : self.end[last - 1]].decode("utf-8", "replace").lower()
+                values.append(value.replace(",", "") if self.kind[k] == NUMBER else " ".join(value.split()))
         return values
 
 
 def _item_windows(batches):
-    lexicon = Lexicon()
     for batch in batches:
         rows = []
         for item, text in zip(batch["item"], batch["text"]):
-            made = Template(text, lexicon)
+            made = Templates([text])
             size = min(WINDOW, len(made.hash))
             if size < LEAST:
                 continue
@@ -159,11 +205,11 @@ def _item_windows(batches):
 def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", text: str = "text") -> DataFrame:
     """Template windows of the benchmark; an item of four to seven tokens is one window, a shorter one none."""
     ship_package(benchmark.sparkSession)
-    cut = benchmark.select(F.col(item_col).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = dict(cut.dtypes)["item"]
-    return cut.mapInPandas(
-        _item_windows, f"item {kind}, h bigint, item_at bigint, size int, n bigint, item_slots array<string>"
+    cut = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    made = cut.mapInPandas(
+        _item_windows, "item string, h bigint, item_at bigint, size int, n bigint, item_slots array<string>"
     )
+    return made.withColumn("item", F.col("item").cast(benchmark.schema[item_col].dataType))
 
 
 def _filter_bits(windows: DataFrame) -> np.ndarray:
@@ -180,21 +226,33 @@ def _filter_bits(windows: DataFrame) -> np.ndarray:
     return bits
 
 
+def _grouped(batch: pd.DataFrame):
+    """Slices of a batch with about ``GROUP`` characters of text."""
+    first = size = 0
+    for k, text in enumerate(batch["text"]):
+        size += len(text)
+        if size >= GROUP:
+            yield batch.iloc[first : k + 1]
+            first, size = k + 1, 0
+    if first < len(batch):
+        yield batch.iloc[first:]
+
+
 def _document_windows(bits, sizes: list[int]):
     def run(batches):
-        lexicon, known = Lexicon(), bits.value
+        known = bits.value
         for batch in batches:
             rows = []
-            for doc, key, text in zip(batch["doc"], batch["key"], batch["text"]):
-                made = Template(text, lexicon)
+            for group in _grouped(batch):
+                docs, keys, made = group["doc"].tolist(), group["key"].tolist(), Templates(group["text"].tolist())
                 for size in sizes:
                     h, places = made.windows(size)
                     low = h & np.uint64(FILTER_BITS - 1)
-                    hit = np.flatnonzero((known[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1))
-                    rows += [
-                        (doc, key, int(h[k : k + 1].view(np.int64)[0]), int(places[k]), size, made.slots(places[k], size))
-                        for k in hit
-                    ]
+                    word = known[(low >> np.uint64(6)).astype(np.int64)]
+                    hit = np.flatnonzero((word >> (low & np.uint64(63))) & np.uint64(1))
+                    for digest, place in zip(h[hit].view(np.int64).tolist(), places[hit].tolist()):
+                        k = int(made.owner[place])
+                        rows.append((docs[k], keys[k], digest, place - int(made.base[k]), size, made.slots(place, size)))
             yield pd.DataFrame(rows, columns=["doc", "key", "h", "doc_at", "size", "doc_slots"])
 
     return run
@@ -223,15 +281,14 @@ def leaks(
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     bits = spark.sparkContext.broadcast(_filter_bits(items))
     cut = docs.select(
-        F.col(id_col).alias("doc"),
+        F.col(id_col).cast("string").alias("doc"),  # pandas has no whole numbers with nulls
         row_key(F.col(id_col), F.col(text)).alias("key"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    kind = dict(cut.dtypes)["doc"]
     found = cut.mapInPandas(
         _document_windows(bits, sizes),
-        f"doc {kind}, key binary, h bigint, doc_at bigint, size int, doc_slots array<string>",
-    )
+        "doc string, key binary, h bigint, doc_at bigint, size int, doc_slots array<string>",
+    ).withColumn("doc", F.col("doc").cast(docs.schema[id_col].dataType))
     found = materialise(
         found.join(items, ["h", "size"]).select(
             "doc",

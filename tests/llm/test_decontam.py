@@ -1,0 +1,79 @@
+import random
+
+import pytest
+
+from flowsieve.llm import decontam as D
+
+ITEMS = [
+    (1, "A train leaves Paris at 40 km per hour and meets another train from Lyon after 3 hours of travel. How far apart are they?"),
+    (2, "Maria buys 12 apples for 3 dollars each and sells 12 of them to her friend Anna for 5 dollars each in the market."),
+    (3, "too short"),
+    (None, None),
+    (4, ""),
+    (5, "a question of six words only"),
+]
+
+
+def filler(rng, n):
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def documents():
+    rng = random.Random(4)
+    return [
+        (1, filler(rng, 50) + " " + ITEMS[0][1] + " " + filler(rng, 50)),
+        (2, filler(rng, 50) + ". A train leaves Rome at 55 miles per hour and meets another train from Berlin after 9 hours of travel. How far apart are they? " + filler(rng, 9)),
+        (3, "x y. Maria buys 7 apples for 4 dollars each and sells 7 of them to her friend Ruth for 6 dollars each in the market."),
+        (4, "x y. Maria buys 7 apples for 4 dollars each and sells 9 of them to her friend Ruth for 6 dollars each in the market."),
+        (5, "A train leaves Paris at 40 km per hour and then nothing more of it is said here at all by anyone"),
+        (6, filler(rng, 300)),
+        (7, "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16"),
+        (8, "well, A QUESTION of six\nwords only!"),
+    ]
+
+
+def test_templates():
+    made = D.Templates(["Tom has 1,200 apples and buys 3.5 kg of Flour Mix in Paris, on day two.", "$5 or 7% of it"])
+    kinds = made.kind.tolist()
+    first = kinds[: made.base[1]]
+    assert [k for k in first if k != D.LITERAL] == [D.NUMBER, D.NUMBER, D.UNIT, D.NAME, D.NAME, D.NUMBER]
+    assert made.slots(0, len(first)) == ["1200", "3.5", "kg", "flour mix", "paris", "two"]
+    assert kinds[made.base[1] :] == [D.UNIT, D.NUMBER, D.LITERAL, D.NUMBER, D.UNIT, D.LITERAL, D.LITERAL]
+
+
+def test_tokens_do_not_depend_on_chunks(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["Anna", "12", "km", "été", "Été.", "3.5", "x", "it's", "$5", "end.", "éa"]) for _ in range(400))
+    whole = D.Templates([text])
+    monkeypatch.setattr(D, "CHUNK", 50)
+    parts = D.Templates([text])
+    assert parts.hash.tolist() == whole.hash.tolist() and parts.slots(0, 99) == whole.slots(0, 99)
+
+
+def test_leaks_with_other_values(spark, documents):
+    docs = spark.createDataFrame(documents, "doc_id bigint, text string")
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    found = {(r["doc"], r["item"]): r["exact"] for r in D.leaks(docs, items).collect()}
+    # 4 uses two values for one of the item, 5 has less than half of it, 7 only values.
+    assert found == {(1, 1): True, (2, 1): False, (3, 2): False, (8, 5): True}
+    left = D.decontaminate(docs, items)
+    assert sorted(r["doc_id"] for r in left.collect()) == [4, 5, 6, 7]
+
+
+def test_edge_rows(spark, edge, nothing):
+    items = spark.createDataFrame(ITEMS + [(9, edge.first()["text"][:200])], "item_id bigint, text string")
+    found = sorted(str((r["doc"], r["item"])) for r in D.leaks(edge, items).collect())
+    assert found == ["(1, 9)", "(2, 9)", "(3, 9)", "(None, 9)"]
+    left = D.decontaminate(edge, items)
+    assert left.columns == edge.columns and left.count() == edge.count() - 5
+    assert D.leaks(nothing, items).count() == 0 and D.leaks(edge, items.where("false")).count() == 0
+    assert D.decontaminate(nothing, items).count() == 0
+
+
+def test_real_table_has_every_whole_passage(spark, tables):
+    docs, items = tables("documents"), tables("benchmark")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    expected = {(i, b["item_id"]) for i, t in texts.items() for b in items.collect() if b["text"] in t}
+    assert expected
+    assert {(r["doc"], r["item"]) for r in D.leaks(docs, items).collect()} == expected
