@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections import deque
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 from flowsieve import presets
 from flowsieve.functions.names import check_columns
 from flowsieve.operators.quantiles import exact_quantiles
-from flowsieve.session import materialise, ship_package
+from flowsieve.session import broadcast_if_small, materialise, materialised, ship_package
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -230,21 +232,40 @@ def flag_outliers(
 ) -> DataFrame:
     """Add ``anomaly_<group>`` (-1 outlier, 1 not) for every group.
 
-    Each group is judged on all rows, never on what another group left over. Scores are
-    written once, because finding their exact quantiles reads them several times.
+    Each group is judged on all rows, never on what another group left over. Only keys and scores
+    are written, for the exact quantiles; the rows are scored again when the result is read.
     """
     forests = fit_forests(df, groups, key=key, **forest_options)
-    scored = materialise(score_forests(df, forests), "scored")
     names = [f"score_{g}" for g in groups]
-    cuts = exact_quantiles(scored, [(n, contamination) for n in names])
-    return scored.select(
+    with materialised(_narrow_scores(df, forests, key), "scores") as stored:
+        cuts = exact_quantiles(stored, [(n, contamination) for n in names])
+    return score_forests(df, forests).select(
         *df.columns, *[flag(n, c).alias(f"anomaly_{g}") for g, n, c in zip(groups, names, cuts)]
     )
 
 
-def drop_outliers(df: DataFrame, groups: dict[str, list[str]], *, key: list[str], **options) -> DataFrame:
-    """Rows that no group flags, with the columns of ``df``."""
-    flagged = flag_outliers(df, groups, key=key, **options)
-    for name in groups:
-        flagged = flagged.where(F.col(f"anomaly_{name}") != -1)
-    return flagged.select(*df.columns)
+def _narrow_scores(df: DataFrame, forests: dict[str, Forest], key: list[str]) -> DataFrame:
+    columns = dict.fromkeys([*key, *[c for f in forests.values() for c in f.columns]])
+    return score_forests(df.select(*columns), forests).select(*key, *[f"score_{g}" for g in forests])
+
+
+def drop_outliers(
+    df: DataFrame,
+    groups: dict[str, list[str]],
+    *,
+    key: list[str],
+    contamination: float = presets.CONTAMINATION,
+    **options,
+) -> DataFrame:
+    """Rows that no group flags, with the columns of ``df``.
+
+    The flagged keys, about the contaminated share of the rows per group, are written; the wide rows
+    are not, and are scored once only. Rows that share a flagged key go together.
+    """
+    forests = fit_forests(df, groups, key=key, **options)
+    names = [f"score_{g}" for g in groups]
+    with materialised(_narrow_scores(df, forests, key), "scores") as stored:
+        cuts = exact_quantiles(stored, [(n, contamination) for n in names])
+        low = reduce(or_, [flag(n, c) == -1 for n, c in zip(names, cuts)])
+        gone = materialise(stored.where(low).select(*key).distinct(), "outliers")
+    return df.join(broadcast_if_small(gone), key, "left_anti").select(*df.columns)

@@ -56,16 +56,24 @@ def scan_order_id(df: DataFrame, *, order: list[str] | None = None, into: str =
     ``df`` must be a written table carrying ``_file``, ``_block`` and ``_at`` from
     ``sources.flows.scan_csv(position=True)``. Data rows are not shuffled or sorted: each
     block's first id comes from a table with one row per block, and the place in the block
-    is read off ``_at``, which counts upward within a block.
+    is read off ``_at``, which counts upward within a block. That table is written once and keyed
+    by a digest of the block, checked to be unique, so that a million blocks are about 30 MB to
+    broadcast.
     """
     order = order or []
     cell = [*order, "_file", "_block"]
     blocks = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
-    starts = blocks.select(*cell, "_first", _running(blocks, cell).alias("_start"))
+    digest = F.xxhash64(*cell).alias("_cell")
+    starts = materialise(
+        blocks.select(digest, (_running(blocks, cell) - F.col("_first")).alias("_shift")), "starts"
+    )
+    if starts.count() != starts.select("_cell").distinct().count():
+        raise RuntimeError("two blocks have one digest")
     return (
-        df.join(broadcast_if_small(starts), cell)
-        .withColumn(into, F.col("_start") + F.col("_at") - F.col("_first"))
-        .drop("_first", "_start", "_file", "_block", "_at")
+        df.withColumn("_cell", digest)
+        .join(broadcast_if_small(starts), "_cell")
+        .withColumn(into, F.col("_at") + F.col("_shift"))
+        .drop("_cell", "_shift", "_file", "_block", "_at")
     )
 
 
@@ -133,6 +141,7 @@ def stratified_folds(
     seed: int = 1,
     into: str = "fold",
     spread_copies: bool = False,
+    rank: str | None = None,
 ) -> DataFrame:
     """Assign each row a fold 0..k-1, shuffled, with every class spread evenly.
 
@@ -145,7 +154,8 @@ def stratified_folds(
     The key must identify a row within its class; a repeat fails the job when folds are read.
     ``spread_copies`` allows repeats: the scan position then always joins the digest, so copies
     are spread over all cells, and folds depend on the order of the scan, which is fixed by
-    writing the table first.
+    writing the table first. ``rank`` names a column for the place in the whole order, from which
+    ``inner_fold`` tells the folds of a training part without ranking again.
     """
     if k < 2:
         raise ValueError("k must be at least 2")
@@ -181,11 +191,21 @@ def stratified_folds(
         hashed.withColumn("_cell", cell(_prefix(F.col("_h"))))
         .withColumn("_place", F.when(alike, repeated).otherwise(place))
         .join(starts, "_cell")
-        .withColumn(into, F.pmod(F.col("_start") + F.col("_place"), F.lit(k)).cast("int"))
-        .select(*columns, into)
+        .withColumn("_rank", F.col("_start") + F.col("_place"))
+        .withColumn(into, F.pmod("_rank", F.lit(k)).cast("int"))
+        .select(*columns, *([F.col("_rank").alias(rank)] if rank else []), into)
     )
 
 
+def inner_fold(rank: str, outer: int, k_outer: int, k_inner: int) -> Column:
+    """Inner fold of a row outside outer fold ``outer``: ``stratified_folds`` of that part, by the same
+    key and seed, ranks its rows in the same order, so the rank less the rows of the outer fold before
+    it is the rank there."""
+    r = F.col(rank)
+    before = F.floor((r + (k_outer - 1 - outer)) / k_outer).cast("bigint")
+    return F.pmod(r - before, F.lit(k_inner)).cast("int")
+
+
 def fold_balance(df: DataFrame, *, label: str, fold: str = "fold") -> DataFrame:
     return df.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n"))
 

@@ -61,6 +61,7 @@ class DetectorConfig:
 
 
 ROW_ID = "row_id"
+RANK = "fold_rank"
 INTERNAL = (ROW_ID, "label")
 
 
@@ -149,7 +150,9 @@ def _candidates(cleaned: DataFrame, cfg: DetectorConfig) -> list[str]:
 
 
 def _folded(df: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    folds = rows.stratified_folds(df, label="label", key=[ROW_ID], k=cfg.k_outer, seed=presets.CV_SEED)
+    folds = rows.stratified_folds(
+        df, label="label", key=[ROW_ID], k=cfg.k_outer, seed=presets.CV_SEED, rank=RANK
+    )
     return materialise(folds, "design", partition_by=["fold"])
 
 
@@ -164,6 +167,7 @@ def _evaluate(folded: DataFrame, cfg: DetectorConfig, width: int, prepare=None)
         centre=cfg.centre,
         parallelism=cfg.parallelism,
         prepare=prepare,
+        rank=RANK,
     )
 
 
@@ -184,7 +188,7 @@ def _select_inside(prepared: DataFrame, cfg: DetectorConfig) -> DetectorResult:
     """Deal out the folds first, then clean and select on each training part."""
 
     def prepare_fold(train, test):
-        kept = clean(train.drop("fold"), cfg)
+        kept = clean(train.drop("fold", RANK), cfg)
         names = _candidates(kept, cfg)
         train, test = _design(kept, names), _design(test, names)
         if cfg.features == "eliminate":

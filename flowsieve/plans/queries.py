@@ -354,10 +354,10 @@ def _vectors(spark, d) -> tuple[DataFrame, int]:
     return vectors, _embedding_width(emb)
 
 
-def _design(spark, d, *, k: int, seed: int, fold: str) -> tuple[DataFrame, int]:
+def _design(spark, d, *, k: int, seed: int, fold: str, rank: str) -> tuple[DataFrame, int]:
     """Vectors with a binary label and folds, stored once for the many fits to come."""
     vectors, width = _vectors(spark, d)
-    folded = rows.stratified_folds(vectors, label="label", key=["vec_id"], k=k, seed=seed, into=fold)
+    folded = rows.stratified_folds(vectors, label="label", key=["vec_id"], k=k, seed=seed, into=fold, rank=rank)
     return materialise(folded, "design", partition_by=[fold]), width
 
 
@@ -450,9 +450,9 @@ def grid_search(spark, d):
 
 
 def nested_cv(spark, d):
-    design, width = _design(spark, d, k=3, seed=1, fold="fold")
+    design, width = _design(spark, d, k=3, seed=1, fold="fold", rank="fold_rank")
     done = tuning.nested_cv(
-        design, small_models(), width=width, key=["vec_id"], k_outer=3, k_inner=2, parallelism=4
+        design, small_models(), width=width, key=["vec_id"], k_outer=3, k_inner=2, parallelism=4, rank="fold_rank"
     )
     return done.metrics.where("metric <> 'fit_seconds'")
 

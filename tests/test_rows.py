@@ -167,3 +167,13 @@ def test_shape(spark):
 def test_declared_names_have_no_collisions():
     names = [normalise(f.name) for f in FLOW_SCHEMA]
     assert len(set(names)) == 84
+
+
+@pytest.mark.parametrize("outer", range(4))
+def test_inner_folds_by_arithmetic_are_those_of_the_part(spark, outer):
+    folded = rows.stratified_folds(labelled(spark, 2001), label="label", key=["key"], k=4, rank="r")
+    train, _ = rows.train_test(folded, outer)
+    counted = train.withColumn("inner", rows.inner_fold("r", outer, 4, 3))
+    ranked = rows.stratified_folds(train, label="label", key=["key"], k=3, into="inner")
+    pairs = lambda df: sorted((r.key, r.inner) for r in df.collect())
+    assert pairs(counted) == pairs(ranked)
