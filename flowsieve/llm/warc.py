@@ -7,6 +7,7 @@ and a metadata record; request and metadata name the response in WARC-Concurrent
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from flowsieve.session import checkpoint_root, materialise, ship_package
 
 NEWLINE = "\r\n"
+GZIP = b"\x1f\x8b"
 #: Payload bytes of an archive file, as reading holds a file in memory.
 FILE_BYTES = 8 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -123,7 +125,7 @@ def write_archives(
     )
     dealt.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option(
         "lineSep", NEWLINE * 2
-    ).text(path)
+    ).option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes):
@@ -150,13 +152,15 @@ RECORDS = (
 
 
 def read_records(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
-    """The records of all archives below ``path``; without ``payloads`` only their sizes and digests."""
+    """The records of all archives below ``path``, compressed or not; without ``payloads`` only their sizes and digests."""
     ship_package(spark)
 
     def run(batches):
         for batch in batches:
             for data in batch["content"]:
                 rows = []
+                if data[:2] == GZIP:
+                    data = gzip.decompress(data)
                 for f, block in parse_records(data):
                     kind, size, digest, body, text = f["warc-type"], None, None, None, None
                     if kind == "response":
