@@ -19,7 +19,7 @@ BUCKETS = 10_000
 #: At most so many trusted rows are fitted; they are the ones with the smallest digests.
 TRUSTED_ROWS = 200_000
 #: A document stays if its mean log ratio is at least this (nats per feature).
-THRESHOLD = -0.15
+THRESHOLD = -0.18
 UNIT = 1_000_000
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
