@@ -118,12 +118,12 @@ def _draw(df: DataFrame, columns: list[str], key: list[str], rows: int, trees: i
     """
     unit = lambda *parts: (F.xxhash64(*parts).cast("double") / F.lit(2.0**64)) + 0.5
     bound = 2.0 * sample / rows
-    row = F.xxhash64(F.lit(seed), *key, *columns)
-    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(t, F.col("_row")) < bound)
-    draws = df.select(*key, *columns, row.alias("_row"))
-    draws = draws.withColumn("tree", F.explode(trees_of)).withColumn("u", unit(F.col("tree"), F.col("_row")))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", *key, *columns))
-    return draws.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", *columns)
+    # nothing of the table but the struct goes on, so its names cannot clash with these
+    draws = df.select(F.xxhash64(F.lit(seed), *key, *columns).alias("draw"), F.struct(*columns).alias("x"))
+    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(t, F.col("draw")) < bound)
+    draws = draws.withColumn("tree", F.explode(trees_of)).withColumn("u", unit(F.col("tree"), F.col("draw")))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "draw", "x"))
+    return draws.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", "x.*")
 
 
 def fit_forests(

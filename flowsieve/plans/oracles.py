@@ -6,14 +6,16 @@ from itertools import combinations
 
 NUMERICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
 _TWINS = """
-SELECT l_quantity, l_extendedprice, l_discount, l_tax,
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
        l_quantity * 2 + l_tax AS quantity_twin,
        l_extendedprice / 2 - l_discount AS price_twin,
        CASE WHEN l_returnflag = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label
 FROM lineitem
 """
-_TWIN_COLUMNS = [*NUMERICS, "quantity_twin", "price_twin"]
+_TWIN_COLUMNS = [*KEYS, *NUMERICS, "quantity_twin", "price_twin"]
 
 _FOLDS = """
 SELECT event_id, event_type,
@@ -223,6 +225,13 @@ ORACLES: dict[str, str] = {
         UNION ALL BY NAME
         SELECT l_discount, l_orderkey, l_linenumber, l_quantity, 'R' AS source
         FROM lineitem WHERE l_returnflag IS NULL OR l_returnflag NOT IN ('A', 'N')""",
+    "scan_csv_sources": """
+        SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_returnflag,
+               CASE WHEN l_returnflag IN ('A', 'N') THEN l_returnflag ELSE 'R' END AS source
+        FROM lineitem""",
+    "scan_row_id": """
+        SELECT o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id
+        FROM orders""",
     "row_id": """
         SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id FROM orders""",
     "frame_shape": "SELECT count(*) AS n_rows, CAST(6 AS INTEGER) AS n_columns FROM orders",

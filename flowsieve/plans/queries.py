@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -18,10 +19,11 @@ from flowsieve.functions.network import prefix_flags
 from flowsieve.functions.times import cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, features, models, profile, quantiles, report, rows, selection, tuning
 from flowsieve.operators import metrics as M
-from flowsieve.session import materialise, small_table
-from flowsieve.sources.flows import scan_parquet, stack_sources
+from flowsieve.session import checkpoint_root, materialise, small_table
+from flowsieve.sources.flows import scan_csv, scan_parquet, stack_sources
 
 NUMERICS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 EVENT_LABELS = {"error": 1, "click": 0, "purchase": 0, "signup": 0, "view": 0}
 HOST_PREFIXES = {
     "blog http": "http://blog.",
@@ -30,9 +32,10 @@ HOST_PREFIXES = {
     "www https": "https://www.",
     "m.https": "https://m.",
 }
+#: Eight columns or more each, as the forest takes eight features per tree.
 OUTLIER_GROUPS = {
-    "amounts": ["l_quantity", "l_extendedprice", "l_discount", "l_tax"],
-    "keys": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    "numbers": [*KEYS, *NUMERICS],
+    "ratios": ["l_partkey", "l_suppkey", "unit_price", "charge", *NUMERICS],
 }
 ROUND = 6
 
@@ -77,6 +80,41 @@ def stack(spark, d):
     return stack_sources(_by_flag(spark, d))
 
 
+CSV_SCHEMA = T.StructType(
+    [
+        T.StructField("l_orderkey", T.LongType()),
+        T.StructField("l_linenumber", T.LongType()),
+        T.StructField("l_quantity", T.DoubleType()),
+        T.StructField("l_returnflag", T.StringType()),
+    ]
+)
+
+
+def _csv_folder(spark) -> str:
+    return f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+
+
+def scan_csv_sources(spark, d):
+    """The detector's way in: headered CSV, a source per flag, columns in another order in each."""
+    li = table(spark, d, "lineitem")
+    folder, names = _csv_folder(spark), CSV_SCHEMA.names
+    rest = "l_returnflag is null or l_returnflag not in ('A', 'N')"
+    parts = {"A": ("l_returnflag = 'A'", names), "N": ("l_returnflag = 'N'", names[::-1]), "R": (rest, names[1:] + names[:1])}
+    for source, (rule, order) in parts.items():
+        li.where(rule).select(*order).write.option("header", True).csv(f"{folder}/{source}")
+    return stack_sources({s: scan_csv(spark, f"{folder}/{s}", CSV_SCHEMA) for s in parts})
+
+
+def scan_row_id(spark, d):
+    """Contiguous ids in scan order, over orders written as CSV in key order."""
+    folder = _csv_folder(spark)
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    orders.orderBy("o_orderkey").write.option("header", True).csv(folder)
+    schema = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType())])
+    stored = materialise(scan_csv(spark, folder, schema, position=True), "scanned")
+    return rows.scan_order_id(stored)
+
+
 def row_id(spark, d):
     return rows.sorted_row_id(table(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
 
@@ -228,6 +266,7 @@ def constants(spark, d):
 
 def _twins(spark, d):
     return table(spark, d, "lineitem").select(
+        *KEYS,
         *NUMERICS,
         (F.col("l_quantity") * 2 + F.col("l_tax")).alias("quantity_twin"),
         (F.col("l_extendedprice") / 2 - F.col("l_discount")).alias("price_twin"),
@@ -235,7 +274,7 @@ def _twins(spark, d):
     )
 
 
-TWINS = [*NUMERICS, "quantity_twin", "price_twin"]
+TWINS = [*KEYS, *NUMERICS, "quantity_twin", "price_twin"]
 
 
 def corr_matrix(spark, d):
@@ -315,11 +354,17 @@ def param_grid(spark, d):
 
 
 def _lineitem_keyed(spark, d):
-    return scan_parquet(spark, f"{d}/lineitem.parquet", row_key=True)
+    li = scan_parquet(spark, f"{d}/lineitem.parquet", row_key=True)
+    return li.withColumns(
+        {
+            "unit_price": F.col("l_extendedprice") / F.greatest("l_quantity", F.lit(1)),
+            "charge": F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")),
+        }
+    )
 
 
 KEY = ["_file", "_row"]
-FOREST = {"key": KEY, "features": 3}
+FOREST = {"key": KEY}
 
 
 def iforest_scores(spark, d):
@@ -331,9 +376,9 @@ def iforest_scores(spark, d):
 def anomaly_rows(spark, d):
     li = _lineitem_keyed(spark, d)
     flagged = anomaly.flag_outliers(
-        li, {"amounts": OUTLIER_GROUPS["amounts"]}, contamination=0.001, **FOREST
+        li, {"numbers": OUTLIER_GROUPS["numbers"]}, contamination=0.001, **FOREST
     )
-    return flagged.where(F.col("anomaly_amounts") == -1).drop("_file")
+    return flagged.where(F.col("anomaly_numbers") == -1).drop("_file")
 
 
 def multi_group_outliers(spark, d):
@@ -476,6 +521,8 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "scan_flows": scan_flows,
         "stack_sources": stack,
+        "scan_csv_sources": scan_csv_sources,
+        "scan_row_id": scan_row_id,
         "row_id": row_id,
         "frame_shape": frame_shape,
         "recode_label": recode_label,
