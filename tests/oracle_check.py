@@ -25,6 +25,7 @@ SAME_TYPE = {
     "VARCHAR": "string",
     "TIMESTAMP": "timestamp_ntz",
     "FLOAT": "float",
+    "BOOLEAN": "boolean",
 }
 
 
