@@ -178,3 +178,21 @@ def read_back(segments: DataFrame) -> DataFrame:
 
 #: A conversation whose texts hold the control strings.
 PROBE = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+#: What reading back gives for table ``conversations`` and the probe, in SQL.
+SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+), s as (
+  select *, replace(replace(r, '%', '%25'), ':', '%3A') e from t
+)
+select conv_id, count(*) n_turns,
+  sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, r, x)) turns_sha256,
+  coalesce(sum(len(x)) filter (r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(x, '' order by turn nulls first, r, x) filter (r = 'assistant'), '')) loss_sha256,
+  sum(15 + len(e) + len(x) + len(regexp_extract_all(e, '\\|###|</turn>')) + len(regexp_extract_all(x, '\\|###|</turn>')))::bigint formatted_chars,
+  false rewrote
+from s group by conv_id
+"""

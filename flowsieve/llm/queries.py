@@ -87,4 +87,9 @@ QUERIES = {
 }
 
 #: SQL twins, where SQL can express the operator.
-ORACLES: dict[str, str] = {"op3_licence_sentences": licences.sql(), "op6_line_dedup": lines.SQL, "op10_warc_transactions": warc.SQL}
+ORACLES: dict[str, str] = {
+    "op3_licence_sentences": licences.sql(),
+    "op4_chat_format": chat.SQL,
+    "op6_line_dedup": lines.SQL,
+    "op10_warc_transactions": warc.SQL,
+}
