@@ -39,9 +39,15 @@ def cyclic(part: Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
+def clock_parts(ts: Column) -> tuple[Column, Column]:
+    """Minute and hour."""
+    return F.minute(ts), F.hour(ts)
+
+
 def cyclic_time(ts: Column, prefix: str = "hr") -> list[Column]:
-    sin_m, cos_m = cyclic(F.minute(ts), 60)
-    sin_h, cos_h = cyclic(F.hour(ts), 24)
+    minute, hour = clock_parts(ts)
+    sin_m, cos_m = cyclic(minute, 60)
+    sin_h, cos_h = cyclic(hour, 24)
     return [
         sin_m.alias(f"{prefix}_sin_minutes"),
         cos_m.alias(f"{prefix}_cos_minutes"),

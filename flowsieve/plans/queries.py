@@ -16,7 +16,7 @@ from flowsieve import presets
 from flowsieve.functions.labels import recode
 from flowsieve.functions.names import normalise_names
 from flowsieve.functions.network import prefix_flags
-from flowsieve.functions.times import cyclic_time, parse_time, weekend_flag
+from flowsieve.functions.times import clock_parts, cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, features, models, profile, quantiles, report, rows, selection, tuning
 from flowsieve.operators import metrics as M
 from flowsieve.session import checkpoint_root, materialise, small_table
@@ -163,9 +163,8 @@ def parse_time_query(spark, d):
 
 
 def time_parts(spark, d):
-    return table(spark, d, "events").select(
-        "event_id", F.minute("ts").alias("minute_part"), F.hour("ts").alias("hour_part")
-    )
+    minute, hour = clock_parts(F.col("ts"))
+    return table(spark, d, "events").select("event_id", minute.alias("minute_part"), hour.alias("hour_part"))
 
 
 def cyclic(spark, d):
@@ -307,7 +306,7 @@ def fold_balance(spark, d):
 
 
 def train_test_fold(spark, d):
-    train, test = rows.train_test(folds(spark, d), 0)
+    train, test = rows.train_test(materialise(folds(spark, d), "folds", partition_by=["fold"]), 0)
     return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
 
 
@@ -514,7 +513,9 @@ def flagship(spark, d):
     parts = tuning.make_parts(*rows.train_test(folded, 0), [models.logistic()])
     predictions, _ = tuning.fit_predict(parts, models.logistic(), {"C": 20}, width=len(inputs))
     matrix = M.confusion_matrix(predictions).withColumn("model", F.lit("LogisticRegression"))
-    return matrix.join(M.binary_metrics(matrix), "model").join(M.auc_hard(matrix), "model")
+    wide = M.binary_metrics(matrix, cells=True)
+    rate = lambda a, b: F.col(a) / (F.col(a) + F.col(b))
+    return wide.withColumn("auc_hard", (rate("tp", "fn") + rate("tn", "fp")) / 2)
 
 
 def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
