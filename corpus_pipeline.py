@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import decontam, jaccard, lines, mixing, quality
-from flowsieve.llm.common import NOT_BREAK, set_aside, table
+from flowsieve.llm.common import NOT_BREAK, set_aside, table, where_late
 from flowsieve.session import materialise
 
 
@@ -14,14 +14,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """The documents that pass the quality rules; those without text fail them."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
     docs, own = set_aside(docs, quality.ADDED)
-    return quality.quality_rules(docs, trusted).where("kept").select(*own)
+    return where_late(quality.quality_rules(docs, trusted), F.col("kept")).select(*own)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated windows of lines removed; a document of which nothing is left goes with them."""
     docs, own = set_aside(docs, ["n_lines", "n_removed"])
     cleaned = lines.dedup_lines(docs)
-    cleaned = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(NOT_BREAK))
+    cleaned = where_late(cleaned, (F.col("n_removed") == 0) | F.col("text").rlike(NOT_BREAK))
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return cleaned.withColumn("n_chars", changed).select(*own)
 
@@ -38,7 +38,7 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, with the words it takes of each, repeats counted."""
-    return mixing.mix(docs).where("taken > 0")
+    return where_late(mixing.mix(docs), F.col("taken") > 0)
 
 
 STAGES = [

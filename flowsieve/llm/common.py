@@ -49,6 +49,16 @@ def set_aside(docs: DataFrame, added: list[str]) -> tuple[DataFrame, list[Column
     return docs.withColumnsRenamed(renamed), [F.col(renamed.get(c, c)).alias(c) for c in docs.columns]
 
 
+def where_late(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by columns that are costly to work out, once they are.
+
+    A plain filter is pushed below the projections, with their expressions written out in it, and
+    what lambdas share is then worked out for every element. A row number, which may not move, stops that.
+    """
+    (row,) = fresh(df, "_row")
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
+
+
 def row_key(*columns: Column) -> Column:
     """16 bytes that tell rows of different content apart; nulls differ from empty strings."""
     parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in columns]
