@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import fresh, row_key, text_of, words
-from flowsieve.session import materialise, ship_package, small_table
+from flowsieve.session import broadcast_if_small, materialise, ship_package, small_table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -125,7 +125,7 @@ def _last_ranks(narrow: DataFrame, plan: DataFrame) -> DataFrame:
         "key", "size", "extra", F.ceil(F.log2(F.greatest(F.col("n") / BUCKET, F.lit(1.0)))).cast("int").alias("bits")
     )
     bucket = F.when(F.col("bits") == 0, F.lit(0).cast("bigint")).otherwise(F.expr("shiftright(rank, 64 - bits)"))
-    dealt = narrow.join(part, ["key", "size"]).withColumn("bucket", bucket)
+    dealt = narrow.join(broadcast_if_small(part), ["key", "size"]).withColumn("bucket", bucket)
     counts = dealt.groupBy("key", "size", "bucket").agg(
         F.count(F.lit(1)).alias("c"), F.first("extra").alias("extra")
     )
@@ -136,7 +136,8 @@ def _last_ranks(narrow: DataFrame, plan: DataFrame) -> DataFrame:
         .select("key", "size", "bucket", (F.col("extra") - F.col("upto") + F.col("c")).alias("need"))
     )
     place = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("rank"))
-    ranked = dealt.drop("extra", "bits").join(cut, ["key", "size", "bucket"]).withColumn("place", place)
+    cut = materialise(cut, "cut")
+    ranked = dealt.drop("extra", "bits").join(broadcast_if_small(cut), ["key", "size", "bucket"]).withColumn("place", place)
     return ranked.where("place = need").select("key", "size", F.col("rank").alias("last"))
 
 
@@ -156,7 +157,9 @@ def mix(
     times all words; a target is at most twice its source. ``taken`` is size times the copies in the
     mix: 0, 1 or 2. Null texts have size 0, as have texts without words; such rows take 0. Rows of
     equal id and text may differ in ``taken``, as only part of them may be needed. An empty table
-    gives an empty one. The driver gets one row per source, a task the lengths of one source.
+    gives an empty one. The driver gets one row per source, a task the lengths of one source. What is
+    decided, a row per source and length, is broadcast where it measures 64 MB at most; beyond that it is
+    shuffled, as a written table, so that Spark can split a length that very many documents have.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -190,7 +193,8 @@ def mix(
         F.struct("source_size", "target", "passes", "extra", "n", "last").alias("plan"),
     )
     (goal,) = fresh(counted, "_plan")
-    joined = counted.join(last.withColumnRenamed("plan", goal), [key, size])
+    last = materialise(last, "last").withColumnRenamed("plan", goal)
+    joined = counted.join(broadcast_if_small(last), [key, size])
     more = F.when(F.col(goal)["extra"] == F.col(goal)["n"], 1).when(F.col(rank) <= F.col(goal)["last"], 1).otherwise(0)
     return joined.select(
         *[c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken")],
