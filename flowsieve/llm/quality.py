@@ -1,7 +1,8 @@
 """Quality rules: counted heuristics, then a hashed n-gram log-likelihood ratio.
 
 A document's hashed one- and two-word features are scored under two multinomials, one of a
-trusted target and one of the raw corpus. The mean log ratio per feature decides; nothing is
+trusted target and one of the raw corpus. The mean log ratio per feature decides, against a
+threshold that trusted documents set which their own weights were not fitted on. Nothing is
 drawn at random. Weights are whole numbers (millionths of a nat), so that sums and the verdict do
 not depend on the order of addition.
 """
@@ -10,16 +11,24 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import NOT_BREAK, fresh, let, words
+from flowsieve.llm.common import NOT_BREAK, fresh, let, where_late, words
 
-BUCKETS = 10_000
+BUCKETS = 1 << 18
 #: At most so many trusted rows are fitted; they are the ones with the smallest digests.
 TRUSTED_ROWS = 200_000
-#: A document stays if its mean log ratio is at least this (nats per feature).
-THRESHOLD = -0.18
+#: Trusted documents are scored in so many parts, each under weights of the others.
+FOLDS = 4
+#: So large a share of them may score below the threshold.
+LOST = 0.02
+#: With fewer of them than this no share is taken, and a document stays if its mean log ratio is at
+#: least ``THRESHOLD`` (nats per feature).
+LEAST_HELD_OUT = 20
+THRESHOLD = -1.0
 UNIT = 1_000_000
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
@@ -78,7 +87,60 @@ def _prepared(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
     return df.withColumn(p, _pairs(F.col(h), 1)), {"t": t, "w": w, "h": h, "p": p}
 
 
-def fit_weights(
+def _log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log ratio of target to raw corpus for every bucket, in millionths; 0 without a target."""
+    if not target.sum():
+        return np.zeros(len(raw), np.int32)
+    all_raw, all_target = int(raw.sum()) + len(raw), int(target.sum()) + len(raw)
+    known: dict[tuple[int, int], int] = {}
+
+    def of(n: int, m: int) -> int:
+        if (n, m) not in known:
+            known[n, m] = round(UNIT * (math.log((m + 1) / all_target) - math.log((n + 1) / all_raw)))
+        return known[n, m]
+
+    return np.fromiter(map(of, raw.tolist(), target.tolist()), np.int32, len(raw))
+
+
+def _weigh(hashes: Column, weights: np.ndarray) -> Column:
+    """Sum of the weights of ``hashes``."""
+    table = F.split(F.lit(",".join(map(str, weights.tolist()))), ",").cast("array<int>")
+    return F.aggregate(
+        hashes,
+        F.lit(0).cast("bigint"),
+        lambda a, x: a + F.get(table, F.pmod(x, F.lit(len(weights))).cast("int")),
+    )
+
+
+def _counted(df: DataFrame, c: dict[str, str]) -> DataFrame:
+    """The counts and ``base_failed`` added to what ``_prepared`` returns."""
+    t, w, h, p = (F.col(c[k]) for k in "twhp")
+    lines, win = fresh(df, "_lines", "_windows")
+    df = df.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_BREAK))).withColumn(win, _windows(h, p))
+    count = lambda x: F.size(x).cast("bigint")
+    repeats = F.when(
+        F.size(F.array_distinct(F.col(win))) == F.size(F.col(win)), F.lit(0).cast("bigint")
+    ).otherwise(_covered(F.col(win)))
+    df = df.withColumns(
+        {
+            "n_words": count(w),
+            "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
+            "n_symbols": F.length(F.regexp_replace(t, SYMBOLS, "")).cast("bigint"),
+            "n_dup_lines": count(F.col(lines)) - count(F.array_distinct(F.col(lines))),
+            "n_repeat_words": repeats,
+        }
+    )
+    return df.withColumn(
+        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    ).drop(lines, win)
+
+
+def _size() -> Column:
+    """Features of a document."""
+    return F.lit(2) * F.col("n_words") - 1
+
+
+def fit(
     docs: DataFrame,
     trusted: DataFrame,
     *,
@@ -86,12 +148,14 @@ def fit_weights(
     text: str = "text",
     buckets: int = BUCKETS,
     trusted_rows: int = TRUSTED_ROWS,
-) -> list[int]:
-    """Log ratio of target to raw corpus for every bucket, in millionths.
+) -> tuple[np.ndarray, float]:
+    """Log ratio of target to raw corpus for every bucket, in millionths, and the threshold.
 
     ``trusted`` has the ids of the target; ids that are null or not in ``docs`` do nothing, repeats
     count once. Counts are smoothed by one. All of ``docs`` makes the raw corpus. Without a trusted
-    document every weight is 0. The driver gets ``buckets`` rows.
+    document every weight is 0. Scores depend on the size of the corpus, so the threshold does too:
+    trusted documents that pass the base rules are scored under weights fitted without their part
+    of ``FOLDS``, and a share of ``LOST`` is below it. The driver gets ``buckets`` rows.
     """
     ids = (
         trusted.select(F.col(id_col).alias("i"))
@@ -99,30 +163,58 @@ def fit_weights(
         .distinct()
         .orderBy(F.xxhash64("i"), "i")
         .limit(trusted_rows)
+        .withColumn("fold", F.pmod(F.xxhash64("i", F.lit("fold")), F.lit(FOLDS)).cast("int"))
     )
-    df, c = _prepared(docs.select(F.col(id_col).alias("i"), F.col(text).alias("text")), "text")
-    marked = df.join(F.broadcast(ids.withColumn("hit", F.lit(1))), "i", "left")
+    cut = docs.select(F.col(id_col).alias("i"), F.col(text).alias("text"))
+    df, c = _prepared(cut, "text")
+    marked = df.join(F.broadcast(ids), "i", "left")
+    folds = [F.count_if(F.col("fold") == k).alias(f"t{k}") for k in range(FOLDS)]
     counts = (
-        marked.select("hit", F.explode(F.concat(c["h"], c["p"])).alias("g"))
+        marked.select("fold", F.explode(F.concat(c["h"], c["p"])).alias("g"))
         .groupBy(F.pmod("g", F.lit(buckets)).cast("int").alias("b"))
-        .agg(F.count(F.lit(1)).alias("raw"), F.count("hit").alias("target"))
-        .collect()
+        .agg(F.count(F.lit(1)).alias("raw"), *folds)
+        .toArrow()
+    )
+    places = counts["b"].to_numpy()
+    raw, *parts = (np.zeros(buckets, np.int64) for _ in range(FOLDS + 1))
+    for into, name in zip([raw, *parts], counts.column_names[1:]):
+        into[places] = counts[name].to_numpy()
+    target = sum(parts)
+    weights = _log_ratios(raw, target)
+    if not target.any():
+        return weights, THRESHOLD
+    without = [_log_ratios(raw, target - part) for part in parts]
+    return weights, _held_out(cut.join(F.broadcast(ids), "i"), without)
+
+
+def _held_out(docs: DataFrame, without: list[np.ndarray]) -> float:
+    """The threshold from documents with their ``fold`` and the weights without each."""
+    names = [f"w{k}" for k in range(len(without))]
+    # At most FOLDS + 1 whole numbers a bucket, whatever the size of the corpus.
+    table = F.broadcast(
+        docs.sparkSession.createDataFrame(
+            pa.table([pa.array(range(len(without[0])), pa.int32()), *map(pa.array, without)], ["b", *names])
+        )
     )
-    raw, target = [0] * buckets, [0] * buckets
-    for b, n, m in counts:
-        raw[b], target[b] = n, m
-    if not sum(target):
-        return [0] * buckets
-    all_raw, all_target = sum(raw) + buckets, sum(target) + buckets
-    return [
-        round(UNIT * (math.log((m + 1) / all_target) - math.log((n + 1) / all_raw)))
-        for n, m in zip(raw, target)
-    ]
+    df, c = _prepared(docs, "text")
+    df = where_late(_counted(df, c).withColumn("place", F.monotonically_increasing_id()), ~F.col("base_failed"))
+    each = df.select("place", "fold", _size().alias("size"), F.explode(F.concat(c["h"], c["p"])).alias("g"))
+    scored = (
+        each.select("place", "fold", "size", F.pmod("g", F.lit(len(without[0]))).cast("int").alias("b"))
+        .join(table, "b")
+        .groupBy("place", "size")
+        .agg(F.sum(F.get(F.array(*names), F.col("fold"))).alias("score"))
+    )
+    # Rounded down, so that the document at the threshold stays.
+    n, least = scored.agg(
+        F.count(F.lit(1)), F.expr(f"percentile_disc({LOST}) within group (order by floor(score / size))")
+    ).first()
+    return THRESHOLD if n < LEAST_HELD_OUT else int(least) / UNIT
 
 
 def judge(
     docs: DataFrame,
-    weights: list[int],
+    weights: np.ndarray,
     *,
     text: str = "text",
     threshold: float = THRESHOLD,
@@ -134,45 +226,17 @@ def judge(
     score is at least the threshold in whole numbers, so a tie is kept.
     """
     df, c = _prepared(docs, text)
-    t, w, h, p = (F.col(c[k]) for k in "twhp")
-    lines, win = fresh(df, "_lines", "_windows")
-    table = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<bigint>")
-    df = df.withColumn(lines, F.filter(F.split(t, "\n"), lambda x: x.rlike(NOT_BREAK))).withColumn(win, _windows(h, p))
-
-    def weigh(hashes: Column) -> Column:
-        return F.aggregate(
-            hashes,
-            F.lit(0).cast("bigint"),
-            lambda a, x: a + F.get(table, F.pmod(x, F.lit(len(weights))).cast("int")),
-        )
-
-    count = lambda x: F.size(x).cast("bigint")
-    repeats = F.when(
-        F.size(F.array_distinct(F.col(win))) == F.size(F.col(win)), F.lit(0).cast("bigint")
-    ).otherwise(_covered(F.col(win)))
     (score,) = fresh(df, "_score")
-    df = df.withColumns(
-        {
-            "n_words": count(w),
-            "word_chars": F.length(F.array_join(w, "")).cast("bigint"),
-            "n_symbols": F.length(F.regexp_replace(t, SYMBOLS, "")).cast("bigint"),
-            "n_dup_lines": count(F.col(lines)) - count(F.array_distinct(F.col(lines))),
-            "n_repeat_words": repeats,
-            score: weigh(h) + weigh(p),
-        }
-    )
-    df = df.withColumn(
-        "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    )
-    size = F.lit(2) * F.col("n_words") - 1
+    df = _counted(df.withColumn(score, _weigh(F.concat(c["h"], c["p"]), weights)), c)
     return df.withColumns(
         {
-            "log_ratio": F.when(F.col("n_words") > 0, F.col(score) / size / UNIT),
-            "kept": ~F.col("base_failed") & (F.col(score) >= F.lit(round(threshold * UNIT)) * size),
+            "log_ratio": F.when(F.col("n_words") > 0, F.col(score) / _size() / UNIT),
+            "kept": ~F.col("base_failed") & (F.col(score) >= F.lit(round(threshold * UNIT)) * _size()),
         }
-    ).drop(lines, win, score, *c.values())
+    ).drop(score, *c.values())
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, *, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
     """Fit on all of ``docs`` and judge each of them."""
-    return judge(docs, fit_weights(docs, trusted, id_col=id_col, text=text, **kw), text=text)
+    weights, threshold = fit(docs, trusted, id_col=id_col, text=text, **kw)
+    return judge(docs, weights, text=text, threshold=threshold)

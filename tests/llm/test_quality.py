@@ -2,10 +2,12 @@ import math
 import re
 import struct
 
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from flowsieve.llm import quality as Q
+from flowsieve.llm.common import where_late
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -103,3 +105,15 @@ def test_junk_scores_below_clean(tables):
     judged = Q.quality_rules(docs, fit).where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id")
     by = {r["quality"]: r["r"] for r in judged.groupBy("quality").agg(F.avg("log_ratio").alias("r")).collect()}
     assert by[1] > Q.THRESHOLD and by[1] > by.get(0, -1) + 0.1
+
+
+@pytest.mark.parametrize("sf, most", [("sf0.001", 0), ("sf0.01", 0.15), ("sf0.1", 0.05)])
+def test_junk_goes_and_clean_stays_at_every_size(spark, sf, most):
+    """Labelled junk that the base rules pass, and trusted rows that the fit did not see."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{n}.parquet") for n in ("documents", "labels"))
+    fit = labels.where("quality = 1 and toxic = 0 and pmod(xxhash64(doc_id), 5) > 0")
+    judged = where_late(Q.quality_rules(docs, fit), ~F.col("base_failed")).select("doc_id", "kept")
+    unseen = judged.join(labels, "doc_id").where("toxic = 0 and (quality = 0 or pmod(xxhash64(doc_id), 5) = 0)")
+    unseen = unseen.groupBy("quality").agg(F.avg(F.col("kept").cast("int")))
+    kept = dict(unseen.collect())
+    assert kept[0] <= most and kept[1] >= 0.9
