@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so that a question asked again with other values
 has the same template. Windows of eight template tokens of the documents are joined by digest with
 those of the benchmark; for each alignment of a document with an item the values in the slots are
-compared: each value of the item must always stand for the same value in the document.
+compared: each value of the item must always stand for the same value in the document, or its
+windows count only where they are as in the item.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import fresh, row_key
+from flowsieve.llm.common import fresh, let, row_key
 from flowsieve.llm.vectors import CHUNK, mix, tables
 from flowsieve.session import materialise, ship_package
 
@@ -272,7 +273,8 @@ def leaks(
 
     Columns: ``doc``, ``key`` (digest of id and text), ``item``, ``n_windows`` (windows of the item
     that were found), ``coverage`` (their share), ``exact`` (all values as in the item). A pair counts
-    if windows of alignments with consistent slots make up ``coverage`` of the item's. Null and empty
+    if windows with consistent slots make up ``coverage`` of the item's: within an alignment a value of
+    the item that stands for several ones counts only in windows that are as in the item. Null and empty
     texts have no windows; neither have items of fewer than four tokens or without literal words.
     Repeated rows give one row. Ids may be null. Other columns are not read.
     """
@@ -303,18 +305,28 @@ def leaks(
     )
     align = ["doc", "key", "item", "shift"]
     aligned = (
-        found.select(*align, "n", "item_at", F.explode_outer("slots").alias("s"))
-        .groupBy(*align)
-        .agg(
-            F.max("n").alias("n"),
-            F.collect_set("item_at").alias("places"),
-            F.countDistinct("s.item_slots").alias("values"),
-            F.countDistinct("s.item_slots", "s.doc_slots").alias("pairs"),
-            F.bool_and(F.coalesce(F.col("s.item_slots") == F.col("s.doc_slots"), F.lit(True))).alias("same"),
-        )
+        found.groupBy(*align)
+        .agg(F.max("n").alias("n"), F.collect_set(F.struct("item_at", "slots")).alias("windows"))
     )
+    same = lambda s: s["item_slots"] == s["doc_slots"]
+
+    def repeated(was):
+        return F.array_distinct(F.filter(was, lambda v, i: F.coalesce(F.get(was, i + 1) == v, F.lit(False))))
+
+    def fitting(torn):
+        clear = lambda s: ~F.array_contains(torn, s["item_slots"])
+        kept = F.filter("windows", lambda w: F.forall(w["slots"], same) | F.forall(w["slots"], clear))
+        return F.transform(kept, lambda w: w["item_at"])
+
+    pairs = F.sort_array(F.array_distinct(F.flatten("windows.slots")))
+    torn = let(F.transform(pairs, lambda s: s["item_slots"]), repeated)
     return (
-        aligned.where("pairs = values")
+        aligned.select(
+            *align,
+            "n",
+            let(torn, fitting).alias("places"),
+            F.forall("windows", lambda w: F.forall(w["slots"], same)).alias("same"),
+        )
         .groupBy("doc", "key", "item")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),

@@ -77,3 +77,11 @@ def test_real_table_has_every_whole_passage(spark, tables):
     expected = {(i, b["item_id"]) for i, t in texts.items() for b in items.collect() if b["text"] in t}
     assert expected
     assert {(r["doc"], r["item"]) for r in D.leaks(docs, items).collect()} == expected
+
+
+def test_one_changed_number_spoils_only_its_windows(spark):
+    item = "In the year the town had 12 mills along the river and the miller kept a record of every sack of grain that was brought to him, and of these 12 mills only a few were left"
+    docs = spark.createDataFrame([(1, item[::-1].replace("21", "31", 1)[::-1])], "doc_id bigint, text string")
+    assert docs.first()["text"] != item
+    found = D.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert [(r["doc"], r["item"], r["exact"]) for r in found] == [(1, 1, False)]
