@@ -9,7 +9,9 @@ windows count only where they are as in the item.
 
 from __future__ import annotations
 
+from copy import copy
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,11 @@ UNITS = frozenset(
     "euro euros usd eur gbp kb mb gb tb".split()
 )
 LITERAL, NUMBER, UNIT, NAME, SIGN = range(5)
+#: The reading without placeholders.
+PLAIN = 2
 PLACEHOLDERS = mix(np.array([0, 11, 12, 13], np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Keeps the windows of the three readings of a text apart.
+SALTS = np.array([0, 0x2545F4914F6CDD1D, 0x5851F42D4C957F2D], np.uint64)
 _STEPS = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(WINDOW)], np.uint64)
 # Byte classes: 0 between tokens, 1 letters and all of other alphabets, 2 digits, 3 signs that count as units.
 _CLASS = np.zeros(256, np.int8)
@@ -156,15 +162,27 @@ class Templates:
             after[:-1][heads[1:]] = LITERAL
             kind[unit & (before != NUMBER)] = LITERAL
             kind[kind == SIGN] = np.where((before == NUMBER) | (after == NUMBER), UNIT, LITERAL)[kind == SIGN]
-        kind[(kind == NAME) & (first | heads)] = LITERAL
+        self.start, self.end = start, end
+        self._all, self._opens, self._owner, self._digest = kind, first | heads, owner, digest
+        self._texts, self._salt = len(texts), SALTS[0]
+        self._read(np.where((kind == NAME) & self._opens, LITERAL, kind))
+
+    def _read(self, kind: np.ndarray) -> None:
         run = np.zeros(len(kind), bool)
         run[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
         self.at = np.flatnonzero(~run)
-        self.start, self.end = start, end
-        self.kind, self.owner = kind[self.at], owner[self.at]
-        self.hash = np.where(self.kind == LITERAL, digest[self.at], PLACEHOLDERS[self.kind])
+        self.kind, self.owner = kind[self.at], self._owner[self.at]
+        self.hash = np.where(self.kind == LITERAL, self._digest[self.at], PLACEHOLDERS[self.kind])
         #: First canonical token of each text.
-        self.base = np.searchsorted(self.owner, np.arange(len(texts)))
+        self.base = np.searchsorted(self.owner, np.arange(self._texts))
+
+    def readings(self) -> list[Templates]:
+        """This one, one where capitalised words that open a sentence are names too, and one of words as they are."""
+        named, plain = copy(self), copy(self)
+        named._salt, plain._salt = SALTS[1:]
+        named._read(self._all)
+        plain._read(np.full(len(self._all), LITERAL, self._all.dtype))
+        return [self, named, plain]
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of the windows of ``size`` tokens of one text, at least half of them literal; and their places."""
@@ -177,7 +195,7 @@ class Templates:
         sums = np.concatenate([[0], np.cumsum(self.kind == LITERAL)])
         literal = 2 * (sums[size:] - sums[:-size]) >= size
         places = np.flatnonzero(literal & (self.owner[:n] == self.owner[size - 1 :]))
-        return mix(total[places]), places
+        return mix(total[places] ^ self._salt), places
 
     def slots(self, place: int, size: int) -> list[str]:
         """Values in the placeholders of a window, a run of names as one."""
@@ -194,21 +212,27 @@ def _item_windows(batches):
     for batch in batches:
         rows = []
         for item, text in zip(batch["item"], batch["text"]):
-            made = Templates([text])
-            size = min(WINDOW, len(made.hash))
-            if size < LEAST:
-                continue
-            h, places = made.windows(size)
-            rows += [(item, x, p, size, len(h), made.slots(p, size)) for x, p in zip(h.view(np.int64).tolist(), places.tolist())]
-        yield pd.DataFrame(rows, columns=["item", "h", "item_at", "size", "n", "item_slots"])
+            for reading, made in enumerate(Templates([text]).readings()):
+                size = min(WINDOW, len(made.hash))
+                if size < (1 if reading == PLAIN else LEAST):
+                    continue
+                h, places = made.windows(size)
+                rows += [
+                    (item, x, reading, p, size, len(h), made.slots(p, size))
+                    for x, p in zip(h.view(np.int64).tolist(), places.tolist())
+                ]
+        yield pd.DataFrame(rows, columns=["item", "h", "reading", "item_at", "size", "n", "item_slots"])
 
 
 def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", text: str = "text") -> DataFrame:
-    """Template windows of the benchmark; an item of four to seven tokens is one window, a shorter one none."""
+    """Windows of the benchmark in all readings; an item of up to seven tokens is one window.
+
+    A template of less than four tokens has none; the words as they are have them at any length.
+    """
     ship_package(benchmark.sparkSession)
     cut = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = cut.mapInPandas(
-        _item_windows, "item string, h bigint, item_at bigint, size int, n bigint, item_slots array<string>"
+        _item_windows, "item string, h bigint, reading int, item_at bigint, size int, n bigint, item_slots array<string>"
     )
     return made.withColumn("item", F.col("item").cast(benchmark.schema[item_col].dataType))
 
@@ -245,8 +269,8 @@ def _document_windows(bits, sizes: list[int]):
         for batch in batches:
             rows = []
             for group in _grouped(batch):
-                docs, keys, made = group["doc"].tolist(), group["key"].tolist(), Templates(group["text"].tolist())
-                for size in sizes:
+                docs, keys, first = group["doc"].tolist(), group["key"].tolist(), Templates(group["text"].tolist())
+                for made, size in product(first.readings(), sizes):
                     h, places = made.windows(size)
                     low = h & np.uint64(FILTER_BITS - 1)
                     word = known[(low >> np.uint64(6)).astype(np.int64)]
@@ -275,7 +299,8 @@ def leaks(
     that were found), ``coverage`` (their share), ``exact`` (all values as in the item). A pair counts
     if windows with consistent slots make up ``coverage`` of the item's: within an alignment a value of
     the item that stands for several ones counts only in windows that are as in the item. Null and empty
-    texts have no windows; neither have items of fewer than four tokens or without literal words.
+    texts have no windows. Texts are read three ways (capitalised words that open a sentence as words, as
+    names, and all tokens as they are but for case); the best counts, so copies of any item are found.
     Repeated rows give one row. Ids may be null. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -296,6 +321,7 @@ def leaks(
             "doc",
             "key",
             "item",
+            "reading",
             "n",
             "item_at",
             (F.col("doc_at") - F.col("item_at")).alias("shift"),
@@ -303,7 +329,7 @@ def leaks(
         ),
         "leak-windows",
     )
-    align = ["doc", "key", "item", "shift"]
+    align = ["doc", "key", "item", "reading", "shift"]
     aligned = (
         found.groupBy(*align)
         .agg(F.max("n").alias("n"), F.collect_set(F.struct("item_at", "slots")).alias("windows"))
@@ -327,7 +353,7 @@ def leaks(
             let(torn, fitting).alias("places"),
             F.forall("windows", lambda w: F.forall(w["slots"], same)).alias("same"),
         )
-        .groupBy("doc", "key", "item")
+        .groupBy("doc", "key", "item", "reading")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
             F.max("n").alias("n"),
@@ -335,7 +361,12 @@ def leaks(
         )
         .withColumn("coverage", F.col("n_windows") / F.col("n"))
         .where(F.col("coverage") >= coverage)
-        .drop("n")
+        .groupBy("doc", "key", "item")
+        .agg(
+            F.max_by("n_windows", F.struct("coverage", "n_windows")).alias("n_windows"),
+            F.bool_or(F.col("exact") & ((F.col("reading") != PLAIN) | (F.col("coverage") == 1))).alias("exact"),
+            F.max("coverage").alias("coverage"),
+        )
     )
 
 

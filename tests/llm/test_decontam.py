@@ -85,3 +85,23 @@ def test_one_changed_number_spoils_only_its_windows(spark):
     assert docs.first()["text"] != item
     found = D.leaks(docs, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
     assert [(r["doc"], r["item"], r["exact"]) for r in found] == [(1, 1, False)]
+
+
+def test_opening_names_and_items_of_values(spark):
+    items = [
+        (1, "Tom has 5 apples. Tom buys 3 more. How many apples does Tom have?"),
+        (2, "What is the capital of France?"),
+        (3, "What is 12 + 34 + 56 + 78?"),
+        (4, "Who? Me"),
+    ]
+    docs = [
+        (1, "Anna has 7 apples. Anna buys 4 more. How many apples does Anna have?"),
+        (2, "Question\nWhat is the capital of France?"),
+        (3, "some words\nWhat is 12 + 34 + 56 + 78? and so on"),
+        (4, "and he said \"who, me\""),
+        (5, "what is 12 + 34 + 56 + 79"),
+    ]
+    found = D.leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    )
+    assert sorted((r["doc"], r["item"]) for r in found.collect()) == [(1, 1), (2, 2), (3, 3), (4, 4)]
