@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from flowsieve.session import ship_package
 
 Turns = list[tuple[str, str]]
-#: Turns that a render looks back on; a conversation of any length then takes bounded memory.
-HISTORY = 4
+#: Turns that a render looks back on: all. A number bounds memory and time, and is right only for a template
+#: that states that it looks back no further.
+HISTORY = None
 
 # What opens and closes a turn, and the sign that escapes them inside texts.
 OPEN, COLON, CLOSE, ESCAPE = "### ", ": ", " </turn>\n", "\\"
@@ -100,7 +101,8 @@ def format_conversations(
     ``turn`` (null first), then role and text, so ties have one order and repeated rows are turns of
     their own. Null roles and texts are empty. Rows without conversation id are one conversation. The
     loss mask (code points in the segment) covers the texts of ``learned`` roles; elsewhere it is
-    empty. Rows are streamed, so a conversation of any length takes the memory of ``history`` turns.
+    empty. Rows are streamed; a conversation takes the memory of ``history`` turns, and whole prefixes
+    (the default) take time with the square of its turns.
     """
     ship_package(turns.sparkSession)
     cut = turns.select(

@@ -73,3 +73,12 @@ def test_other_templates_are_black_boxes():
 def test_history_does_not_matter_to_a_template_of_single_turns(history):
     turns = [("user", f"t{k}") for k in range(30)]
     assert "".join(s for s, *_ in C.rendered(turns, C.plain_template, history)) == C.plain_template(turns)
+
+
+def test_whole_prefixes_by_default(spark):
+    def late(t):  # from the eighth turn on, the first one is folded away
+        return "".join(f"[{r}]{'' if k == 0 and len(t) > 7 else x};" for k, (r, x) in enumerate(t))
+
+    rows = [(1, k, "user", f"t{k}") for k in range(10)]
+    made = C.format_conversations(spark.createDataFrame(rows, SCHEMA), template=late)
+    assert [r["seq"] for r in made.where("rewrote").collect()] == [7]
