@@ -4,7 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from flowsieve.llm import chat, decontam, jaccard, licences, lines, mixing, quality, secrets, tokens, warc
+from flowsieve.llm import (
+    chat,
+    decontam,
+    jaccard,
+    licences,
+    lines,
+    merkle,
+    mixing,
+    quality,
+    resample,
+    secrets,
+    tokens,
+    warc,
+)
 from flowsieve.llm.common import table
 from flowsieve.session import small_table
 
@@ -73,6 +86,14 @@ def op10_warc_transactions(spark: SparkSession, d: str) -> DataFrame:
     return warc.round_trip(table(spark, d, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.manifest(table(spark, d, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
+    return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 QUERIES = {
     "op1_template_decontamination": op1_template_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -84,6 +105,8 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
     "op10_warc_transactions": op10_warc_transactions,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 #: SQL twins, where SQL can express the operator.
@@ -92,4 +115,6 @@ ORACLES: dict[str, str] = {
     "op4_chat_format": chat.SQL,
     "op6_line_dedup": lines.SQL,
     "op10_warc_transactions": warc.SQL,
+    "op11_merkle_manifest": merkle.SQL,
+    "op13_importance_resampling": resample.SQL,
 }
