@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flowsieve.llm import (
     chat,
@@ -15,6 +16,7 @@ from flowsieve.llm import (
     quality,
     resample,
     secrets,
+    substrings,
     tokens,
     warc,
 )
@@ -90,6 +92,12 @@ def op11_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
     return merkle.manifest(table(spark, d, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
+    kept = substrings.dedup_substrings(table(spark, d, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, d: str) -> DataFrame:
     return resample.resample(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
@@ -106,6 +114,7 @@ QUERIES = {
     "op9_source_mix": op9_source_mix,
     "op10_warc_transactions": op10_warc_transactions,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
@@ -116,5 +125,6 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": lines.SQL,
     "op10_warc_transactions": warc.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op12_substring_dedup": substrings.SQL,
     "op13_importance_resampling": resample.SQL,
 }
