@@ -283,8 +283,9 @@ def manifest(
         leaf_digest([F.col(c) for c in fields]).alias("hash"),
         F.when(altered.isNotNull(), leaf_digest(now)).alias("altered"),
     )
-    # What is equal here is the same leaf, so a place in the scan may tell such rows apart.
-    ranked = sorted_row_id(leaves, ["source", "id", "hash"], into="at")
+    # Written, as the sort samples its input first. What is equal here is the same leaf, so that a place in
+    # the scan may tell such rows apart.
+    ranked = sorted_row_id(materialise(leaves, "leaves"), ["source", "id", "hash"], into="at")
     trees = materialise(
         ranked.groupBy("source").agg(F.min("at").alias("tree"), F.count(F.lit(1)).alias("n")), "trees"
     )
