@@ -25,10 +25,8 @@ TRUSTED_ROWS = 200_000
 FOLDS = 4
 #: So large a share of them may score below the threshold.
 LOST = 0.02
-#: With fewer of them than this no share is taken, and a document stays if its mean log ratio is at
-#: least ``THRESHOLD`` (nats per feature).
-LEAST_HELD_OUT = 20
-THRESHOLD = -1.0
+#: What the threshold (nats per feature) is without held-out documents, and how many of them weigh as much.
+PRIOR, PRIOR_WEIGHT = -1.0, 4
 UNIT = 1_000_000
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
@@ -92,24 +90,28 @@ def _log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     if not target.sum():
         return np.zeros(len(raw), np.int32)
     all_raw, all_target = int(raw.sum()) + len(raw), int(target.sum()) + len(raw)
-    known: dict[tuple[int, int], int] = {}
+    pairs, place = np.unique(np.stack([raw, target]), axis=1, return_inverse=True)
+    ratios = [
+        round(UNIT * (math.log((m + 1) / all_target) - math.log((n + 1) / all_raw))) for n, m in zip(*pairs.tolist())
+    ]
+    return np.array(ratios, np.int32)[place.ravel()]
 
-    def of(n: int, m: int) -> int:
-        if (n, m) not in known:
-            known[n, m] = round(UNIT * (math.log((m + 1) / all_target) - math.log((n + 1) / all_raw)))
-        return known[n, m]
 
-    return np.fromiter(map(of, raw.tolist(), target.tolist()), np.int32, len(raw))
+def _weigh(df: DataFrame, into: str, hashes: Column, weights: np.ndarray) -> DataFrame:
+    """``df`` with the sum of the weights of ``hashes``.
 
-
-def _weigh(hashes: Column, weights: np.ndarray) -> Column:
-    """Sum of the weights of ``hashes``."""
-    table = F.split(F.lit(",".join(map(str, weights.tolist()))), ",").cast("array<int>")
-    return F.aggregate(
+    The weights are the one value of a query of their own: the plan's text, which Spark writes anew at
+    every change of plan, does not have them. As a column they are copied once a row: a megabyte, some 50 µs.
+    """
+    made = pa.table([pa.array([weights.astype(np.int32)], pa.list_(pa.int32()))], ["w"])
+    (table,) = fresh(df, "_weights")
+    total = F.aggregate(
         hashes,
         F.lit(0).cast("bigint"),
-        lambda a, x: a + F.get(table, F.pmod(x, F.lit(len(weights))).cast("int")),
+        lambda a, x: a + F.get(F.col(table), F.pmod(x, F.lit(len(weights))).cast("int")),
     )
+    df = df.withColumn(table, df.sparkSession.createDataFrame(made).scalar())
+    return df.withColumn(into, total).drop(table)
 
 
 def _counted(df: DataFrame, c: dict[str, str]) -> DataFrame:
@@ -155,7 +157,8 @@ def fit(
     count once. Counts are smoothed by one. All of ``docs`` makes the raw corpus. Without a trusted
     document every weight is 0. Scores depend on the size of the corpus, so the threshold does too:
     trusted documents that pass the base rules are scored under weights fitted without their part
-    of ``FOLDS``, and a share of ``LOST`` is below it. The driver gets ``buckets`` rows.
+    of ``FOLDS``, and a share of ``LOST`` is below it. The fewer they are, the more it is drawn to ``PRIOR``, which
+    counts as ``PRIOR_WEIGHT`` of them. The driver gets ``buckets`` rows.
     """
     ids = (
         trusted.select(F.col(id_col).alias("i"))
@@ -182,7 +185,7 @@ def fit(
     target = sum(parts)
     weights = _log_ratios(raw, target)
     if not target.any():
-        return weights, THRESHOLD
+        return weights, PRIOR
     without = [_log_ratios(raw, target - part) for part in parts]
     return weights, _held_out(cut.join(F.broadcast(ids), "i"), without)
 
@@ -209,7 +212,7 @@ def _held_out(docs: DataFrame, without: list[np.ndarray]) -> float:
     n, least = scored.agg(
         F.count(F.lit(1)), F.expr(f"percentile_disc({LOST}) within group (order by floor(score / size))")
     ).first()
-    return THRESHOLD if n < LEAST_HELD_OUT else int(least) / UNIT
+    return (n * int(least or 0) / UNIT + PRIOR_WEIGHT * PRIOR) / (n + PRIOR_WEIGHT)
 
 
 def judge(
@@ -217,17 +220,17 @@ def judge(
     weights: np.ndarray,
     *,
     text: str = "text",
-    threshold: float = THRESHOLD,
+    threshold: float = PRIOR,
 ) -> DataFrame:
     """``docs`` with the counts, ``base_failed``, ``log_ratio`` and ``kept`` added (replacing namesakes).
 
     A null text is an empty one: no words, so it fails. Rows are judged one by one, so repeated
-    rows get equal verdicts and an empty table stays empty. ``log_ratio`` is null without words. The
-    score is at least the threshold in whole numbers, so a tie is kept.
+    rows get equal verdicts and an empty table stays empty. A text is held whole, with a few hashes a
+    word, however long. ``log_ratio`` is null without words. The score is at least the threshold in whole numbers, so a tie is kept.
     """
     df, c = _prepared(docs, text)
     (score,) = fresh(df, "_score")
-    df = _counted(df.withColumn(score, _weigh(F.concat(c["h"], c["p"]), weights)), c)
+    df = _counted(_weigh(df, score, F.concat(c["h"], c["p"]), weights), c)
     return df.withColumns(
         {
             "log_ratio": F.when(F.col("n_words") > 0, F.col(score) / _size() / UNIT),

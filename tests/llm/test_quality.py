@@ -2,6 +2,7 @@ import math
 import re
 import struct
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -30,30 +31,66 @@ def features(text, buckets):
     return [signed(x) % buckets for x in hs + [h2(a, b) for a, b in zip(hs, hs[1:])]]
 
 
+def ratios(raw, target):
+    if not sum(target):
+        return [0] * len(raw)
+    n, m = sum(raw) + len(raw), sum(target) + len(raw)
+    return [round(Q.UNIT * (math.log((y + 1) / m) - math.log((x + 1) / n))) for x, y in zip(raw, target)]
+
+
+def repeated(w):
+    seen, covered = {}, set()
+    for k in range(len(w) - 4):
+        seen.setdefault(tuple(w[k : k + 5]), []).append(k)
+    for places in seen.values():
+        if len(places) > 1:
+            covered |= {p + d for p in places for d in range(5)}
+    return covered
+
+
+def fold(i):
+    first = xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+    return signed(xxhash.xxh64_intdigest(b"fold", first)) % Q.FOLDS
+
+
+def held_out(docs, trusted, raw, target):
+    """The threshold: trusted documents under weights without their part, drawn to the prior."""
+    buckets, scores, without = len(raw), [], {}
+    for i, t in docs:
+        w = WORD.findall(t or "")
+        if i not in trusted or len(w) < 10 or 100 * len(repeated(w)) > 20 * len(w):
+            continue
+        if fold(i) not in without:
+            rest = list(target)
+            for j, u in docs:
+                if j in trusted and fold(j) == fold(i):
+                    for b in features(u, buckets):
+                        rest[b] -= 1
+            without[fold(i)] = ratios(raw, rest)
+        found = features(t, buckets)
+        scores.append(math.floor(sum(without[fold(i)][b] for b in found) / len(found)))
+    n = len(scores)
+    least = sorted(scores)[max(math.ceil(Q.LOST * n), 1) - 1] if scores else 0
+    return (n * least / Q.UNIT + Q.PRIOR_WEIGHT * Q.PRIOR) / (n + Q.PRIOR_WEIGHT)
+
+
 def brute(docs, trusted, buckets=Q.BUCKETS):
     raw, target = [0] * buckets, [0] * buckets
     for i, t in docs:
         for b in features(t, buckets):
             raw[b] += 1
             target[b] += i in trusted
-    weights = [0] * buckets
-    if sum(target):
-        n, m = sum(raw) + buckets, sum(target) + buckets
-        weights = [round(Q.UNIT * (math.log((y + 1) / m) - math.log((x + 1) / n))) for x, y in zip(raw, target)]
+    weights = ratios(raw, target)
+    threshold = held_out(docs, trusted, raw, target)
     rows = []
     for i, t in docs:
         t = t or ""
         w = WORD.findall(t)
-        seen, covered = {}, set()
-        for k in range(len(w) - 4):
-            seen.setdefault(tuple(w[k : k + 5]), []).append(k)
-        for places in seen.values():
-            if len(places) > 1:
-                covered |= {p + d for p in places for d in range(5)}
+        covered = repeated(w)
         lines = [x for x in t.split("\n") if WORD.search(x)]
         failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
         score = sum(weights[b] for b in features(t, buckets))
-        kept = not failed and score >= round(Q.THRESHOLD * Q.UNIT) * (2 * len(w) - 1)
+        kept = not failed and score >= round(threshold * Q.UNIT) * (2 * len(w) - 1)
         rows.append(
             (
                 str(i),
@@ -104,7 +141,31 @@ def test_junk_scores_below_clean(tables):
     fit = labels.where("quality = 1 and toxic = 0 and doc_id % 2 = 0")
     judged = Q.quality_rules(docs, fit).where("not base_failed").join(labels.where("doc_id % 2 = 1"), "doc_id")
     by = {r["quality"]: r["r"] for r in judged.groupBy("quality").agg(F.avg("log_ratio").alias("r")).collect()}
-    assert by[1] > Q.THRESHOLD and by[1] > by.get(0, -1) + 0.1
+    assert by[1] > Q.PRIOR and by[1] > by.get(0, -1) + 0.1
+
+
+def test_threshold_has_no_switch(spark):
+    """One more held-out document moves it little, with few of them and with many."""
+    text = lambda k: " ".join(f"w{(k * 7 + j * j) % 90}" for j in range(40))
+    found = []
+    for n in (0, 1, 19, 20, 21, 60):
+        docs = [(k, text(k)) for k in range(80)]
+        table = spark.createDataFrame(docs, "doc_id bigint, text string")
+        trusted = table.select("doc_id").where(F.col("doc_id") < n)
+        weights, threshold = Q.fit(table, trusted, buckets=64)
+        found.append(threshold)
+        if n:
+            raw = [sum(features(t, 64).count(b) for _, t in docs) for b in range(64)]
+            target = [sum(features(t, 64).count(b) for _, t in docs[:n]) for b in range(64)]
+            assert threshold == held_out(docs, set(range(n)), raw, target)
+    assert found[0] == Q.PRIOR and abs(found[3] - found[2]) < 0.1 and abs(found[4] - found[3]) < 0.1
+
+
+def test_plan_text_is_short(tables):
+    """The weights are not written out in the plan."""
+    judged = Q.judge(tables("documents"), np.arange(Q.BUCKETS, dtype=np.int32))
+    text = judged._jdf.queryExecution().toString()
+    assert len(text) < 100_000 and judged.agg(F.max("log_ratio")).first()[0] > 0
 
 
 @pytest.mark.parametrize("sf, most", [("sf0.001", 0), ("sf0.01", 0.15), ("sf0.1", 0.05)])
