@@ -8,13 +8,16 @@ can be reached. Which documents of a length are taken depends on a seeded digest
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowsieve.llm.common import fresh, row_key, text_of, words
-from flowsieve.session import broadcast_if_small, materialise, ship_package, small_table
+from flowsieve.llm.common import fresh, located, row_key, text_of, words
+from flowsieve.operators.rows import sorted_row_id
+from flowsieve.session import broadcast_if_small, materialise, ship_package
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -23,33 +26,40 @@ MOST = 2.0
 SPAN, BUCKET = 1 << 16, 4096
 
 
-def fill_targets(sizes: list[int], weights: list[float], total: float, most: float = MOST) -> list[float]:
-    """Share ``total`` by weight; what is above ``most`` times a size goes to the others by weight.
+def fill_targets(
+    sources: DataFrame, weights: tuple[float, ...], share: float, most: float = MOST
+) -> DataFrame:
+    """``key``, ``source_size`` and ``target`` of sources given by ``key`` and ``source_size``.
 
-    A source of size 0 gets 0. If all are full the rest is not shared out.
+    In the order of their keys they have ``weights`` in turn and share ``share`` times all sizes by weight; what is
+    above ``most`` times a size goes to the others by weight. A source of size 0 gets 0. If all are full the rest is
+    not shared out. One number is sought, the words a unit of weight gets; each round of the search is one
+    aggregate, and there are as many as there are steps in which sources get full.
     """
-    target = [0.0] * len(sizes)
-    free = {k for k, n in enumerate(sizes) if n > 0 and weights[k] > 0}
-    left = float(total)
-    while free:
-        unit = left / sum(weights[k] for k in free)
-        full = {k for k in free if weights[k] * unit > most * sizes[k]}
-        if not full:
-            for k in free:
-                target[k] = weights[k] * unit
+    ranked = materialise(sorted_row_id(sources, ["key"], into="at"), "sources")
+    weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod("at", F.lit(len(weights))).cast("int"))
+    size = F.col("source_size")
+    able, cap = (size > 0) & (weight > 0), size * F.lit(float(most))
+    total = share * (ranked.agg(F.sum(size)).first()[0] or 0)
+    unit, full = 0.0, -1
+    while True:
+        over = able & (weight * F.lit(unit) > cap)
+        n, capped, free = ranked.agg(
+            F.count_if(over), F.sum(F.when(over, size)), F.sum(F.when(able & ~over, weight))
+        ).first()
+        if n == full:
             break
-        for k in full:
-            target[k] = most * sizes[k]
-            left -= target[k]
-        free -= full
-    return target
+        full, unit = n, (total - most * (capped or 0)) / free if free else math.inf
+    target = F.when(~able, 0.0).when(weight * F.lit(unit) > cap, cap).otherwise(weight * F.lit(unit))
+    return ranked.select("key", "source_size", target.alias("target"))
 
 
-def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int, span: int = SPAN) -> np.ndarray:
     """How many of each length to take, at most ``counts``, for the largest sum up to ``budget``.
 
-    The knapsack is exact over what the even shares leave. Its table has the size of what is left,
-    at most ``SPAN`` and the longest document on top.
+    The knapsack is exact over what the even shares leave, or over about ``span`` of it after the longest
+    documents that fit. Either way the sum is below the budget by less than the shortest length of which
+    one is left over.
     """
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     whole = int((lengths * counts).sum())
@@ -60,10 +70,10 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
     left = budget - int((lengths * taken).sum())
     down = np.argsort(-lengths, kind="stable")
     for k in down:
-        if left <= SPAN:
+        if left <= span:
             break
         if lengths[k] > 0:
-            more = min(int(counts[k] - taken[k]), (left - SPAN // 2) // int(lengths[k]))
+            more = min(int(counts[k] - taken[k]), (left - span // 2) // int(lengths[k]))
             if more > 0:
                 taken[k] += more
                 left -= more * int(lengths[k])
@@ -93,20 +103,24 @@ def fit_lengths(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 PLAN = "key string, size bigint, n bigint, source_size bigint, target double, passes bigint, extra bigint"
 
 
-def _planned(frame: pd.DataFrame) -> pd.DataFrame:
+def _planned(span: int):
     """``passes`` over each length and ``extra`` documents of it, for one source."""
-    frame = frame.sort_values("size")
-    size, n = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
-    target, whole = float(frame["target"].iat[0]), int((size * n).sum())
-    passes = int(target // whole) if whole else 0
-    extra = fit_lengths(size, n, round(target - passes * whole))
-    return frame.assign(passes=passes, extra=extra)[[c.split()[0] for c in PLAN.split(", ")]]
 
+    def plan(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("size")
+        size, n = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
+        target, whole = float(frame["target"].iat[0]), int((size * n).sum())
+        passes = int(target // whole) if whole else 0
+        extra = fit_lengths(size, n, round(target - passes * whole), span)
+        return frame.assign(passes=passes, extra=extra)[[c.split()[0] for c in PLAN.split(", ")]]
+
+    return plan
 
-def _rank(key: Column, seed: int) -> Column:
-    """Order within a length: by a seeded digest; rows with equal keys are spread by place in the scan."""
+
+def _rank(key: Column, place: Column, seed: int) -> Column:
+    """Order within a length: by a seeded digest; rows with equal keys are spread by place in the table."""
     high = F.xxhash64(F.lit(seed), key).bitwiseAND(F.lit(-(1 << 32)))
-    low = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 32)
+    low = F.shiftrightunsigned(F.xxhash64(place), 32)
     return high.bitwiseOR(low)
 
 
@@ -150,6 +164,7 @@ def mix(
     weights: tuple[float, ...] = WEIGHTS,
     share: float = SHARE,
     seed: int = 11,
+    span: int = SPAN,
 ) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``taken`` added (replacing namesakes).
 
@@ -157,36 +172,29 @@ def mix(
     times all words; a target is at most twice its source. ``taken`` is size times the copies in the
     mix: 0, 1 or 2. Null texts have size 0, as have texts without words; such rows take 0. Rows of
     equal id and text may differ in ``taken``, as only part of them may be needed. An empty table
-    gives an empty one. The driver gets one row per source, a task the lengths of one source. What is
-    decided, a row per source and length, is broadcast where it measures 64 MB at most; beyond that it is
+    gives an empty one. A source is missed by less than the shortest document of it that is left over; up to
+    ``span`` words of a target are fitted by the knapsack. The driver gets sums over all sources, a task
+    the lengths of one source. Rows are known by their place in the table in each of the three times they are
+    read. Texts are held one by one. What is decided, a row per source and length, is broadcast where it measures 64 MB at most; beyond that it is
     shuffled, as a written table, so that Spark can split a length that very many documents have.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    key, size, rank = fresh(docs, "_source", "_size", "_rank")
-    counted = docs.withColumns(
+    key, size, rank, place = fresh(docs, "_source", "_size", "_rank", "_place")
+    counted = located(docs, place).withColumns(
         {
             key: _source_key(F.col(source)),
             size: F.size(words(text_of(text))).cast("bigint"),
-            rank: _rank(row_key(F.col(id_col), F.col(text)), seed),
+            rank: _rank(row_key(F.col(id_col), F.col(text)), F.col(place), seed),
         }
     )
     narrow = materialise(
         counted.select(F.col(key).alias("key"), F.col(size).alias("size"), F.col(rank).alias("rank")), "sizes"
     )
     histogram = materialise(narrow.groupBy("key", "size").agg(F.count(F.lit(1)).alias("n")), "lengths")
-    sums = sorted(
-        histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect(),
-        key=lambda r: (r["key"] == "~", r["key"]),
-    )
-    sizes = [r["s"] for r in sums]
-    targets = fill_targets(sizes, [weights[k % len(weights)] for k in range(len(sums))], share * sum(sizes))
-    goals = small_table(
-        spark,
-        [(r["key"], r["s"], t) for r, t in zip(sums, targets)],
-        "key string, source_size bigint, target double",
-    )
-    plan = materialise(histogram.join(goals, "key").groupBy("key").applyInPandas(_planned, PLAN), "plan")
+    sums = histogram.groupBy("key").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    goals = fill_targets(sums, weights, share)
+    plan = materialise(histogram.join(goals, "key").groupBy("key").applyInPandas(_planned(span), PLAN), "plan")
     last = plan.join(_last_ranks(narrow, plan), ["key", "size"], "left").select(
         F.col("key").alias(key),
         F.col("size").alias(size),

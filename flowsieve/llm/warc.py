@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowsieve.llm.common import fresh, located
 from flowsieve.session import checkpoint_root, materialise, ship_package
 
 NEWLINE = "\r\n"
@@ -69,16 +70,19 @@ def write_archives(
     """Write all ``pages`` as WARC files below ``path``.
 
     Of pages with equal payloads of at least ``least`` bytes that with the largest id is the response
-    (null is smallest; among equal ids the last in the scan), the others revisit it. Null payloads are empty,
+    (null is smallest; of equal ids one), the others revisit it. Null payloads are empty,
     null urls and ids are left out of the records; line ends in urls are escaped. Pages are dealt to
-    files by a digest of their place, so no payload or host fills one file.
+    files by a digest of their place in the table, so no payload or host fills one file. They are read twice,
+    and known by that place both times, however the reading is split. Other columns are not read. A page is held
+    whole, with its file when it is read back.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    numbered = pages.select(
+    (place,) = fresh(pages, "place")
+    numbered = located(pages, place).select(
         F.col(id_col).alias("id"),
         F.regexp_replace(F.regexp_replace(F.col(url), "\r", "%0D"), "\n", "%0A").alias("url"),
         body.alias("body"),
-        F.monotonically_increasing_id().alias("place"),
+        F.col(place).alias("place"),
     )
     narrow = materialise(
         numbered.select("id", "place", payload_digest(F.col("body")).alias("digest"), F.octet_length("body").alias("size")),
@@ -90,7 +94,7 @@ def write_archives(
         "place", "digest", F.when((F.col("size") >= least) & (F.col("place") != F.col("top.place")), F.col("top")).alias("top")
     )
     dealt = numbered.repartition(int(total // FILE_BYTES) + 1, "place").join(roles, "place")
-    main, revisit = _record_id("response", F.col("place"), F.col("id")), F.col("top").isNotNull()
+    main, revisit = _record_id("response", F.hex("place"), F.col("id")), F.col("top").isNotNull()
     target = ("WARC-Target-URI", F.col("url"))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{NEWLINE}Content-Type: text/html; charset=utf-8{NEWLINE}Content-Length: "),
@@ -103,7 +107,7 @@ def write_archives(
         [
             target,
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
-            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.col("top.place"), F.col("top.id")))),
+            ("WARC-Refers-To", F.when(revisit, _record_id("response", F.hex("top.place"), F.col("top.id")))),
             ("WARC-Profile", F.when(revisit, PROFILE)),
         ],
         "application/http; msgtype=response",
@@ -111,14 +115,14 @@ def write_archives(
     )
     request = _record(
         F.lit("request"),
-        _record_id("request", F.col("place"), F.col("id")),
+        _record_id("request", F.hex("place"), F.col("id")),
         [target, ("WARC-Concurrent-To", main)],
         "application/http; msgtype=request",
         F.concat(F.lit("GET "), F.coalesce(F.col("url"), F.lit("/")), F.lit(f" HTTP/1.1{NEWLINE * 2}")),
     )
     metadata = _record(
         F.lit("metadata"),
-        _record_id("metadata", F.col("place"), F.col("id")),
+        _record_id("metadata", F.hex("place"), F.col("id")),
         [target, ("WARC-Concurrent-To", main)],
         "application/warc-fields",
         F.coalesce(F.concat(F.lit("page_id: "), F.col("id").cast("string"), F.lit(NEWLINE)), F.lit("")),

@@ -48,6 +48,37 @@ def test_round_trip(spark, least):
     assert got(W.round_trip(df, least=least)) == brute(ROWS, least)
 
 
+def test_splits_may_change_between_the_steps(spark, monkeypatch, tmp_path):
+    """Executors come and go: pages must not be numbered by the splits of a scan."""
+    rows = [(k // 2, f"u{k}", f"page {k % 90}") for k in range(250)]
+    spark.createDataFrame(rows, SCHEMA).repartition(12).write.parquet(str(tmp_path / "pages"))
+    pages = spark.read.parquet(str(tmp_path / "pages"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    plain = W.materialise
+
+    def shaken(df, name, *more):
+        done = plain(df, name, *more)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+        return done
+
+    monkeypatch.setattr(W, "materialise", shaken)
+    try:
+        for given in (pages, pages.repartition(5), pages.unionByName(pages.where("false"))):
+            spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+            assert got(W.round_trip(given)) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_other_columns_do_not_matter(spark):
+    """Extra columns with names that the operator uses itself, in other case too."""
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    for name in ["place", "Digest", "TOP", "body", "size", "id", "_metadata", "capture"]:
+        df = df.withColumn(name, df.page_id)
+    assert got(W.round_trip(df)) == brute(ROWS)
+
+
 def test_no_pages(spark):
     assert W.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
