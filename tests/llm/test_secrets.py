@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 from flowsieve.llm import secrets as S
@@ -10,9 +11,14 @@ ASSIGN = re.compile(
 ACCESS, HEX, OTHER = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+"), re.compile(S.KEYLIKE)
 
 
-def brute(rows, owners=3):
+def example(seen, owners, repos):
+    n = len({r[0] for r in seen})
+    return n >= owners or (n > 1 and len(seen) >= repos)
+
+
+def brute(rows, owners=3, repos=8):
     owned, scanned = defaultdict(set), []
-    for i, text, source in rows:
+    for i, text, source, *lang in rows:
         t = text or ""
         base = [(m.start(), 0, m.end(), m.start(2), m[2]) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
         base += [(m.start(), 1, m.end(), m.start(), m[0]) for m in ACCESS.finditer(t) if len(m[0]) >= 20]
@@ -20,7 +26,7 @@ def brute(rows, owners=3):
         free = [m for m in OTHER.finditer(t) if not any(b[0] < m.end() and m.start() < b[2] for b in base)]
         values = {(b[4], b[3], b[2]) for b in base} | {(m[0], m.start(), m.end()) for m in free}
         for v, *_ in values:
-            owned[v].add(source)
+            owned[v].add((source, *lang))
         scanned.append((i, base, values))
     join = lambda spans: ",".join(f"{S.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
     out = []
@@ -29,7 +35,7 @@ def brute(rows, owners=3):
         live = [
             (a, 3, e)
             for v, a, e in values
-            if len(owned[v]) < owners and len(v) >= S.LIVE_LENGTH and len(set(v)) >= S.LIVE_SIGNS
+            if not example(owned[v], owners, repos) and len(v) >= S.LIVE_LENGTH and len(set(v)) >= S.LIVE_SIGNS
         ]
         counts = [sum(b[1] == k for b in base) for k in range(3)]
         out.append((str(i), *counts, hashlib.sha256(join(spans).encode()).hexdigest(), join(spans + live)))
@@ -68,6 +74,38 @@ def test_spans_and_ownership(spark):
 
 def test_real_and_edge_rows(edge, nothing, tables):
     for df in (edge, tables("documents")):
-        rows = [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+        rows = [tuple(r) for r in df.select("doc_id", "text", "source", "lang").collect()]
         assert got(S.find_secrets(df, repo=("lang",))) == brute(rows)
     assert S.find_secrets(nothing).count() == 0
+
+
+def test_repositories_count(spark):
+    """A value of two owners is an example once it is in many repositories, of one owner never."""
+    value = "token=" + LIVE
+    rows = [(k, value, "a" if k else "b", f"r{k}") for k in range(8)] + [(9, "secret=" + LIVE[::-1], "c", f"r{k}") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    found = S.find_secrets(df, repo=("lang",))
+    assert got(found) == brute(rows)
+    by = {r["doc_id"]: r for r in found.collect()}
+    assert by[0]["n_owned"] == 0 and by[0]["n_example"] > 0
+    assert by[9]["owned"] == f"7:{7 + len(LIVE)}:9:1"
+    assert {r["owned"] for r in S.find_secrets(df.where("doc_id < 7"), repo=("lang",)).collect()} == {f"6:{6 + len(LIVE)}:7:2"}
+
+
+def test_base64_keys_are_whole(spark):
+    """Signs of base64 do not split a key; paths and words are none."""
+    rows = [(1, "key wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY0 end", "a"), (2, "/usr/local/lib/python/site/packages and/or/so/on/and/on/and", "a")]
+    found = {r["doc_id"]: r["spans"] for r in S.find_secrets(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert found == {1: "owned:4:45", 2: ""}
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square."""
+    text = "\n".join(f"token={k:08d}x {k * 7919:032x} AKIA{k:016d}Z key{k:020d}q" for k in range(4000))
+    rows = [(1, text, "a"), (2, "x" * 300_000 + "1", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    start = time.time()
+    found = got(S.find_secrets(df))
+    assert time.time() - start < 20 and found[0][1:4] == (4000, 4000, 4000)
+    short = [(1, text[: 200 * text.index("\n")], "a")]
+    assert got(S.find_secrets(spark.createDataFrame(short, "doc_id bigint, text string, source string"))) == brute(short)
