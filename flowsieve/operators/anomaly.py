@@ -2,13 +2,19 @@
 
 The table is read once to count and check it, once to draw the training rows, and once to
 score. Training rows number at most trees x sample size, whatever the size of the table.
+
+No generator with a state is used. Every choice is read off a digest of what it is for: the seed, the tree,
+the node and the kind of choice, or the seed and the row's key. So a choice can be made anywhere, in any
+order, again, and by SQL too.
 """
 
 from __future__ import annotations
 
 import math
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass
+from hashlib import md5
 from functools import reduce
 from operator import or_
 
@@ -27,6 +33,9 @@ EULER_GAMMA = 0.5772156649015329
 
 NODE_FIELDS = ["feature", "threshold", "child", "depth"]
 NODE_SCHEMA = "grp string, tree int, node int, feature int, threshold double, child int, depth double"
+MILLION = 1_000_000
+#: Prime of the row digests, and its bits.
+PRIME, PRIME_BITS = (1 << 31) - 1, 31
 SCORE_ROWS = 1024  # rows scored at a time: keeps the working arrays in cache
 
 
@@ -39,38 +48,60 @@ def average_path(n: int) -> float:
     return 2.0 * (math.log(n - 1.0) + EULER_GAMMA) - 2.0 * (n - 1.0) / n
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, features: np.ndarray, limit: int) -> list[tuple]:
+def choice(*what) -> str:
+    """32 hex digits that belong to a choice; smaller ones come first where one of several is chosen."""
+    return md5("~".join(map(str, what)).encode()).hexdigest()
+
+
+def chosen_features(seed: int, tree: int, width: int, k: int) -> list[int]:
+    """The ``k`` of ``width`` columns that a tree looks at."""
+    return sorted(sorted(range(width), key=lambda j: choice(seed, tree, "feature", j))[:k])
+
+
+def node_choices(seed: int, tree: int) -> tuple[Callable[[int, int], str], Callable[[int], float]]:
+    """Order of a column at a node, and the place of a node's cut between 0 and 1."""
+    order = lambda node, j: choice(seed, tree, node, j)
+    place = lambda node: int(choice(seed, tree, node, "cut")[:15], 16) / 2.0**60
+    return order, place
+
+
+def grow_tree(x: np.ndarray, features: list[int], limit: int, choices) -> list[tuple]:
     """Nodes (feature, threshold, child, depth) of one isolation tree, breadth first.
 
+    A node is cut at the first of ``features`` that varies in it, in the order that ``choices`` gives them there.
     Values above the threshold go to ``child + 1``, others to ``child``. A leaf is its own
-    child behind an infinite threshold; its depth includes the expected depth below it.
+    child behind an infinite threshold; its depth includes the expected depth below it, in whole
+    millionths, so that sums of depths do not depend on the order of addition. Choices know nodes by
+    their place in the full binary tree: the root is 1, below k are 2k and 2k + 1.
     """
+    order, place = choices
     nodes: list[tuple] = [()]
-    todo = deque([(0, np.arange(len(x)), 0)])
+    todo = deque([(0, 1, np.arange(len(x)), 0)])
     while todo:
-        me, rows, depth = todo.popleft()
+        me, name, rows, depth = todo.popleft()
         split = None
         if depth < limit and len(rows) > 1:
-            for f in rng.permutation(features):
-                low, high = x[rows, f].min(), x[rows, f].max()
-                if low < high:
-                    split = (int(f), float(min(rng.uniform(low, high), np.nextafter(high, low))))
-                    break
+            low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+            varied = [j for j in features if low[j] < high[j]]
+            if varied:
+                f = min(varied, key=lambda j: order(name, j))
+                cut = float(low[f] + place(name) * (high[f] - low[f]))
+                split = (f, cut if cut < high[f] else float(low[f]))
         if split is None:
-            nodes[me] = (0, math.inf, me, depth + average_path(len(rows)))
+            nodes[me] = (0, math.inf, me, float(round(MILLION * (depth + average_path(len(rows))))))
             continue
         child = len(nodes)
-        nodes[me] = (*split, child, float(depth))
+        nodes[me] = (*split, child, float(MILLION * depth))
         nodes += [(), ()]
         above = x[rows, split[0]] > split[1]
-        todo.append((child, rows[~above], depth + 1))
-        todo.append((child + 1, rows[above], depth + 1))
+        todo.append((child, 2 * name, rows[~above], depth + 1))
+        todo.append((child + 1, 2 * name + 1, rows[above], depth + 1))
     return nodes
 
 
 @dataclass
 class Forest:
-    """Trees of one group, laid out as flat node arrays."""
+    """Trees of one group, laid out as flat node arrays; ``depth`` is in millionths."""
 
     columns: list[str]
     roots: np.ndarray
@@ -89,7 +120,7 @@ class Forest:
         for start in range(0, len(x), SCORE_ROWS):
             part = np.ascontiguousarray(x[start : start + SCORE_ROWS])
             total[start : start + len(part)] = self._depths(part)
-        return -np.exp2(-total / len(self.roots) / self.scale)
+        return -np.exp2(-total / MILLION / len(self.roots) / self.scale)
 
     def _depths(self, x: np.ndarray) -> np.ndarray:
         """Summed leaf depth per row, walking all rows down all trees together."""
@@ -111,19 +142,30 @@ class Forest:
 def _draw(df: DataFrame, columns: list[str], key: list[str], rows: int, trees: int, sample: int, seed: int):
     """``sample`` rows per tree without replacement, as (tree, place, columns).
 
-    A row takes part in a tree if its digest for that tree is below twice the share wanted, which is
-    decided in the scan; of these, the smallest digests make the sample. About 2 x trees x sample rows
-    leave the scan, and a task passes on at most ``sample`` rows per tree. Rows of equal key and values
-    are drawn together; it is the same rule for a table of any size.
+    A row has one digest, of its key; a tree maps it, by multiples and remainders of its own, to 62 bits. A row takes
+    part in a tree if its number there is below twice the share wanted, which is decided in the scan; of these, the
+    smallest make the sample. About 2 x trees x sample rows leave the scan, and a task passes on at
+    most ``sample`` rows per tree. Rows of equal key go by their values. It is the same rule for a table of any size.
     """
-    unit = lambda *parts: (F.xxhash64(*parts).cast("double") / F.lit(2.0**64)) + 0.5
-    bound = 2.0 * sample / rows
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
     # nothing of the table but the struct goes on, so its names cannot clash with these
-    draws = df.select(F.xxhash64(F.lit(seed), *key, *columns).alias("draw"), F.struct(*columns).alias("x"))
-    trees_of = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: unit(t, F.col("draw")) < bound)
-    draws = draws.withColumn("tree", F.explode(trees_of)).withColumn("u", unit(F.col("tree"), F.col("draw")))
-    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "draw", "x"))
-    return draws.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", "x.*")
+    drawn = df.select(F.md5(F.concat_ws("~", F.lit(f"{seed}~draw"), *parts)).alias("h"), F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("x"))
+    digits = lambda at: F.conv(F.substring("h", at, 14), 16, 10).cast("bigint") % PRIME
+    drawn = drawn.select(digits(1).alias("a"), digits(15).alias("b"), "x")
+    numbers = [[int(choice(seed, "tree", t)[k : k + 7], 16) + 1 for k in (0, 7, 14, 21)] for t in range(trees)]
+    of_tree = F.array(*[F.array(*[F.lit(n) for n in four]) for four in numbers])
+
+    def number(t: Column) -> Column:
+        n = F.get(of_tree, t)
+        high = (F.col("a") * F.get(n, F.lit(0)) + F.get(n, F.lit(1))) % PRIME
+        low = (F.col("b") * F.get(n, F.lit(2)) + F.get(n, F.lit(3))) % PRIME
+        return F.shiftleft(high.cast("bigint"), PRIME_BITS) + low
+
+    bound = min(int(2.0 * sample / rows * 2.0 ** (2 * PRIME_BITS)), 1 << (2 * PRIME_BITS))
+    drawn = drawn.withColumn("u", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), number))
+    drawn = drawn.select("x", F.posexplode("u").alias("tree", "u")).where(F.col("u") < bound)
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "x"))
+    return drawn.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", "x.*")
 
 
 def fit_forests(
@@ -138,7 +180,7 @@ def fit_forests(
 ) -> dict[str, Forest]:
     """One forest per column group, all from the same drawn rows and in the same passes.
 
-    ``key`` should identify a row: rows of equal key and values are drawn together. The result does not
+    ``key`` should identify a row: rows of equal key are drawn together. The result does not
     depend on partitioning. A null, NaN or
     infinity in any group column is an error, as is a group with fewer than ``features``
     columns.
@@ -166,17 +208,16 @@ def fit_forests(
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        x = pdf.sort_values("place")[columns].to_numpy(dtype=float)
+        x = pdf[columns].to_numpy(dtype=float)
         out = []
         for name, at in layout.items():
-            # the same stream for every group: groups differ only in their columns
-            rng = np.random.default_rng([seed, tree])
-            chosen = rng.choice(len(at), size=features, replace=False)
-            nodes = grow_tree(x[:, at], rng, chosen, limit)
+            # the same choices for every group: groups differ only in their columns
+            chosen = chosen_features(seed, tree, len(at), features)
+            nodes = grow_tree(x[:, at], chosen, limit, node_choices(seed, tree))
             out += [(name, tree, i, *node) for i, node in enumerate(nodes)]
         return pd.DataFrame(out, columns=["grp", "tree", "node", *NODE_FIELDS])
 
-    drawn = _draw(df.select(*key, *[F.col(c).cast("double").alias(c) for c in columns]), columns, key, rows, trees, sample, seed)
+    drawn = _draw(df, columns, key, rows, trees, sample, seed)
     # at most groups x trees x (2 x sample - 1) nodes
     nodes = drawn.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()
     forests = {}

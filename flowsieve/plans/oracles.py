@@ -311,3 +311,123 @@ ORACLES: dict[str, str] = {
     "fold_report": _fold_report(),
     "param_grid": _param_grid(),
 }
+
+
+# --- isolation forests, replayed: the same digests make the same choices
+
+_GROUPS = {
+    "numbers": [*KEYS, *NUMERICS],
+    "ratios": ["l_partkey", "l_suppkey", "unit_price", "charge", *NUMERICS],
+}
+_SEED, _TREES, _SAMPLE, _FEATURES, _LIMIT, _CUT = 1, 50, 256, 8, 8, 0.001
+_PRIME, _BITS = 2147483647, 31
+_PRICED = """
+SELECT *, l_extendedprice / greatest(l_quantity, 1) AS unit_price,
+       l_extendedprice * (1 - l_discount) * (1 + l_tax) AS charge
+FROM lineitem
+"""
+
+
+def _hex(text: str, start: int, digits: int) -> str:
+    return f"('0x' || substr({text}, {start}, {digits}))::BIGINT"
+
+
+def _average_path(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n} END"
+
+
+def _forest(groups: list[str]) -> str:
+    """CTEs from the priced rows to ``scored``: their columns with ``score_<group>``.
+
+    ``d`` the rows; ``drawn`` the samples; ``cut_at`` every sampled row at every node it comes to; ``splits`` and ``leaves`` the
+    trees, known by their places; ``walk`` every row down every tree, level by level.
+    """
+    columns = list(dict.fromkeys(c for g in groups for c in _GROUPS[g]))
+    as_list = lambda names: "[" + ", ".join(f"{c}::DOUBLE" for c in names) + "]"
+    key = " || '~' || ".join(f"coalesce({c}::VARCHAR, '')" for c in KEYS)
+    digest = f"md5('{_SEED}~draw~' || {key})"
+    tree = f"md5('{_SEED}~tree~' || t)"
+    number = (
+        f"(((a * ({_hex('m', 1, 7)} + 1) + {_hex('m', 8, 7)} + 1) % {_PRIME}) << {_BITS})"
+        f" + (b * ({_hex('m', 15, 7)} + 1) + {_hex('m', 22, 7)} + 1) % {_PRIME}"
+    )
+    place = f"{_hex(f'''md5('{_SEED}~' || tree || '~' || node || '~cut')''', 1, 15)}::DOUBLE / 1152921504606846976.0::DOUBLE"
+
+    def picked(rows: str) -> str:
+        """The split of every node of ``rows``: the first varying column in its order there, and the cut."""
+        return f"""
+  SELECT grp, tree, node, j, CASE WHEN lo + u * (hi - lo) < hi THEN lo + u * (hi - lo) ELSE lo END AS cut
+  FROM (
+    SELECT grp, tree, node, {place} AS u, arg_min(j, o) AS j, arg_min(lo, o) AS lo, arg_min(hi, o) AS hi
+    FROM (
+      SELECT grp, tree, node, j, min(x[j + 1]) AS lo, max(x[j + 1]) AS hi,
+             md5('{_SEED}~' || tree || '~' || node || '~' || j) AS o
+      FROM (SELECT {rows}.*, f.j FROM {rows} JOIN chosen f USING (grp, tree) WHERE depth < {_LIMIT})
+      GROUP BY grp, tree, node, j
+    ) WHERE lo < hi GROUP BY grp, tree, node
+  )"""
+
+    points = " UNION ALL ".join(f"SELECT '{g}' AS grp, rid, {as_list(_GROUPS[g])} AS x FROM d" for g in groups)
+    widths = ", ".join(f"('{g}', {len(_GROUPS[g])})" for g in groups)
+    walk = "w0 AS (SELECT grp, rid, x, tree, 1::BIGINT AS node FROM points, (SELECT range AS tree FROM range(trees))),\n"
+    walk = walk.replace("range(trees)", f"range({_TREES})")
+    for k in range(_LIMIT):
+        walk += f"""w{k + 1} AS (
+  SELECT grp, rid, x, tree, CASE WHEN j IS NULL THEN node ELSE 2 * node + (x[j + 1] > cut)::BIGINT END AS node
+  FROM w{k} LEFT JOIN splits USING (grp, tree, node)
+),
+"""
+    scores = ", ".join(f"any_value(score) FILTER (grp = '{g}') AS score_{g}" for g in groups)
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, * FROM ({_PRICED})),
+points AS MATERIALIZED ({points}),
+size AS (SELECT count(*) AS n, least(count(*), {_SAMPLE}) AS sample FROM d),
+hashed AS (SELECT rid, {as_list(columns)} AS every, {_hex(digest, 1, 14)} % {_PRIME} AS a, {_hex(digest, 15, 14)} % {_PRIME} AS b FROM d),
+numbered AS (SELECT rid, every, t AS tree, {number} AS u FROM hashed, (SELECT range AS t, {tree.replace("|| t", "|| range")} AS m FROM range({_TREES}))),
+drawn AS MATERIALIZED (
+  SELECT rid, tree FROM numbered WHERE u < 2.0 * (SELECT sample / n FROM size) * pow(2, {2 * _BITS})
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY u, every) <= (SELECT sample FROM size)
+),
+chosen AS MATERIALIZED (
+  SELECT grp, tree, j FROM (VALUES {widths}) v(grp, width), (SELECT range AS tree FROM range({_TREES})), (SELECT range AS j FROM range(20))
+  WHERE j < width QUALIFY row_number() OVER (PARTITION BY grp, tree ORDER BY md5('{_SEED}~' || tree || '~feature~' || j)) <= {_FEATURES}
+),
+cut_at AS (
+  SELECT grp, tree, 1::BIGINT AS node, 0 AS depth, rid, x FROM drawn JOIN points USING (rid)
+  UNION ALL
+  SELECT * FROM (
+    WITH here AS (SELECT * FROM cut_at), split AS ({picked("here")})
+    SELECT grp, tree, 2 * node + (x[j + 1] > cut)::BIGINT, depth + 1, rid, x FROM here JOIN split USING (grp, tree, node)
+  )
+),
+splits AS MATERIALIZED ({picked("cut_at")}),
+leaves AS MATERIALIZED (
+  SELECT grp, tree, node, round(1000000 * (any_value(depth) + {_average_path("count(*)")}))::BIGINT AS depth
+  FROM cut_at ANTI JOIN splits USING (grp, tree, node) GROUP BY grp, tree, node
+),
+{walk}score AS (
+  SELECT grp, rid, -pow(2, -(sum(depth)::DOUBLE / 1000000 / {_TREES} / (SELECT {_average_path("sample")} FROM size))) AS score
+  FROM w{_LIMIT} JOIN leaves USING (grp, tree, node) GROUP BY grp, rid
+),
+scored AS (
+  SELECT d.* EXCLUDE (rid), {scores} FROM d JOIN score USING (rid) GROUP BY ALL
+)"""
+
+
+def _outliers(groups: list[str]) -> str:
+    cuts = ", ".join(f"quantile_cont(score_{g}, {_CUT}) AS cut_{g}" for g in groups)
+    return f"{_forest(groups)}, cuts AS (SELECT {cuts} FROM scored)"
+
+
+_BOTH = list(_GROUPS)
+ORACLES |= {
+    "iforest_scores": f"""{_forest(_BOTH)}
+SELECT * EXCLUDE (score_numbers, score_ratios), {_r("score_numbers")} AS score_numbers, {_r("score_ratios")} AS score_ratios FROM scored""",
+    "anomaly_rows": f"""{_outliers(["numbers"])}
+SELECT scored.* EXCLUDE (score_numbers), -1::INTEGER AS anomaly_numbers FROM scored, cuts WHERE score_numbers < cut_numbers""",
+    "multi_group_outliers": f"""{_outliers(_BOTH)}
+SELECT d.* EXCLUDE (rid) FROM d
+WHERE ({", ".join(KEYS)}) NOT IN (
+  SELECT ({", ".join(KEYS)}) FROM scored, cuts WHERE score_numbers < cut_numbers OR score_ratios < cut_ratios
+)""",
+}

@@ -349,12 +349,11 @@ def param_grid(spark, d):
     )
 
 
-# --- outliers (random trees: no SQL form)
+# --- outliers
 
 
-def _lineitem_keyed(spark, d):
-    li = scan_parquet(spark, f"{d}/lineitem.parquet", row_key=True)
-    return li.withColumns(
+def _priced(spark, d):
+    return table(spark, d, "lineitem").withColumns(
         {
             "unit_price": F.col("l_extendedprice") / F.greatest("l_quantity", F.lit(1)),
             "charge": F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")),
@@ -362,27 +361,20 @@ def _lineitem_keyed(spark, d):
     )
 
 
-KEY = ["_file", "_row"]
-FOREST = {"key": KEY}
-
-
 def iforest_scores(spark, d):
-    li = _lineitem_keyed(spark, d)
-    forests = anomaly.fit_forests(li, OUTLIER_GROUPS, **FOREST)
-    return anomaly.score_forests(li, forests).drop("_file")
+    li = _priced(spark, d)
+    scored = anomaly.score_forests(li, anomaly.fit_forests(li, OUTLIER_GROUPS, key=KEYS))
+    return scored.withColumns({f"score_{g}": r6(f"score_{g}") for g in OUTLIER_GROUPS})
 
 
 def anomaly_rows(spark, d):
-    li = _lineitem_keyed(spark, d)
-    flagged = anomaly.flag_outliers(
-        li, {"numbers": OUTLIER_GROUPS["numbers"]}, contamination=0.001, **FOREST
-    )
-    return flagged.where(F.col("anomaly_numbers") == -1).drop("_file")
+    one = {"numbers": OUTLIER_GROUPS["numbers"]}
+    flagged = anomaly.flag_outliers(_priced(spark, d), one, key=KEYS, contamination=0.001)
+    return flagged.where(F.col("anomaly_numbers") == -1)
 
 
 def multi_group_outliers(spark, d):
-    li = _lineitem_keyed(spark, d)
-    return anomaly.drop_outliers(li, OUTLIER_GROUPS, contamination=0.001, **FOREST).drop("_file")
+    return anomaly.drop_outliers(_priced(spark, d), OUTLIER_GROUPS, key=KEYS, contamination=0.001)
 
 
 # --- selection and models (iterative fits: no SQL form)

@@ -24,7 +24,7 @@ def depth_of(forest, root, x):
     at = root
     while forest.child[at] != at:
         at = forest.child[at] + (x[forest.feature[at]] > forest.threshold[at])
-    return forest.depth[at]
+    return forest.depth[at] / anomaly.MILLION
 
 
 def test_scores_equal_a_walk_down_each_tree(spark):
