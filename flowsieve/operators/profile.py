@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,10 @@ from flowsieve.functions.names import check_columns
 from flowsieve.session import small_table
 
 
+#: A variance below this share of the mean square is rounding, not spread.
+RESOLVED = 1e-13
+
+
 def constant_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, n_values, is_constant) per column, from one pass.
 
@@ -40,20 +44,50 @@ def drop_constant(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.drop(*[r["column_name"] for r in found if r["column_name"] not in keep])
 
 
+MOMENTS = ("n", "x", "xx", "xy")
+
+
+def _moments(columns: list[str], shift: list[float]):
+    """Sums over a task's rows for every ordered pair: rows with both values, and of these x, x squared and x times y."""
+
+    def run(batches):
+        total = np.zeros((len(MOMENTS), len(columns), len(columns)))
+        for batch in batches:
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns]) - shift
+            there = ~np.isnan(x)
+            x[~there] = 0.0
+            there = there.astype(float)
+            total += [there.T @ there, x.T @ there, (x * x).T @ there, x.T @ x]
+        i, j = np.indices(total.shape[1:])
+        cells = [pa.array(v.ravel()) for v in (i.astype(np.int32), j.astype(np.int32), *total)]
+        yield pa.RecordBatch.from_arrays(cells, names=["i", "j", *MOMENTS])
+
+    return run
+
+
 def correlation(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], float]:
-    """Pearson matrix from a check and one pass; only columns x columns numbers reach the driver.
+    """Pearson matrix from one pass; only columns x columns numbers reach the driver.
 
-    A null or NaN is an error (rows would otherwise vanish from some pairs). The coefficient
-    of a constant column is undefined and comes back as NaN: drop constants first.
+    A pair is judged on the rows that have both values: a null or NaN leaves that pair and no other. Values are
+    shifted by one that occurs, so that sums do not cancel. The coefficient is NaN where it is undefined: a
+    column constant on the rows of the pair, fewer than two of them, or an infinity.
     """
     check_columns(df, columns)
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    gaps = numbers.agg(*[F.count(F.when(F.col(c).isNull() | F.isnan(c), 1)).alias(c) for c in columns]).first()
-    if any(gaps):
-        raise ValueError(f"null or NaN in {[c for c in columns if gaps[c]]}")
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v", handleInvalid="error").transform(numbers)
-    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-    return {(a, b): float(matrix[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
+    numbers = df.select(*[F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(columns)])
+    names = numbers.columns
+    head = numbers.limit(100).agg(*[F.first(F.nanvl(c, F.lit(None)), ignorenulls=True).alias(c) for c in names]).first()
+    shift = [v if v is not None and math.isfinite(v) else 0.0 for v in head]
+    parts = numbers.mapInArrow(_moments(names, shift), "i int, j int, " + ", ".join(f"{m} double" for m in MOMENTS))
+    sums = parts.groupBy("i", "j").agg(*[F.sum(m).alias(m) for m in MOMENTS]).toPandas()
+    n, x, xx, xy = np.zeros((len(MOMENTS), len(columns), len(columns)))
+    for into, m in zip((n, x, xx, xy), MOMENTS):
+        into[sums["i"], sums["j"]] = sums[m]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        spread = n * xx - x * x
+        spread[~(spread > RESOLVED * n * xx)] = np.nan
+        r = (n * xy - x * x.T) / np.sqrt(spread * spread.T)
+    r = np.clip(r, -1.0, 1.0)
+    return {(a, b): float(r[i, j]) for i, a in enumerate(columns) for j, b in enumerate(columns)}
 
 
 def corr_matrix(df: DataFrame, columns: list[str]) -> DataFrame:

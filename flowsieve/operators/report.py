@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.session import small_table
@@ -19,11 +21,57 @@ def fold_report(metrics: DataFrame) -> DataFrame:
     )
 
 
-def append_metrics(metrics: DataFrame, path: str, run_id: str | None = None) -> None:
-    """Add to the metrics table, one folder per model. ``run_id`` (new if not given) tells the rows
-    of this run from those of earlier ones."""
-    metrics = metrics.withColumn("run_id", F.lit(run_id or uuid.uuid4().hex))
-    metrics.write.mode("append").partitionBy("model").parquet(path)
+MARKS = "_marks"
+
+
+def _marked(spark: SparkSession, path: str) -> dict[str, str]:
+    """Attempt of each committed run, by run id. One mark a run, so this is as long as the list of runs.
+
+    Two attempts of one run that were committed side by side hold the same rows; the smaller name counts."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKS}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return {}
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return dict(name.split("~") for name in sorted(names, reverse=True) if not name.startswith("."))
+
+
+def append_once(
+    df: DataFrame, path: str, run_id: str, *, partition_by: tuple[str, ...] = (), file_format: str = "parquet"
+) -> bool:
+    """Append ``df`` as one run's part of the table below ``path``; whether it was added.
+
+    Rows are written to a folder of this attempt alone, and count only once a mark, an empty file, names it. So
+    readers never see half of a run, a lost attempt leaves nothing behind that is read, and an append that is
+    repeated under the same ``run_id`` adds nothing. Any number of runs may be appended side by side.
+    """
+    if not re.fullmatch("[A-Za-z0-9_-][A-Za-z0-9_.-]*", run_id):
+        raise ValueError(f"run id {run_id!r} is no name of a file")
+    spark = df.sparkSession
+    if run_id in _marked(spark, path):
+        return False
+    attempt = uuid.uuid4().hex
+    df.write.partitionBy(*partition_by).format(file_format).save(f"{path}/{run_id}~{attempt}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKS}/{run_id}~{attempt}")
+    mark.getFileSystem(spark._jsc.hadoopConfiguration()).create(mark, False).close()
+    return _marked(spark, path)[run_id] == attempt
+
+
+def read_runs(spark: SparkSession, path: str, file_format: str = "parquet") -> DataFrame:
+    """The rows of all committed runs with their ``run_id``; none is an error."""
+    marked = _marked(spark, path)
+    if not marked:
+        raise ValueError(f"no run is committed below {path}")
+    parts = [
+        spark.read.format(file_format).load(f"{path}/{run}~{attempt}").withColumn("run_id", F.lit(run))
+        for run, attempt in sorted(marked.items())
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def append_metrics(metrics: DataFrame, path: str, run_id: str | None = None) -> bool:
+    """Add to the metrics table, one folder per model, once per ``run_id`` (new if not given)."""
+    return append_once(metrics, path, run_id or uuid.uuid4().hex, partition_by=("model",))
 
 
 def render_text(report: DataFrame, confusions: DataFrame, best: DataFrame) -> str:
@@ -50,6 +98,7 @@ def render_text(report: DataFrame, confusions: DataFrame, best: DataFrame) -> st
     return "\n".join(lines)
 
 
-def append_text(df: DataFrame, text: str, path: str) -> None:
-    """Append the rendered report as a text file under ``path``, on the cluster's storage."""
-    small_table(df.sparkSession, [(text,)], "value string").coalesce(1).write.mode("append").text(path)
+def append_text(df: DataFrame, text: str, path: str, run_id: str | None = None) -> bool:
+    """Append the rendered report as a text file below ``path``, on the cluster's storage, once per ``run_id``."""
+    lines = small_table(df.sparkSession, [(text,)], "value string").coalesce(1)
+    return append_once(lines, path, run_id or uuid.uuid4().hex, file_format="text")

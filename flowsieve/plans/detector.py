@@ -200,20 +200,21 @@ def _select_inside(prepared: DataFrame, cfg: DetectorConfig) -> DetectorResult:
     return DetectorResult({}, [], None, _evaluate(folded, cfg, 0, prepare_fold))
 
 
-def run(spark: SparkSession, cfg: DetectorConfig, output: str | None = None) -> DetectorResult:
-    """The whole way; with ``output``, appends the metrics tables and a text report there."""
+def run(
+    spark: SparkSession, cfg: DetectorConfig, output: str | None = None, run_id: str | None = None
+) -> DetectorResult:
+    """The whole way; with ``output``, appends the metrics tables and a text report there, once per ``run_id``."""
     prepared = prepare(spark, cfg)
     result = (_select_inside if cfg.select_inside_fold else _select_before)(prepared, cfg)
     result.widths["prepared"] = len(prepared.columns) - 1
     if output:
-        write_report(result.evaluation, output)
+        write_report(result.evaluation, output, run_id or uuid.uuid4().hex)
     return result
 
 
-def write_report(evaluation: tuning.NestedResult, output: str) -> None:
-    run_id = uuid.uuid4().hex
+def write_report(evaluation: tuning.NestedResult, output: str, run_id: str) -> None:
     report.append_metrics(evaluation.metrics, f"{output}/fold_metrics", run_id)
     report.append_metrics(evaluation.searches, f"{output}/searches", run_id)
     summary = report.fold_report(evaluation.metrics)
     text = report.render_text(summary, evaluation.confusions, evaluation.best)
-    report.append_text(evaluation.metrics, text, f"{output}/report_text")
+    report.append_text(evaluation.metrics, text, f"{output}/report_text", run_id)

@@ -78,6 +78,20 @@ def _corr_matrix() -> str:
     )
 
 
+_HOLES = {
+    "l_discount": "CASE WHEN l_linenumber % 3 > 0 THEN l_discount END",
+    "l_extendedprice": "CASE WHEN l_quantity > 7 THEN l_extendedprice END",
+    "price_twin": "CASE WHEN l_partkey % 5 < 3 THEN price_twin END",
+}
+
+
+def _corr_gaps() -> str:
+    holes = ", ".join(f"{e} AS {c}" for c, e in _HOLES.items())
+    return f"WITH t AS (SELECT * REPLACE ({holes}) FROM ({_TWINS})) " + " UNION ALL ".join(
+        f"SELECT '{a}' AS x, '{b}' AS y, {_r(f'corr({a}, {b})')} AS r FROM t" for a, b in combinations(_TWIN_COLUMNS, 2)
+    )
+
+
 def _corr_with_label() -> str:
     return f"WITH t AS ({_TWINS}) " + " UNION ALL ".join(
         f"SELECT '{c}' AS column_name, {_r(f'corr({c}, label)')} AS r FROM t" for c in _TWIN_COLUMNS
@@ -118,6 +132,35 @@ def _fold_report() -> str:
     )
 
 
+def _report_append() -> str:
+    """A run that is appended twice counts once."""
+    parts = []
+    for run, some in (("all", _JUDGED), ("even", f"SELECT * FROM ({_JUDGED}) WHERE event_id % 2 = 0")):
+        folded = f"""
+        SELECT label, prediction, event_id, CAST((row_number() OVER (
+                   ORDER BY label, md5('1~' || CAST(event_id AS VARCHAR)), event_id) - 1) % 5 AS INTEGER) AS fold
+        FROM ({_JUDGED})"""
+        cells = f"SELECT fold, {_CELLS} FROM ({folded}) WHERE event_id IN (SELECT event_id FROM ({some})) GROUP BY fold"
+        parts += [
+            f"SELECT '{run}' AS run_id, 'value_over_150' AS model, fold, '{m}' AS metric, {_r(e)} AS value FROM ({cells})"
+            for m, e in _RATIOS.items()
+        ]
+    return " UNION ALL ".join(parts)
+
+
+_AUC_SCORE = """
+WITH t AS (
+  SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, round(l_extendedprice * (1 - l_discount), 2) AS s FROM lineitem
+), c AS (
+  SELECT s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM t GROUP BY s
+), r AS (
+  SELECT p, q, sum(q) OVER (ORDER BY s) AS upto FROM c
+)
+SELECT sum(p)::BIGINT AS n_pos, sum(q)::BIGINT AS n_neg,
+       round(sum(p * (2 * upto - q))::DOUBLE / (2.0::DOUBLE * sum(p) * sum(q)), 9) AS auc FROM r
+"""
+
+
 def _param_grid() -> str:
     null_c = "NULL::DOUBLE AS c, NULL::DOUBLE AS reg_param, NULL::DOUBLE AS reg_param_by_n"
     rows = [
@@ -201,6 +244,17 @@ def _searched() -> str:
     )
 
 
+def _nested() -> str:
+    """Every winner predicts the deciding feature, so all models score alike on an outer fold."""
+    judged = f"SELECT fold, label, final AS prediction FROM ({_ORDER_FOLDS})"
+    cells = f"SELECT fold, {_CELLS} FROM ({judged}) GROUP BY fold"
+    ratios = _RATIOS | {"auc_hard": "(tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2"}
+    names = ["LogisticRegression", "RF_Classifier", "MLPClassifier"]
+    return f"WITH c AS ({cells}) " + " UNION ALL ".join(
+        f"SELECT '{n}' AS model, fold, '{m}' AS metric, {_r(e)} AS value FROM c" for n in names for m, e in ratios.items()
+    )
+
+
 _MINUTES, _HOURS = _cyclic("minute", 60), _cyclic("hour", 24)
 
 _PREFIXES = {
@@ -296,6 +350,7 @@ ORACLES: dict[str, str] = {
         FROM events""",
     "constant_columns": _constants(),
     "corr_matrix": _corr_matrix(),
+    "corr_gaps": _corr_gaps(),
     "corr_with_label": _corr_with_label(),
     "corr_prune": _corr_prune(),
     "stratified_folds": _FOLDS,
@@ -309,7 +364,10 @@ ORACLES: dict[str, str] = {
     "auc_hard": f"""
         SELECT {_r('(tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2')} AS auc_hard FROM ({_CONFUSION})""",
     "fold_report": _fold_report(),
+    "auc_score": _AUC_SCORE,
+    "report_append": _report_append(),
     "param_grid": _param_grid(),
+    "nested_cv": _nested(),
 }
 
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +19,7 @@ from flowsieve.functions.network import prefix_flags
 from flowsieve.functions.times import clock_parts, cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, features, models, profile, quantiles, report, rows, selection, tuning
 from flowsieve.operators import metrics as M
+from flowsieve.operators.journal import Journal
 from flowsieve.session import checkpoint_root, materialise, small_table
 from flowsieve.sources.flows import scan_csv, scan_parquet, stack_sources
 
@@ -280,6 +281,19 @@ def corr_matrix(spark, d):
     return profile.corr_matrix(_twins(spark, d), TWINS).withColumn("r", r6("r"))
 
 
+def corr_gaps(spark, d):
+    """Columns with nulls in different rows: each pair has the rows that have both."""
+    holed = _twins(spark, d).withColumns(
+        {
+            "l_discount": F.when(F.col("l_linenumber") % 3 > 0, F.col("l_discount")),
+            "l_extendedprice": F.when(F.col("l_quantity") > 7, F.col("l_extendedprice")),
+            "price_twin": F.when(F.col("l_partkey") % 5 < 3, F.col("price_twin")),
+        }
+    )
+    found = profile.corr_matrix(holed, TWINS)
+    return found.withColumn("r", r6("r"))
+
+
 def corr_with_label(spark, d):
     return profile.corr_with_label(_twins(spark, d), TWINS, "label").withColumn("r", r6("r"))
 
@@ -342,6 +356,26 @@ def fold_report(spark, d):
     )
 
 
+def auc_score(spark, d):
+    """Half a million and more distinct scores at the bench's scale, with ties."""
+    li = table(spark, d, "lineitem").select(
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+        F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).alias("score"),
+    )
+    return M.exact_auc(li).withColumn("auc", F.round("auc", 9))
+
+
+def report_append(spark, d):
+    """Two runs appended, the first one twice, and what a reader finds then."""
+    path = f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/report-{uuid.uuid4().hex}"
+    judged = rows.stratified_folds(_judged(spark, d), label="label", key=["event_id"])
+    for run, some in (("all", judged), ("even", judged.where("event_id % 2 = 0")), ("all", judged)):
+        matrix = M.confusion_matrix(some, by=["fold"]).withColumn("model", F.lit("value_over_150"))
+        long = M.long_metrics(M.binary_metrics(matrix), ["model", "fold"], ["accuracy", "precision", "recall", "f1"])
+        report.append_metrics(long, path, run)
+    return report.read_runs(spark, path).select("run_id", "model", "fold", "metric", r6("value").alias("value"))
+
+
 def param_grid(spark, d):
     grid = models.param_grid(table(spark, d, "embeddings"), F.max(F.size("embedding")))
     return grid.withColumn("reg_param", F.round("reg_param", 12)).withColumn(
@@ -380,23 +414,6 @@ def multi_group_outliers(spark, d):
 # --- selection and models (iterative fits: no SQL form)
 
 
-def _vectors(spark, d) -> tuple[DataFrame, int]:
-    emb = table(spark, d, "embeddings")
-    vectors = emb.select(
-        "vec_id",
-        (F.col("label") > 4).cast("int").alias("label"),
-        array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
-    )
-    return vectors, _embedding_width(emb)
-
-
-def _design(spark, d, *, k: int, seed: int, fold: str, rank: str) -> tuple[DataFrame, int]:
-    """Vectors with a binary label and folds, stored once for the many fits to come."""
-    vectors, width = _vectors(spark, d)
-    folded = rows.stratified_folds(vectors, label="label", key=["vec_id"], k=k, seed=seed, into=fold, rank=rank)
-    return materialise(folded, "design", partition_by=[fold]), width
-
-
 ORDER_FEATURES = ["is_final", "o_totalprice", "o_custkey", "priority"]
 
 
@@ -440,14 +457,6 @@ def rfecv_support(spark, d):
     return selection.support_table(design, selection.rfecv(design, ORDER_FEATURES))
 
 
-def small_models():
-    return [
-        models.logistic([20, 50], max_iter=20),
-        models.forest([5, 10], max_depth=3),
-        models.perceptron([(4,), (8,)], max_iter=15),
-    ]
-
-
 def _fit(spark, d, spec):
     """Every row predicted by the model of the folds it is not in; first candidate of the grid."""
     design = _order_folds(spark, d, flipped=True, seed=presets.CV_SEED, fold="fold")
@@ -486,11 +495,28 @@ def grid_search(spark, d):
 
 
 def nested_cv(spark, d):
-    design, width = _design(spark, d, k=3, seed=1, fold="fold", rank="fold_rank")
+    """The whole job: full grids, five outer and five inner folds, with a journal. Time is not part of the result."""
+    folded = rows.stratified_folds(
+        _orders(spark, d, flipped=True),
+        label="label",
+        key=["o_orderkey"],
+        k=presets.FOLDS,
+        seed=presets.CV_SEED,
+        rank="fold_rank",
+    )
+    design = materialise(folded, "orders", partition_by=["fold"])
+    journal = Journal(spark, f"{checkpoint_root(spark)}/{spark.sparkContext.applicationId}/journal-{uuid.uuid4().hex}")
     done = tuning.nested_cv(
-        design, small_models(), width=width, key=["vec_id"], k_outer=3, k_inner=2, parallelism=4, rank="fold_rank"
+        design,
+        models.default_models(),
+        width=len(ORDER_FEATURES),
+        key=["o_orderkey"],
+        parallelism=4,
+        rank="fold_rank",
+        journal=journal,
     )
-    return done.metrics.where("metric <> 'fit_seconds'")
+    # Scores of equal predictions differ between models; what decides the labels does not.
+    return done.metrics.where("metric not in ('fit_seconds', 'auc_score')").withColumn("value", r6("value"))
 
 
 def flagship(spark, d):
@@ -536,6 +562,7 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quantile_cut": quantile_cut,
         "constant_columns": constants,
         "corr_matrix": corr_matrix,
+        "corr_gaps": corr_gaps,
         "corr_with_label": corr_with_label,
         "corr_prune": corr_prune,
         "stratified_folds": folds,
@@ -544,7 +571,9 @@ def catalogue() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "confusion_matrix": confusion,
         "binary_metrics": binary_metrics,
         "auc_hard": auc_hard,
+        "auc_score": auc_score,
         "fold_report": fold_report,
+        "report_append": report_append,
         "param_grid": param_grid,
         "iforest_scores": iforest_scores,
         "anomaly_rows": anomaly_rows,

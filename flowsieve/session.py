@@ -95,6 +95,16 @@ def materialised(df: DataFrame, name: str, partition_by: list[str] | None = None
         _delete(df.sparkSession, path)
 
 
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str):
+    """A path in the checkpoint folder for files that are not needed after the block."""
+    path = f"{_table_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        _delete(spark, path)
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete what this application has materialised; call it when no result needs it."""
     _delete(spark, _table_folder(spark))

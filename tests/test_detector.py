@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from flow_fixture import PLANTED, flow_frame
 from flowsieve.functions.names import normalise
-from flowsieve.operators import models
+from flowsieve.operators import models, report
 from flowsieve.plans import detector
 
 
@@ -75,9 +75,9 @@ def test_whole_run(spark, cfg, tmp_path):
     assert set(result.selected) & {normalise(p) for p in PLANTED}
     scores = result.evaluation.metrics.where("metric = 'accuracy'").groupBy("model").agg(F.avg("value").alias("a"))
     assert all(r.a > 0.85 for r in scores.collect())
-    stored = spark.read.parquet(str(tmp_path / "out" / "fold_metrics"))
+    stored = report.read_runs(spark, str(tmp_path / "out" / "fold_metrics"))
     assert stored.where("metric = 'recall'").count() == 4
-    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "out" / "report_text")).collect())
+    text = "\n".join(r.value for r in report.read_runs(spark, str(tmp_path / "out" / "report_text"), "text").collect())
     assert "LogisticRegression" in text and "Confusion matrices" in text
 
 

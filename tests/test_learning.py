@@ -2,7 +2,8 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from flowsieve.operators import models, rows, selection, tuning
+from flowsieve.operators import models, rows, selection, tuning, votes
+from flowsieve.operators.journal import Journal
 
 NAMES = ["copy", "flat", "noise_a", "noise_b"]
 
@@ -88,3 +89,84 @@ def test_default_estimators(spark):
     assert (built.getNumTrees(), built.getFeatureSubsetStrategy()) == (200, "sqrt")
     assert mlp.build({"hidden_layer_sizes": (100,)}, 27, 1000).getLayers() == [27, 100, 2]
     assert models.logistic(scale_by_n=True).build({"C": 40}, 27, 1000).getRegParam() == 1 / 40000
+
+
+def flaky(spec, counts, limit):
+    """``spec`` whose fits are counted and fail from ``limit`` on."""
+
+    def build(*args):
+        counts.append(args[0])
+        if len(counts) > limit:
+            raise RuntimeError("killed")
+        return spec.build(*args)
+
+    return models.ModelSpec(spec.name, spec.scaled, spec.candidates, build, spec.trees_of)
+
+
+def test_a_killed_search_goes_on_where_it_stopped(spark, design, tmp_path):
+    """The second run fits only what the first did not finish, and finds what an undisturbed one finds."""
+    plain = [models.logistic([20, 50], max_iter=5), models.forest([4, 2], max_depth=3)]
+    journal = Journal(spark, str(tmp_path / "journal"))
+    search = lambda specs, j: tuning.grid_search(design, specs, width=4, fold="fold", k=3, journal=j, outer=7)
+    first, second = [], []
+    with pytest.raises(RuntimeError, match="killed"):
+        search([flaky(s, first, 7) for s in plain], journal)
+    found = search([flaky(s, second, 99) for s in plain], journal)
+    assert len(first) in (8, 9) and len(second) == 9 - 6  # three fits a fold: two candidates and one forest for both
+    whole = search(plain, None)
+    assert [f.scores for f in found] == [w.scores for w in whole]
+    again = []
+    assert [f.scores for f in search([flaky(s, again, 0) for s in plain], journal)] == [w.scores for w in whole]
+    assert again == []
+    # other rows than those that an entry was fitted on: it does not count
+    fewer = design.where("key % 4 > 0")
+    tuning.grid_search(fewer, [flaky(plain[0], again, 99)], width=4, fold="fold", k=3, journal=journal, outer=7)
+    assert len(again) == 6
+
+
+def test_a_killed_nested_search_refits_nothing_twice(spark, design, tmp_path):
+    spec, runs = models.logistic([20, 50], max_iter=5), []
+    for limit in (8, 99, 0):
+        counts = []
+        nested = lambda: tuning.nested_cv(
+            design, [flaky(spec, counts, limit)], width=4, key=["key"], k_outer=2, k_inner=2, journal=Journal(spark, str(tmp_path))
+        )
+        if limit == 8:
+            with pytest.raises(RuntimeError, match="killed"):
+                nested()
+        else:
+            runs.append(sorted(map(tuple, nested().confusions.collect())))
+            assert len(counts) == (0 if limit == 0 else 10 - 7)
+    assert runs[0] == runs[1]
+
+
+def test_first_trees_answer_for_smaller_forests(spark, design):
+    """Votes from the leaf table against walking each tree, and against Spark's own prediction of all trees."""
+    noisy = design.withColumn("label", F.when(F.xxhash64("key") % 5 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    model = models.forest([9], max_depth=4).build({"n_estimators": 9}, 4, 600).fit(noisy)
+    found = votes.prefix_predictions(noisy, model, [9, 4, 1], ["all", "four", "one"])
+    whole = model.transform(noisy).select("key", "prediction")
+    assert found.join(whole, "key").where("all <> prediction").count() == 0
+    shown = [t.toDebugString for t in model.trees]
+    assert len(shown) == 9
+    walked = noisy.select("key", "features").collect()
+    by_key = {r["key"]: r for r in found.collect()}
+    for r in walked[:80]:
+        shares = []
+        for tree in model.trees:
+            p = tree.predictProbability(r["features"])
+            shares.append(p[1])
+        for name, n in (("one", 1), ("four", 4), ("all", 9)):
+            ones = sum(shares[:n])
+            zeros = sum(1 - s for s in shares[:n])
+            assert abs(ones - zeros) < 1e-9 or by_key[r["key"]][name] == float(ones > zeros)
+    assert found.where("one <> all").count() > 0
+
+
+def test_one_scoring_job_a_fold(spark, design, monkeypatch):
+    """All candidates of all models are counted in one aggregate per fold."""
+    calls, plain = [], tuning._count
+    monkeypatch.setattr(tuning, "_count", lambda *a: calls.append(sum(len(f.candidates) for f in a[1])) or plain(*a))
+    specs = [models.logistic([20, 50], max_iter=5), models.forest([4, 2], max_depth=3), models.perceptron([(3,)], max_iter=5)]
+    found = tuning.grid_search(design, specs, width=4, fold="fold", k=3, parallelism=3)
+    assert calls == [5, 5, 5] and [len(f.candidates) for f in found] == [2, 2, 1]

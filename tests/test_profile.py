@@ -35,10 +35,25 @@ def test_correlation_equals_numpy(spark, more):
     assert np.allclose(got, expected)
     flat = profile.correlation(df.withColumn("free", F.lit(2.0)), ["a", "free", "label"])
     assert math.isnan(flat["a", "free"]) and flat["a", "label"] > 0.8
-    for gap in (None, float("nan")):
-        holed = df.withColumn("a", F.when(F.col("a") > 3, F.col("a")).otherwise(F.lit(gap)))
-        with pytest.raises(ValueError, match="null or NaN in .*a"):
-            profile.correlation(holed, ["a", "free"])
+
+
+@pytest.mark.parametrize("gap", [None, float("nan")])
+def test_a_gap_leaves_its_pairs_only(spark, gap):
+    """Each pair over the rows that have both values, however far from 0 they lie."""
+    far = related(spark).select(*[(F.col(c) + 1e7).alias(c) for c in ("a", "mirror", "free", "label")])
+    holed = far.select(
+        F.when(F.col("a") % 3 > 0, F.col("a")).otherwise(F.lit(gap)).alias("a"),
+        F.when(F.col("a") % 4 > 0, F.col("mirror")).otherwise(F.lit(gap)).alias("mirror"),
+        "free",
+        F.when(F.col("label") > 1e7, F.col("label")).otherwise(F.lit(gap)).alias("one"),
+        F.when(F.col("a") == 1e7, 1.0).otherwise(F.lit(gap)).alias("single"),
+    )
+    r = profile.correlation(holed, holed.columns)
+    expected = holed.toPandas().astype(float).corr().to_numpy()
+    got = np.array([[r[a, b] for b in holed.columns] for a in holed.columns])
+    assert np.allclose(got[:3, :3], expected[:3, :3]) and np.isnan(got[3:]).all() and np.isnan(got[:, 3:]).all()
+    assert profile.corr_prune(far, ["a", "mirror", "free"], "label") == ["mirror"]
+    assert all(math.isnan(v) for v in profile.correlation(far.where("false"), ["a", "free"]).values())
 
 
 def test_pruning_keeps_one_of_each_bundle(spark):
