@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowsieve.session import small_table
-
-LITERAL_LIMIT = 100
+from flowsieve.session import broadcast_if_small, small_table
 
 
 def _unmapped(source: Column, name: str, policy: str) -> Column:
@@ -33,8 +31,7 @@ def recode(
     """Replace the values of one column by a lookup; matching is exact unless ``trim``.
 
     ``unmapped``: ``error`` fails the job, ``null`` yields null, ``keep`` lets the text
-    pass and therefore returns a string column. Small maps become a literal expression;
-    larger ones a broadcast join against the map, which is driver-sized by construction.
+    pass and therefore returns a string column. The map is a table that is joined, whatever its size.
     """
     into = into or column
     source = F.col(column)
@@ -47,10 +44,6 @@ def recode(
         mapping = trimmed
     fallback = _unmapped(source, column, unmapped)
     kind = "string" if unmapped == "keep" else "int"
-    if len(mapping) <= LITERAL_LIMIT:
-        table = F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
-        found = F.element_at(table, source) if mapping else F.lit(None)
-        return df.withColumn(into, F.coalesce(found.cast(kind), fallback))
     table = small_table(df.sparkSession, list(mapping.items()), "_from string, _to int")
-    joined = df.join(F.broadcast(table), source == F.col("_from"), "left")
+    joined = df.join(broadcast_if_small(table), source == F.col("_from"), "left")
     return joined.withColumn(into, F.coalesce(F.col("_to").cast(kind), fallback)).drop("_from", "_to")

@@ -15,7 +15,8 @@ from flowsieve.functions.names import check_columns
 from flowsieve.session import broadcast_if_small, materialise
 
 ROWS_PER_CELL = 1_000_000
-PREFIX_DIGITS = 4  # even: two hex digits per byte
+#: Hex digits of the first count at most, and of a whole digest.
+FIRST_DIGITS, DIGEST_DIGITS = 4, 32
 
 
 def drop_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,28 +109,51 @@ def shuffle_hash(key: list[str], seed: int) -> Column:
     return F.unhex(F.md5(F.concat_ws("~", F.lit(str(seed)), *parts)))
 
 
-def _prefix(digest: Column) -> Column:
-    return F.hex(F.substring(digest, 1, PREFIX_DIGITS // 2))
+def _cell(digits: int) -> Column:
+    """Class and leading hex digits of the digest."""
+    return F.concat("_stratum", F.lit("~"), F.substring(F.hex("_h"), 1, digits))
 
 
-def _cell_digits(rows: int) -> int:
-    """Leading hex digits of the digest that give cells of about ROWS_PER_CELL rows."""
-    return max(1, min(PREFIX_DIGITS, math.ceil(math.log(max(rows, 1) / ROWS_PER_CELL + 1, 16))))
+def _first_digits(rows: int) -> int:
+    """Leading digits that give cells of about ROWS_PER_CELL rows, as far as the first count goes."""
+    return max(1, min(FIRST_DIGITS, math.ceil(math.log(max(rows, 1) / ROWS_PER_CELL + 1, 16))))
 
 
-def _counted(df: DataFrame, label: str, key: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
-    """``df`` with its digest ``_h``, and a stored table of rows per class and digest prefix.
+def _celled(df: DataFrame, label: str, key: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with its digest ``_h`` and ``_cell``, and a stored table of the rows of each cell.
 
-    The table has at most 16^PREFIX_DIGITS rows per class and comes from one pass that
-    combines before the shuffle.
+    The first count has at most 16^FIRST_DIGITS cells a class, and combines before the shuffle. Cells that are
+    too large still are counted again by two digits more, and only their rows are, until none is. Copies of one key,
+    which no digit parts, are left together.
     """
     missing = F.raise_error(F.lit(f"null in {label}: cannot stratify")).cast("string")
     hashed = df.withColumn("_h", shuffle_hash(key, seed)).withColumn(
         "_stratum", F.coalesce(F.col(label).cast("string"), missing)
     )
-    by = ["_stratum", F.col(label).alias("_class"), _prefix(F.col("_h")).alias("_prefix")]
-    counts = hashed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return hashed, materialise(counts, "cells")
+    bits = F.xxhash64("_h")
+    sizes = [F.count(F.lit(1)).alias("n"), F.min(bits).alias("_low"), F.max(bits).alias("_high")]
+    count = lambda rows: rows.groupBy(F.col(label).alias("_class"), "_cell").agg(*sizes)
+    fine = count(hashed.withColumn("_cell", _cell(FIRST_DIGITS)))
+    fine = materialise(fine, "cells")
+    total = fine.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    digits = _first_digits(total)
+    spare = FIRST_DIGITS - digits
+    cells = fine.withColumn("_cell", F.expr(f"left(_cell, length(_cell) - {spare})")).groupBy("_class", "_cell")
+    cells = cells.agg(F.sum("n").alias("n"), F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    hashed = hashed.withColumn("_cell", _cell(digits))
+    while digits < DIGEST_DIGITS:
+        large = cells.where((F.col("n") > ROWS_PER_CELL) & (F.col("_low") < F.col("_high")))
+        large = materialise(large.select("_cell", F.lit(True).alias("_large")), "large")
+        if large.isEmpty():
+            break
+        digits += 2
+        known = hashed.join(broadcast_if_small(large), "_cell", "left")
+        hashed = known.withColumn("_cell", F.when(F.col("_large"), _cell(digits)).otherwise(F.col("_cell")))
+        finer = count(hashed.where("_large").drop("_large"))
+        cells = cells.join(broadcast_if_small(large.drop("_large")), "_cell", "left_anti").unionByName(finer.select(*cells.columns))
+        cells = materialise(cells, "cells")
+        hashed = hashed.drop("_large")
+    return hashed, cells
 
 
 def stratified_folds(
@@ -147,9 +171,10 @@ def stratified_folds(
 
     Rows are ranked by (class, digest, key) and dealt out in turn, so folds differ by at
     most one row in total and within each class. Cells are (class, digest prefix): the
-    prefix leads the sort key, hence cell start + place in cell equals the global rank.
+    prefix leads the sort key, hence cell start + place in cell equals the global rank. Prefixes are as
+    long as it takes for a cell to have at most ``ROWS_PER_CELL`` rows.
     Two passes over the rows: one counts cells, one ranks within them after the only
-    shuffle. The result depends only on keys, labels and seed, not on partitioning.
+    shuffle; very large tables are counted again in part. The result depends only on keys, labels and seed, not on partitioning.
 
     The key must identify a row within its class; a repeat fails the job when folds are read.
     ``spread_copies`` allows repeats: the scan position then always joins the digest, so copies
@@ -163,12 +188,8 @@ def stratified_folds(
     columns = df.columns
     if spread_copies:
         df, key = materialise(df.withColumn("_tie", F.monotonically_increasing_id()), "tied"), [*key, "_tie"]
-    hashed, cells = _counted(df, label, key, seed)
-    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    digits = _cell_digits(total)
-    cell = lambda prefix: F.concat("_stratum", F.lit("~"), F.substring(prefix, 1, digits))
-    counts = cells.groupBy("_class", cell(F.col("_prefix")).alias("_cell")).agg(F.sum("n").alias("n"))
-    classes = cells.groupBy("_class").agg(F.sum("n").alias("n"))
+    hashed, counts = _celled(df, label, key, seed)
+    classes = counts.groupBy("_class").agg(F.sum("n").alias("n"))
     short = F.raise_error(
         F.concat(F.lit(f"class has fewer rows than {k} folds: "), F.col("_class").cast("string"))
     ).cast("bigint")
@@ -188,8 +209,7 @@ def stratified_folds(
     alike = F.lag(F.struct(*key)).over(ranking).eqNullSafe(F.struct(*key))
     repeated = F.raise_error(F.lit(f"key {key} does not identify a row")).cast("int")
     return (
-        hashed.withColumn("_cell", cell(_prefix(F.col("_h"))))
-        .withColumn("_place", F.when(alike, repeated).otherwise(place))
+        hashed.withColumn("_place", F.when(alike, repeated).otherwise(place))
         .join(starts, "_cell")
         .withColumn("_rank", F.col("_start") + F.col("_place"))
         .withColumn(into, F.pmod("_rank", F.lit(k)).cast("int"))

@@ -150,7 +150,7 @@ def _report_append() -> str:
 
 _AUC_SCORE = """
 WITH t AS (
-  SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, round(l_extendedprice * (1 - l_discount), 2) AS s FROM lineitem
+  SELECT CAST(l_returnflag = 'R' AS INTEGER) AS y, l_extendedprice * (1 - l_discount) AS s FROM lineitem
 ), c AS (
   SELECT s, count(*) FILTER (y = 1) AS p, count(*) FILTER (y = 0) AS q FROM t GROUP BY s
 ), r AS (
@@ -266,6 +266,12 @@ _PREFIXES = {
 }
 
 ORACLES: dict[str, str] = {
+    "scan_csv_mixed": """
+        SELECT l_orderkey, CASE WHEN l_linenumber <> 3 THEN l_linenumber::BIGINT END AS l_linenumber,
+               CASE WHEN l_suppkey % 10 <> 0 THEN l_quantity END AS l_quantity, l_returnflag,
+               CASE WHEN l_linenumber = 3 THEN 'three' ELSE '' END AS lost_l_linenumber,
+               CASE WHEN l_suppkey % 10 = 0 THEN 'n/a' ELSE '' END AS lost_l_quantity
+        FROM lineitem""",
     "scan_flows": """
         SELECT l_orderkey, CAST(l_linenumber AS INTEGER) AS l_linenumber,
                CAST(l_suppkey AS INTEGER) AS l_suppkey, l_quantity, l_extendedprice, l_returnflag, l_shipdate

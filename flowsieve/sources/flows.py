@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +29,17 @@ FLOW_SCHEMA = T.StructType(
 )
 
 
-def bind_by_name(df: DataFrame, schema: T.StructType, *, lenient: bool = False) -> DataFrame:
+RESCUED = "_rescued"
+
+
+def bind_by_name(
+    df: DataFrame, schema: T.StructType, *, lenient: bool = False, rescue: bool = False
+) -> DataFrame:
     """Project ``df`` to the declared columns by name, cast to the declared types.
 
     Columns the schema does not name are left out. A bad number fails the job, or becomes
-    null when ``lenient``.
+    null when ``lenient``. With ``rescue`` it becomes null and its text is kept in ``_rescued``, a map by
+    column that is null where all values are good.
     """
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:
@@ -39,10 +47,38 @@ def bind_by_name(df: DataFrame, schema: T.StructType, *, lenient: bool = False)
 
     def cast(field):
         source = F.col(quoted(field.name))
-        typed = source.try_cast(field.dataType) if lenient else source.cast(field.dataType)
-        return typed.alias(field.name)
-
-    return df.select(*[cast(f) for f in schema])
+        return source.try_cast(field.dataType) if lenient or rescue else source.cast(field.dataType)
+
+    bound = [cast(f).alias(f.name) for f in schema]
+    if rescue:
+        lost = [
+            F.when(F.col(quoted(f.name)).isNotNull() & cast(f).isNull(), F.struct(F.lit(f.name), F.col(quoted(f.name)).cast("string")))
+            for f in schema
+            if not isinstance(f.dataType, T.StringType)
+        ]
+        entries = F.map_from_entries(F.array_compact(F.array(*lost))) if lost else F.create_map()
+        bound.append(F.when(F.size(entries) > 0, entries).cast("map<string,string>").alias(RESCUED))
+    return df.select(*bound)
+
+
+def rescued_counts(df: DataFrame) -> DataFrame:
+    """``column_name`` and ``n_rescued``: how many values of a column did not cast."""
+    names = df.where(F.col(RESCUED).isNotNull()).select(F.explode(F.map_keys(RESCUED)).alias("column_name"))
+    return names.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rescued"))
+
+
+def header_groups(spark: SparkSession, path: str, parallelism: int = 16) -> dict[tuple[str, ...], list[str]]:
+    """Files below ``path`` by their header line. One line of each file is read, several files at a time; Spark
+    lists and opens them, so any store it reads will do. The driver gets the names of the files."""
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(path).select("path").collect())
+    inherit = inheritable_thread_target(spark)
+    with ThreadPool(parallelism) as pool:
+        headers = pool.map(inherit(lambda f: tuple(spark.read.option("header", True).csv(f).columns)), files)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file, header in zip(files, headers):
+        groups.setdefault(header, []).append(file)
+    groups.pop((), None)  # files without a line
+    return groups
 
 
 def scan_csv(
@@ -51,25 +87,46 @@ def scan_csv(
     schema: T.StructType = FLOW_SCHEMA,
     *,
     lenient: bool = False,
+    rescue: bool = False,
     position: bool = False,
 ) -> DataFrame:
-    """Headered CSV, bound by header name whatever its order.
+    """Headered CSV, each file bound by the names in its own header, whatever their order.
 
-    Only the header line is read up front: no inference pass over the data. All files under
-    ``path`` must share that header (Spark checks each); differing headers belong in
-    separate sources. ``position`` adds where each row was read, for ``rows.scan_order_id``.
+    Only header lines are read up front: no inference pass over the data. Files of one header are one
+    scan, and these are stacked; a file that lacks a declared column is an error that names its header. An empty
+    folder is one, too. ``rescue`` keeps what does not cast (see ``bind_by_name``). ``position`` adds where each
+    row was read, for ``rows.scan_order_id``.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    groups = header_groups(spark, path)
+    if not groups:
+        raise ValueError(f"no file with a header below {path}")
+    scans = [
+        _scan_group(spark, header, files, schema, lenient=lenient, rescue=rescue, position=position)
+        for header, files in groups.items()
+    ]
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _scan_group(
+    spark: SparkSession,
+    header: tuple[str, ...],
+    files: list[str],
+    schema: T.StructType,
+    *,
+    lenient: bool,
+    rescue: bool,
+    position: bool,
+) -> DataFrame:
     text = T.StructType([T.StructField(c, T.StringType()) for c in header])
     raw = (
         spark.read.schema(text)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .csv(path)
+        .csv(files)
     )
     if not position:
-        return bind_by_name(raw, schema, lenient=lenient)
+        return bind_by_name(raw, schema, lenient=lenient, rescue=rescue)
     fields = T.StructType(list(schema) + [
         T.StructField("_file", T.StringType()),
         T.StructField("_block", T.LongType()),
@@ -81,7 +138,7 @@ def scan_csv(
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_at"),
     )
-    return bind_by_name(located, fields, lenient=lenient)
+    return bind_by_name(located, fields, lenient=lenient, rescue=rescue)
 
 
 def scan_parquet(

@@ -4,7 +4,15 @@ from pyspark.sql import functions as F
 from flowsieve.functions.names import normalise
 from flowsieve.operators import rows
 from flowsieve.session import materialise
-from flowsieve.sources.flows import FLOW_SCHEMA, scan_csv, scan_flows, scan_parquet, stack_sources
+from flowsieve.session import materialise
+from flowsieve.sources.flows import (
+    FLOW_SCHEMA,
+    rescued_counts,
+    scan_csv,
+    scan_flows,
+    scan_parquet,
+    stack_sources,
+)
 
 
 def test_negative_rows_go_and_unknown_ones_stay(spark):
@@ -47,14 +55,38 @@ def test_csv_keeps_trailing_blank_and_checks_numbers(spark, tmp_path):
         scan_csv(spark, path, schema).collect()
 
 
-def test_csv_folder_with_differing_headers_fails(spark, tmp_path):
+def test_csv_folder_with_differing_headers(spark, tmp_path):
+    """Every file is bound by its own header; one without a declared column is named, empty files are nothing."""
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
     (tmp_path / "1.csv").write_text("a,b\n1,2\n")
     (tmp_path / "2.csv").write_text("b,a\n1,2\n")
-    with pytest.raises(Exception, match="header"):
-        scan_csv(spark, str(tmp_path), schema).collect()
+    (tmp_path / "3.csv").write_text("c,b,a\nx,5,6\n")
+    (tmp_path / "4.csv").write_text("")
+    assert sorted(map(tuple, scan_csv(spark, str(tmp_path), schema).collect())) == [(1, 2), (2, 1), (6, 5)]
+    placed = scan_csv(spark, str(tmp_path), schema, position=True)
+    ids = rows.scan_order_id(materialise(placed, "scanned")).collect()
+    assert [tuple(r)[:2] for r in sorted(ids, key=lambda r: r.row_id)] == [(1, 2), (2, 1), (6, 5)]
+    (tmp_path / "5.csv").write_text("a,c\n1,2\n")
+    with pytest.raises(ValueError, match="missing columns: .'b'"):
+        scan_csv(spark, str(tmp_path), schema)
+
+
+def test_values_that_do_not_cast_are_rescued(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    kinds = {"n": T.DoubleType(), "k": T.IntegerType(), "t": T.StringType()}
+    schema = T.StructType([T.StructField(c, k) for c, k in kinds.items()])
+    (tmp_path / "1.csv").write_text("n,k,t\n1.5,2,x\noops,,y\n")
+    (tmp_path / "2.csv").write_text("t,k,n\nz,3.5.6,none\n,7,NaN\n")
+    df = scan_csv(spark, str(tmp_path), schema, rescue=True)
+    got = sorted((r.t or "", r.k, r._rescued) for r in df.collect())
+    assert got == [("", 7, None), ("x", 2, None), ("y", None, {"n": "oops"}), ("z", None, {"n": "none", "k": "3.5.6"})]
+    counts = {r.column_name: r.n_rescued for r in rescued_counts(df).collect()}
+    assert counts == {"n": 2, "k": 1}
+    names = scan_csv(spark, str(tmp_path), T.StructType([T.StructField("t", T.StringType())]), rescue=True)
+    assert names.where("_rescued is not null").count() == 0
 
 
 def test_stack_aligns_by_name(spark):
@@ -120,6 +152,20 @@ def test_folds_equal_a_plain_ranking(spark, monkeypatch):
     assert [f for _, f in ordered] == [i % 4 for i in range(3000)]
 
 
+def test_cells_grow_by_digits_and_folds_stay(spark, monkeypatch):
+    """Cells that the first count leaves too large are parted by more digits, here six; folds are the same."""
+    by_key = lambda: sorted((r.key, r.fold) for r in rows.stratified_folds(labelled(spark), label="label", key=["key"]).collect())
+    plain = by_key()
+    monkeypatch.setattr(rows, "ROWS_PER_CELL", 4)
+    monkeypatch.setattr(rows, "FIRST_DIGITS", 2)
+    assert by_key() == plain
+    monkeypatch.setattr(rows, "FIRST_DIGITS", 1)
+    monkeypatch.setattr(rows, "ROWS_PER_CELL", 1)
+    _, cells = rows._celled(labelled(spark), "label", ["key"], 1)
+    assert cells.agg(F.max("n"), F.max(F.length("_cell"))).first()[:] == (1, len("0~") + 7)
+    assert by_key() == plain
+
+
 def test_folds_spread_copies_of_one_key(spark, monkeypatch):
     monkeypatch.setattr(rows, "ROWS_PER_CELL", 100)
     df = labelled(spark, 6000).withColumn("key", F.when(F.col("key") % 3 == 0, -1).otherwise(F.col("key")))
