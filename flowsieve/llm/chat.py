@@ -66,8 +66,10 @@ def rendered(
     instead: what stands around it must stand around the text. Where it does not, the span is empty.
     """
     past: deque = deque(maxlen=history)
+    after = template([])
     for role, text in turns:
-        before = template(list(past))
+        # the last rendering was of the same turns, unless the first of them is out of sight now
+        before = after if history is None or len(past) < history else template(list(past))
         after = template([*past, (role, text)])
         kept = after.startswith(before)
         base = len(before) if kept else 0
@@ -99,7 +101,7 @@ def format_conversations(
 
     The segments of a conversation in the order of ``seq`` make its formatted text. Turns are ordered by
     ``turn`` (null first), then role and text, so ties have one order and repeated rows are turns of
-    their own. Null roles and texts are empty. Rows without conversation id are one conversation. The
+    their own. Null roles and texts are empty. Rows without conversation id are one conversation. Other columns are not read. The
     loss mask (code points in the segment) covers the texts of ``learned`` roles; elsewhere it is
     empty. Rows are streamed; a conversation takes the memory of ``history`` turns, and whole prefixes
     (the default) take time with the square of its turns.

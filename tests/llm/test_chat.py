@@ -82,3 +82,27 @@ def test_whole_prefixes_by_default(spark):
     rows = [(1, k, "user", f"t{k}") for k in range(10)]
     made = C.format_conversations(spark.createDataFrame(rows, SCHEMA), template=late)
     assert [r["seq"] for r in made.where("rewrote").collect()] == [7]
+
+
+def test_two_renderings_a_turn():
+    """The last rendering is kept; without a bound a turn costs its own prefix and the one with the sentinel."""
+    calls = []
+
+    def counted(t):
+        calls.append(len(t))
+        return C.plain_template(t)
+
+    turns = [("user", f"t{k}") for k in range(12)]
+    whole = list(C.rendered(turns, counted, None))
+    assert len(calls) == 1 + 2 * 12
+    for history in range(14):
+        assert list(C.rendered(turns, C.plain_template, history)) == whole
+
+
+def test_other_columns_do_not_matter(spark):
+    """Extra columns with names that the operator uses itself, in other case too."""
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (None, 0, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for name in ["conv", "Seq", "segment", "LOSS_START", "loss_end", "rewrote", "n_turns"]:
+        df = df.withColumn(name, df.turn)
+    assert got(C.read_back(C.format_conversations(df))) == brute(rows)
