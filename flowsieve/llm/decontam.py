@@ -15,7 +15,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowsieve.llm.common import fresh, let, row_key
@@ -214,14 +214,15 @@ def _item_windows(batches):
         for item, text in zip(batch["item"], batch["text"]):
             for reading, made in enumerate(Templates([text]).readings()):
                 size = min(WINDOW, len(made.hash))
+                tokens = len(made._all)
                 if size < (1 if reading == PLAIN else LEAST):
                     continue
                 h, places = made.windows(size)
                 rows += [
-                    (item, x, reading, p, size, len(h), made.slots(p, size))
+                    (item, x, reading, p, size, len(h), tokens, made.slots(p, size))
                     for x, p in zip(h.view(np.int64).tolist(), places.tolist())
                 ]
-        yield pd.DataFrame(rows, columns=["item", "h", "reading", "item_at", "size", "n", "item_slots"])
+        yield pd.DataFrame(rows, columns=["item", "h", "reading", "item_at", "size", "n", "tokens", "item_slots"])
 
 
 def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", text: str = "text") -> DataFrame:
@@ -232,7 +233,7 @@ def item_windows(benchmark: DataFrame, *, item_col: str = "item_id", text: str =
     ship_package(benchmark.sparkSession)
     cut = benchmark.select(F.col(item_col).cast("string").alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     made = cut.mapInPandas(
-        _item_windows, "item string, h bigint, reading int, item_at bigint, size int, n bigint, item_slots array<string>"
+        _item_windows, "item string, h bigint, reading int, item_at bigint, size int, n bigint, tokens bigint, item_slots array<string>"
     )
     return made.withColumn("item", F.col("item").cast(benchmark.schema[item_col].dataType))
 
@@ -251,6 +252,20 @@ def _filter_bits(windows: DataFrame) -> np.ndarray:
     return bits
 
 
+def leading_windows(items: DataFrame, coverage: float) -> DataFrame:
+    """Windows of each item of which a document must have one at least: all but the commonest.
+
+    Of n windows a document that has the item has ``coverage`` * n; so if one window fewer than that is left out,
+    it still has one of the others. Left out are those that most items have, such as the opening of a usual
+    question, which would pair all of these items with all documents that have it.
+    """
+    common = items.groupBy("h", "size").agg(F.countDistinct("item").alias("items"))
+    order = Window.partitionBy("item", "reading").orderBy("items", "h", "item_at")
+    spare = F.ceil(F.col("n") * coverage) - 1
+    ranked = items.join(common, ["h", "size"]).withColumn("place", F.row_number().over(order))
+    return ranked.where(F.col("place") <= F.greatest(F.col("n") - spare, F.lit(1))).select("item", "reading", "h", "size").distinct()
+
+
 def _grouped(batch: pd.DataFrame):
     """Slices of a batch with about ``GROUP`` characters of text."""
     first = size = 0
@@ -301,6 +316,8 @@ def leaks(
     the item that stands for several ones counts only in windows that are as in the item. Null and empty
     texts have no windows. Texts are read three ways (capitalised words that open a sentence as words, as
     names, and all tokens as they are but for case); the best counts, so copies of any item are found.
+    ``n_tokens`` is the length of the item. Pairs are sought by the rarer windows of each item (``leading_windows``) and
+    then compared in all. A text is worked on whole, its windows that are in no item are dropped at once.
     Repeated rows give one row. Ids may be null. Other columns are not read.
     """
     spark = docs.sparkSession
@@ -316,13 +333,20 @@ def leaks(
         _document_windows(bits, sizes),
         "doc string, key binary, h bigint, doc_at bigint, size int, doc_slots array<string>",
     ).withColumn("doc", F.col("doc").cast(docs.schema[id_col].dataType))
+    found = materialise(found, "document-windows")
+    pairs = found.join(leading_windows(items, coverage), ["h", "size"]).select(
+        "key", F.col("item").alias("of"), F.col("reading").alias("read")
+    )
+    pairs = materialise(pairs.distinct(), "pairs")
+    wanted = pairs.join(items, F.col("of").eqNullSafe(F.col("item")) & (F.col("read") == F.col("reading"))).drop("of", "read")
     found = materialise(
-        found.join(items, ["h", "size"]).select(
+        found.join(wanted, ["key", "h", "size"]).select(
             "doc",
             "key",
             "item",
             "reading",
             "n",
+            "tokens",
             "item_at",
             (F.col("doc_at") - F.col("item_at")).alias("shift"),
             F.arrays_zip("item_slots", "doc_slots").alias("slots"),
@@ -332,7 +356,7 @@ def leaks(
     align = ["doc", "key", "item", "reading", "shift"]
     aligned = (
         found.groupBy(*align)
-        .agg(F.max("n").alias("n"), F.collect_set(F.struct("item_at", "slots")).alias("windows"))
+        .agg(F.max("n").alias("n"), F.max("tokens").alias("tokens"), F.collect_set(F.struct("item_at", "slots")).alias("windows"))
     )
     same = lambda s: s["item_slots"] == s["doc_slots"]
 
@@ -350,6 +374,7 @@ def leaks(
         aligned.select(
             *align,
             "n",
+            "tokens",
             let(torn, fitting).alias("places"),
             F.forall("windows", lambda w: F.forall(w["slots"], same)).alias("same"),
         )
@@ -357,6 +382,7 @@ def leaks(
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("bigint").alias("n_windows"),
             F.max("n").alias("n"),
+            F.max("tokens").alias("tokens"),
             F.bool_and("same").alias("exact"),
         )
         .withColumn("coverage", F.col("n_windows") / F.col("n"))
@@ -366,13 +392,21 @@ def leaks(
             F.max_by("n_windows", F.struct("coverage", "n_windows")).alias("n_windows"),
             F.bool_or(F.col("exact") & ((F.col("reading") != PLAIN) | (F.col("coverage") == 1))).alias("exact"),
             F.max("coverage").alias("coverage"),
+            F.max("tokens").alias("n_tokens"),
         )
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", **kw) -> DataFrame:
-    """``docs`` without those that contain a benchmark item; columns and their order stay."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text: str = "text", least: int = LEAST, **kw
+) -> DataFrame:
+    """``docs`` without those that contain a benchmark item of ``least`` tokens or more; columns and their order stay.
+
+    Shorter items, such as a single word, stand in many documents by chance: ``leaks`` lists them, and nothing goes
+    for them alone. ``least=1`` lets all items count.
+    """
     (key,) = fresh(docs, "_key")
-    bad = leaks(docs, benchmark, id_col=id_col, text=text, **kw).select(F.col("key").alias(key)).distinct()
+    found = leaks(docs, benchmark, id_col=id_col, text=text, **kw).where(F.col("n_tokens") >= least)
+    bad = found.select(F.col("key").alias(key)).distinct()
     keyed = docs.withColumn(key, row_key(F.col(id_col), F.col(text)))
     return keyed.join(bad, key, "left_anti").drop(key)

@@ -33,6 +33,110 @@ def documents():
     ]
 
 
+def brute(docs, items, coverage=D.COVERAGE):
+    """All windows of every item against all windows of every text, as lists of tokens, by plain loops."""
+    found = {}
+    for item, item_text in items:
+        for reading in range(3):
+            made = D.Templates([item_text or ""]).readings()[reading]
+            size = min(D.WINDOW, len(made.hash))
+            if size < (1 if reading == D.PLAIN else D.LEAST):
+                continue
+            wanted = windows(made, size)
+            for doc, text in docs:
+                aligned = {}
+                for at, (tokens, slots) in windows(D.Templates([text or ""]).readings()[reading], size).items():
+                    for item_at, (item_tokens, item_slots) in wanted.items():
+                        if tokens == item_tokens:
+                            aligned.setdefault(at - item_at, {})[item_at] = list(zip(item_slots, slots))
+                places, same = set(), True
+                for own in aligned.values():
+                    values = {}
+                    for pairs in own.values():
+                        for a, b in pairs:
+                            values.setdefault(a, set()).add(b)
+                    same &= all(a == b for pairs in own.values() for a, b in pairs)
+                    for item_at, pairs in own.items():
+                        if all(a == b for a, b in pairs) or all(len(values[a]) == 1 for a, _ in pairs):
+                            places.add(item_at)
+                share = len(places) / len(wanted) if wanted else 0
+                if places and share >= coverage:
+                    best = found.get((doc, item), (0, 0, False))
+                    exact = best[2] or (same and (reading != D.PLAIN or share == 1))
+                    found[doc, item] = (*max(best[:2], (share, len(places))), exact)
+    return {pair: (n, round(share, 9), exact) for pair, (share, n, exact) in found.items()}
+
+
+def windows(made, size):
+    out = {}
+    for at in range(len(made.hash) - size + 1):
+        kinds = made.kind[at : at + size].tolist()
+        if 2 * kinds.count(D.LITERAL) >= size:
+            out[at] = made.hash[at : at + size].tolist(), made.slots(at, size)
+    return out
+
+
+def as_pairs(df):
+    return {(r["doc"], r["item"]): (r["n_windows"], round(r["coverage"], 9), r["exact"]) for r in df.collect()}
+
+
+def test_against_brute_force(spark, documents):
+    """Windows that many items have, items within items, repeats and values that change, over random texts."""
+    rng = random.Random(11)
+    opening = "what is the total price of all the"
+    items = [(k, f"{opening} {rng.randrange(2, 99)} {w} and {rng.randrange(2, 99)} km of {w} in Rome?") for k, w in enumerate(["books", "pens", "wires", "books"])]
+    items += [(10, opening), (11, opening + " things " + opening), (12, "yes"), (13, "a b c d e f g h a b c d e f g h a b")]
+    items += [(20 + i, t) for i, (_, t) in enumerate(ITEMS) if t]
+    texts = []
+    for k in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            words = rng.choice(items)[1].split()
+            if rng.random() < 0.6:
+                words = [str(rng.randrange(2, 9)) if w.isdigit() and rng.random() < 0.7 else w for w in words]
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] = rng.choice(["Paris", "7", "zz", "km"])
+            parts += [" ".join(words), filler(rng, rng.randrange(4)), rng.choice([".", "", "yes", "? "])]
+        texts.append((100 + k, " ".join(parts)))
+    texts += documents
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    expected = brute(texts, items)
+    assert as_pairs(D.leaks(docs, table)) == expected and len(expected) > 40
+    for coverage in (0.25, 1.0):
+        assert as_pairs(D.leaks(docs, table, coverage=coverage)) == brute(texts, items, coverage)
+
+
+def test_real_table_against_brute_force(spark, tables):
+    docs = [(r["doc_id"], r["text"]) for r in tables("documents").limit(60).collect()]
+    items = [(r["item_id"], r["text"]) for r in tables("benchmark").collect()]
+    docs += [(-1 - i, "x " + t.replace("the", "a", 1)) for i, t in items[:5]]
+    found = D.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), tables("benchmark"))
+    assert as_pairs(found) == brute(docs, items)
+
+
+def test_common_windows_do_not_pair(spark):
+    """Thousands of items with one opening, and documents that have only that: no pairs are made of it."""
+    opening = "a question that is usual begins like this one and then it asks for"
+    rng = random.Random(3)
+    rows = [(k, f"{opening} {filler(rng, 20)}") for k in range(1000)]
+    items = spark.createDataFrame(rows, "item_id bigint, text string")
+    made = D.item_windows(items)
+    leading = D.leading_windows(made, D.COVERAGE)
+    per_window = leading.groupBy("h").count().agg({"count": "max"}).first()[0]
+    assert per_window == 1 and made.groupBy("h").count().agg({"count": "max"}).first()[0] == 1000
+    docs = spark.createDataFrame([(1, opening), (2, rows[77][1])], "doc_id bigint, text string")
+    assert [(r["doc"], r["item"]) for r in D.leaks(docs, items).collect()] == [(2, 77)]
+
+
+def test_short_items_are_listed_and_take_nothing_away(spark):
+    docs = spark.createDataFrame([(1, "well yes of course"), (2, "nothing of the kind")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "Yes")], "item_id bigint, text string")
+    assert [(r["doc"], r["n_tokens"]) for r in D.leaks(docs, items).collect()] == [(1, 1)]
+    assert D.decontaminate(docs, items).count() == 2
+    assert [r["doc_id"] for r in D.decontaminate(docs, items, least=1).collect()] == [2]
+
+
 def test_templates():
     made = D.Templates(["Tom has 1,200 apples and buys 3.5 kg of Flour Mix in Paris, on day two.", "$5 or 7% of it"])
     kinds = made.kind.tolist()
