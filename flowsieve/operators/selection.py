@@ -4,26 +4,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorSlicer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowsieve import presets
-from flowsieve.operators.rows import train_test
-from flowsieve.operators.tuning import accuracy, run_all
+from flowsieve.operators.histograms import ALL, Store, binned, grow, held_out_accuracy
 from flowsieve.session import small_table
 
 
-def _tree(max_depth: int, seed: int, column: str = "features") -> DecisionTreeClassifier:
-    return DecisionTreeClassifier(featuresCol=column, labelCol="label", maxDepth=max_depth, seed=seed)
-
-
-def tree_importance(design: DataFrame, names: list[str], *, max_depth: int = 5, seed: int = 0) -> DataFrame:
+def tree_importance(design: DataFrame, names: list[str], *, max_depth: int = 30) -> DataFrame:
     """(feature, importance) of one decision tree over all rows."""
-    weights = _tree(max_depth, seed).fit(design).featureImportances.toArray()
+    (tree,) = grow(binned(design, len(names)), [ALL], [list(range(len(names)))], max_depth)
     return small_table(
-        design.sparkSession, [(n, float(w)) for n, w in zip(names, weights)], "feature string, importance double"
+        design.sparkSession, list(zip(names, tree.importances())), "feature string, importance double"
     )
 
 
@@ -45,22 +38,28 @@ def level_sizes(width: int, step: int, smallest: int) -> list[int]:
     return sizes
 
 
-def _eliminate(train, width, sizes, max_depth, seed, visit=None) -> list[list[int]]:
-    """Columns kept at each size, refitting after every elimination."""
-    kept, levels = list(range(width)), []
+def _eliminate(
+    store: Store, outs: list[int], sizes: list[int], max_depth: int, score: bool
+) -> tuple[list[list[list[int]]], dict[int, list[float]]]:
+    """Columns kept at each size and, if asked for, the held-out accuracy there, for every held-out fold in ``outs``.
+
+    Trees of all folds are grown in the same passes; a new one after every elimination.
+    """
+    kept = [list(range(store.width)) for _ in outs]
+    levels, scores = [], {}
     for i, size in enumerate(sizes):
-        levels.append(kept)
+        levels.append([list(own) for own in kept])
         last = i + 1 == len(sizes)
-        if last and visit is None:
+        if last and not score:
             break
-        slicer = VectorSlicer(inputCol="features", outputCol="_kept", indices=kept)
-        model = _tree(max_depth, seed, "_kept").fit(slicer.transform(train))
-        if visit:
-            visit(size, slicer, model)
+        trees = grow(store, outs, kept, max_depth)
+        if score:
+            scores[size] = held_out_accuracy(store, trees)
         if not last:
-            gone = weakest(model.featureImportances.toArray(), kept, size - sizes[i + 1])
-            kept = [c for c in kept if c not in gone]
-    return levels
+            for own, tree in zip(kept, trees):
+                for gone in weakest(tree.importances(), list(own), size - sizes[i + 1]):
+                    own.remove(gone)
+    return levels, scores
 
 
 @dataclass
@@ -84,6 +83,11 @@ def best_size(scores: dict[int, list[float]]) -> int:
     return min(scores, key=lambda n: (-sum(scores[n]) / len(scores[n]), n))
 
 
+def _curve(store: Store, k: int, step: float, smallest: int, max_depth: int) -> dict[int, list[float]]:
+    sizes = level_sizes(store.width, step_size(step, store.width), smallest)
+    return _eliminate(store, list(range(k)), sizes, max_depth, True)[1]
+
+
 def elimination_curve(
     design: DataFrame,
     width: int,
@@ -92,30 +96,14 @@ def elimination_curve(
     step: float = 1,
     smallest: int = 1,
     max_depth: int = 30,
-    seed: int = 0,
     fold: str = "selection_fold",
-    parallelism: int = 4,
 ) -> dict[int, list[float]]:
     """Held-out accuracy per number of features, one value per fold.
 
-    ``design`` (``label``, ``features``, fold column) should be stored or cached. Folds
-    eliminate independently, so they run side by side; within one, each fit depends on the
-    last.
+    ``design`` (``label``, ``features``, fold column) is read twice, for its cut points and to be stored in bins.
+    Folds eliminate independently; each size is a few passes over the bins for all of them.
     """
-    sizes = level_sizes(width, step_size(step, width), smallest)
-
-    def one_fold(f):
-        train, held = train_test(design, f, fold=fold)
-        got = {}
-
-        def visit(size, slicer, model):
-            got[size] = accuracy(model.transform(slicer.transform(held)))
-
-        _eliminate(train, width, sizes, max_depth, seed, visit)
-        return got
-
-    folds = run_all(design.sparkSession, [lambda f=f: one_fold(f) for f in range(k)], parallelism)
-    return {n: [got[n] for got in folds] for n in sizes}
+    return _curve(binned(design, width, fold=fold), k, step, smallest, max_depth)
 
 
 def rfecv(
@@ -126,22 +114,17 @@ def rfecv(
     step: float = 1,
     smallest: int = 1,
     max_depth: int = 30,
-    seed: int = 0,
     fold: str = "selection_fold",
-    parallelism: int = 4,
 ) -> Elimination:
     """Find the best number of features over the folds, then eliminate down to it on all rows.
 
     Rank 1 is selected; higher ranks left earlier.
     """
     width = len(names)
-    scores = elimination_curve(
-        design, width, k=k, step=step, smallest=smallest, max_depth=max_depth, seed=seed, fold=fold,
-        parallelism=parallelism,
-    )
-    by = step_size(step, width)
-    sizes = level_sizes(width, by, best_size(scores))
-    levels = _eliminate(design, width, sizes, max_depth, seed)
+    store = binned(design, width, fold=fold)
+    scores = _curve(store, k, step, smallest, max_depth)
+    sizes = level_sizes(width, step_size(step, width), best_size(scores))
+    levels = [own for (own,) in _eliminate(store, [ALL], sizes, max_depth, False)[0]]
     rank = [1] * width
     for level, kept in enumerate(levels):
         for c in range(width):

@@ -126,7 +126,7 @@ def _eliminate(design: DataFrame, names: list[str], cfg: DetectorConfig) -> sele
     )
     with materialised(folds, "selection", partition_by=["selection_fold"]) as folded:
         return selection.rfecv(
-            folded, names, k=cfg.k_select, step=cfg.step, max_depth=cfg.tree_depth, parallelism=cfg.parallelism
+            folded, names, k=cfg.k_select, step=cfg.step, max_depth=cfg.tree_depth
         )
 
 
