@@ -6,6 +6,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
+from flowsieve.operators import models
 from flowsieve.plans.detector import DetectorConfig, run
 from flowsieve.session import drop_tables
 
@@ -21,6 +22,9 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--select-inside-fold", action="store_true")
     parser.add_argument("--step", type=float, default=1)
     parser.add_argument("--parallelism", type=int, default=4)
+    parser.add_argument("--forest-depth", type=int, default=5, help="of the forest classifier, up to 30")
+    parser.add_argument("--journal", help="folder for this job's finished fits; the same again resumes it")
+    parser.add_argument("--run-id", help="a report is appended once per id (default: a new one)")
     args = parser.parse_args(argv)
     cfg = DetectorConfig(
         sources=dict(s.split("=", 1) for s in args.sources),
@@ -31,10 +35,12 @@ def main(argv: list[str] | None = None) -> None:
         select_inside_fold=args.select_inside_fold,
         step=args.step,
         parallelism=args.parallelism,
+        models=[models.logistic(), models.forest(max_depth=args.forest_depth), models.perceptron()],
+        journal=args.journal,
     )
     spark = SparkSession.builder.appName("flowsieve").getOrCreate()
     try:
-        result = run(spark, cfg, args.output)
+        result = run(spark, cfg, args.output, args.run_id)
         print(f"columns: {result.widths}")
         print(f"features: {result.selected}")
     finally:

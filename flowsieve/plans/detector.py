@@ -20,6 +20,7 @@ from flowsieve.functions.network import prefix_flags
 from flowsieve.functions.times import cyclic_time, parse_time, weekend_flag
 from flowsieve.operators import anomaly, profile, report, rows, selection, tuning
 from flowsieve.operators.features import assemble
+from flowsieve.operators.journal import Journal
 from flowsieve.operators.models import ModelSpec, default_models
 from flowsieve.session import materialise, materialised, small_table
 from flowsieve.sources.flows import scan_flows
@@ -34,7 +35,8 @@ class DetectorConfig:
     ``features``: ``eliminate`` runs recursive elimination, ``recorded`` keeps the listed
     survivors, ``all`` keeps everything. ``select_inside_fold`` repeats outlier removal,
     pruning and elimination on each outer training part alone, so that held-out rows
-    influence none of them and are all scored.
+    influence none of them and are all scored. ``journal`` is a folder for the finished fits of this very job, which
+    is resumed from there.
     """
 
     sources: dict[str, str]
@@ -58,6 +60,7 @@ class DetectorConfig:
     models: list[ModelSpec] = field(default_factory=default_models)
     centre: bool = False
     parallelism: int = 4
+    journal: str | None = None
 
 
 ROW_ID = "row_id"
@@ -168,6 +171,7 @@ def _evaluate(folded: DataFrame, cfg: DetectorConfig, width: int, prepare=None)
         parallelism=cfg.parallelism,
         prepare=prepare,
         rank=RANK,
+        journal=Journal(folded.sparkSession, cfg.journal) if cfg.journal else None,
     )
 
 

@@ -326,17 +326,17 @@ ORACLES: dict[str, str] = {
         FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x,
                      generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings)
         GROUP BY dim""",
-    "scale_std": "SELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"{_r(f'{c} / (SELECT stddev_samp({c}) FROM lineitem)')} AS {c}" for c in NUMERICS)
+    "scale_std": "SELECT l_orderkey AS order_id, l_linenumber AS line_id, "
+    + ", ".join(f"{_r(f'{c} / (SELECT stddev_samp({c}) FROM lineitem)')} AS {c}" for c in [*KEYS, *NUMERICS])
     + " FROM lineitem",
-    "scale_centred": "SELECT l_orderkey, l_linenumber, "
+    "scale_centred": "SELECT l_orderkey AS order_id, l_linenumber AS line_id, "
     + ", ".join(
         _r(f"({c} - (SELECT avg({c}) FROM lineitem)) / (SELECT stddev_pop({c}) FROM lineitem)") + f" AS {c}"
-        for c in NUMERICS
+        for c in [*KEYS, *NUMERICS]
     )
     + " FROM lineitem",
-    "scale_vector": "SELECT l_orderkey, l_linenumber, "
-    + ", ".join(f"{_r(f'{c} / (SELECT stddev_samp({c}) FROM lineitem)')} AS {c}" for c in NUMERICS)
+    "scale_vector": "SELECT l_orderkey AS order_id, l_linenumber AS line_id, "
+    + ", ".join(f"{_r(f'{c} / (SELECT stddev_samp({c}) FROM lineitem)')} AS {c}" for c in [*KEYS, *NUMERICS])
     + " FROM lineitem",
     "tree_importance": _importance(),
     "rfecv_curve": _curve(),

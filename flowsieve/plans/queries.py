@@ -226,18 +226,22 @@ def _rounded(df, columns):
     return df.select(*[r6(c).alias(c) if c in columns else c for c in df.columns])
 
 
+ROW = ["l_orderkey as order_id", "l_linenumber as line_id"]
+SCALED = [*KEYS, *NUMERICS]
+
+
 def scale_std(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *NUMERICS)
-    return _rounded(features.scale_std(li, NUMERICS), NUMERICS)
+    li = table(spark, d, "lineitem").selectExpr(*ROW, *SCALED)
+    return _rounded(features.scale_std(li, SCALED), SCALED)
 
 
 def _scaled_by_detector(spark, d, *, centre: bool) -> DataFrame:
     """Numeric columns through the vector and the scaler that the detector uses."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *NUMERICS)
-    vectors = features.assemble(li, NUMERICS)
+    li = table(spark, d, "lineitem").selectExpr(*ROW, *[f"double({c}) as {c}" for c in SCALED])
+    vectors = features.assemble(li, SCALED)
     scaled = features.fit_scaler(vectors, vectors.count(), centre=centre)(vectors)
     values = scaled.withColumn("_v", vector_to_array("scaled_features"))
-    return values.select("l_orderkey", "l_linenumber", *[r6(F.col("_v")[i]).alias(c) for i, c in enumerate(NUMERICS)])
+    return values.select("order_id", "line_id", *[r6(F.col("_v")[i]).alias(c) for i, c in enumerate(SCALED)])
 
 
 def scale_centred(spark, d):
