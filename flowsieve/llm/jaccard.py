@@ -98,6 +98,13 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``root`` of every index once the pairs are joined as well."""
+    i, j = root[i], root[j]
+    open_ = i != j
+    return _roots(len(root), i[open_], j[open_])[root] if open_.any() else root
+
+
 def _pairs(side: np.ndarray, own: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs of a unit in bounded pieces: all of one block, or those across two."""
     if own:
@@ -150,14 +157,12 @@ def _candidates(threshold: float):
             sid, sig = unit["sid"].to_numpy(), _bytes(unit["sig"])
             side = unit["side"].to_numpy()
             own = bool((unit["x"].iat[0] == unit["y"].iat[0]))
-            i, j = [], []
+            root = np.arange(len(sid))
             for p, q in _pairs(side, own):
+                apart = root[p] != root[q]  # what is joined already needs no further edge
+                p, q = p[apart], q[apart]
                 alive = surviving(sig, sig, p, q, steps)
-                i.append(p[alive])
-                j.append(q[alive])
-            if not i or not sum(map(len, i)):
-                continue
-            root = _roots(len(sid), np.concatenate(i), np.concatenate(j))
+                root = _joined(root, p[alive], q[alive])
             for k in np.flatnonzero(root != np.arange(len(sid))):
                 a.append(sid[k])
                 b.append(sid[root[k]])
@@ -180,20 +185,21 @@ def _verified(threshold: float):
             size = np.array([len(x) for x in sets])
             copies = unit["copies"].to_numpy()
             links = np.zeros(len(sid), np.int64)
-            i, j = [], []
+            root = np.arange(len(sid))
             own = bool(unit["x"].iat[0] == unit["y"].iat[0])
             for p, q in _pairs(unit["side"].to_numpy(), own):
                 even = np.minimum(size[p], size[q]) >= threshold * np.maximum(size[p], size[q])
                 p, q = p[even], q[even]
                 alive = surviving(sig, sig, p, q, steps)
+                linked = []
                 for k, m in zip(p[alive].tolist(), q[alive].tolist()):
                     both = _shared(sets[k], sets[m])
                     if both >= threshold * (size[k] + size[m] - both):
                         links[k] += copies[m]
                         links[m] += copies[k]
-                        i.append(k)
-                        j.append(m)
-            root = _roots(len(sid), np.array(i, np.int64), np.array(j, np.int64))
+                        linked.append((k, m))
+                if linked:
+                    root = _joined(root, *np.array(linked, np.int64).T)
             for k in np.flatnonzero(links):
                 rows.append((sid[k], links[k], sid[root[k]]))
             if len(rows) > 5000:
