@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from flowsieve.session import materialise
 
+#: Edges of a written file at least; later rounds have fewer and fewer.
+FILE_ROWS = 5_000
+
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
     """Hang the neighbours of every node on the smallest of them and the node itself.
@@ -29,7 +32,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node but the roots.
 
     ``edges`` has two columns of one type; order and repeats do not matter. Every round is written
-    to the checkpoint folder, so lost executors cost one round at most.
+    to the checkpoint folder, so lost executors cost one round at most. A round has no more files than the edges
+    before it are worth.
     """
     a, b = edges.columns
     found = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
@@ -39,5 +43,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if state == seen:
             return found.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = state
-        found = materialise(_star(_star(found, small=False), small=True), "edges")
+        stars = _star(_star(found, small=False), small=True)
+        found = materialise(stars.coalesce(state[0] // FILE_ROWS + 1), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
