@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowsieve.llm import decontam, jaccard, lines, mixing, quality
 from flowsieve.llm.common import NOT_BREAK, set_aside, table, where_late
-from flowsieve.session import materialise
+from flowsieve.session import let_go, materialise
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,12 +43,23 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return where_late(mixing.mix(docs), F.col("taken") > 0)
 
 
+def _after_others(stage):
+    """``stage``, begun when what earlier ones hold is let go."""
+
+    @wraps(stage)
+    def begun(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        let_go(spark)
+        return stage(spark, docs, sf_dir)
+
+    return begun
+
+
 STAGES = [
-    ("quality rules", quality_stage),
-    ("line dedup", line_stage),
-    ("near copies", near_copy_stage),
-    ("benchmark decontamination", benchmark_stage),
-    ("mixing", mixing_stage),
+    ("quality rules", _after_others(quality_stage)),
+    ("line dedup", _after_others(line_stage)),
+    ("near copies", _after_others(near_copy_stage)),
+    ("benchmark decontamination", _after_others(benchmark_stage)),
+    ("mixing", _after_others(mixing_stage)),
 ]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -105,6 +106,16 @@ def scratch_folder(spark: SparkSession, name: str):
         _delete(spark, path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark free the shuffles and broadcasts of queries that are over.
+
+    It does so once their plans are collected, which on a driver with heap to spare is long after; a chain of many
+    queries would keep all of them until then.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def drop_tables(spark: SparkSession) -> None:
     """Delete what this application has materialised; call it when no result needs it."""
     _delete(spark, _table_folder(spark))
