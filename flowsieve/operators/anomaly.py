@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from hashlib import md5
 from functools import reduce
@@ -139,31 +139,53 @@ class Forest:
         return self.depth.take(at).sum(axis=1)
 
 
+def _tree_numbers(seed: int, trees: int) -> np.ndarray:
+    """Multiple and addend of the high and of the low half of a row's number, per tree."""
+    return np.array([[int(choice(seed, "tree", t)[k : k + 7], 16) + 1 for k in (0, 7, 14, 21)] for t in range(trees)], dtype=np.int64)
+
+
+def taking_part(a: np.ndarray, b: np.ndarray, numbers: np.ndarray, bound: int):
+    """Row, tree and number of every number below ``bound``. Most are ruled out by their high half alone."""
+    at, tree, number = [], [], []
+    for start in range(0, len(a), SCORE_ROWS):
+        high = (a[start : start + SCORE_ROWS, None] * numbers[:, 0] + numbers[:, 1]) % PRIME
+        i, t = np.nonzero(high <= bound >> PRIME_BITS)
+        low = (b[start + i] * numbers[t, 2] + numbers[t, 3]) % PRIME
+        u = (high[i, t] << PRIME_BITS) + low
+        inside = u < bound
+        at.append(start + i[inside])
+        tree.append(t[inside])
+        number.append(u[inside])
+    empty = np.empty(0, dtype=np.int64)
+    return tuple(np.concatenate([empty, *found]) for found in (at, tree, number))
+
+
 def _draw(df: DataFrame, columns: list[str], key: list[str], rows: int, trees: int, sample: int, seed: int):
     """``sample`` rows per tree without replacement, as (tree, place, columns).
 
     A row has one digest, of its key; a tree maps it, by multiples and remainders of its own, to 62 bits. A row takes
-    part in a tree if its number there is below twice the share wanted, which is decided in the scan; of these, the
-    smallest make the sample. About 2 x trees x sample rows leave the scan, and a task passes on at
-    most ``sample`` rows per tree. Rows of equal key go by their values. It is the same rule for a table of any size.
+    part in a tree if its number there is below twice the share wanted, which is decided in the scan, by NumPy over
+    rows x trees; of these, the smallest make the sample. About 2 x trees x sample rows leave the scan, and a task passes
+    on at most ``sample`` rows per tree. Rows of equal key go by their values. It is the same rule for a table of any size.
     """
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]
-    # nothing of the table but the struct goes on, so its names cannot clash with these
-    drawn = df.select(F.md5(F.concat_ws("~", F.lit(f"{seed}~draw"), *parts)).alias("h"), F.struct(*[F.col(c).cast("double").alias(c) for c in columns]).alias("x"))
-    digits = lambda at: F.conv(F.substring("h", at, 14), 16, 10).cast("bigint") % PRIME
-    drawn = drawn.select(digits(1).alias("a"), digits(15).alias("b"), "x")
-    numbers = [[int(choice(seed, "tree", t)[k : k + 7], 16) + 1 for k in (0, 7, 14, 21)] for t in range(trees)]
-    of_tree = F.array(*[F.array(*[F.lit(n) for n in four]) for four in numbers])
-
-    def number(t: Column) -> Column:
-        n = F.get(of_tree, t)
-        high = (F.col("a") * F.get(n, F.lit(0)) + F.get(n, F.lit(1))) % PRIME
-        low = (F.col("b") * F.get(n, F.lit(2)) + F.get(n, F.lit(3))) % PRIME
-        return F.shiftleft(high.cast("bigint"), PRIME_BITS) + low
-
+    # columns of the table go by their places, so their names cannot clash with these
+    places = [f"x{i}" for i in range(len(columns))]
+    values = [F.col(c).cast("double").alias(x) for c, x in zip(columns, places)]
+    drawn = df.select(F.md5(F.concat_ws("~", F.lit(f"{seed}~draw"), *parts)).alias("h"), *values)
+    digits = lambda at: (F.conv(F.substring("h", at, 14), 16, 10).cast("bigint") % PRIME)
+    drawn = drawn.select(digits(1).alias("a"), digits(15).alias("b"), *places)
+    numbers = _tree_numbers(seed, trees)
     bound = min(int(2.0 * sample / rows * 2.0 ** (2 * PRIME_BITS)), 1 << (2 * PRIME_BITS))
-    drawn = drawn.withColumn("u", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), number))
-    drawn = drawn.select("x", F.posexplode("u").alias("tree", "u")).where(F.col("u") < bound)
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at, tree, u = taking_part(pdf["a"].to_numpy(), pdf["b"].to_numpy(), numbers, bound)
+            yield pdf[places].iloc[at].assign(tree=tree, u=u)
+
+    schema = ", ".join([*[f"{x} double" for x in places], "tree int", "u bigint"])
+    x = F.struct(*[F.col(x).alias(c) for c, x in zip(columns, places)])
+    drawn = drawn.mapInPandas(numbered, schema).select("tree", "u", x.alias("x"))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("u", "x"))
     return drawn.withColumn("place", place).where(F.col("place") <= sample).select("tree", "place", "x.*")
 

@@ -57,6 +57,26 @@ def test_sample_has_exact_size_without_repeats(spark):
     assert {(r.tree, r.n, r.d) for r in counts.collect()} == {(t, 256, 256) for t in range(20)}
 
 
+@pytest.mark.parametrize("bound", [1 << 40, 1 << 57, 1 << 62])
+def test_numbers_below_the_bound_equal_a_plain_walk(bound):
+    prime, numbers = anomaly.PRIME, anomaly._tree_numbers(1, 7)
+    a, b = (np.array([(k * (i + 12345) ** 3) % prime for i in range(3000)], dtype=np.int64) for k in (911, 1013))
+    expected = []
+    for i in range(len(a)):
+        for t, (m, n, o, p) in enumerate(numbers.tolist()):
+            u = (((int(a[i]) * m + n) % prime) << anomaly.PRIME_BITS) + (int(b[i]) * o + p) % prime
+            if u < bound:
+                expected.append((i, t, u))
+    assert list(zip(*(found.tolist() for found in anomaly.taking_part(a, b, numbers, bound)))) == expected
+
+
+def test_a_row_is_digested_once_for_all_trees(spark):
+    """Within a function over the trees Spark worked the digest out again for each tree."""
+    drawn = anomaly._draw(points(spark, 100).select("id", *"abcde"), list("abcde"), ["id"], 100, 20, 16, 1)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1 and "lambda" not in plan
+
+
 def test_forest_does_not_depend_on_partitioning(spark):
     one, many = fitted(points(spark, partitions=1)), fitted(points(spark, partitions=8))
     for name in GROUPS:
