@@ -1,0 +1,97 @@
+import time
+
+import numpy as np
+import pytest
+from pyspark.errors import PythonException
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from flowsieve import session
+from flowsieve.operators import models, perceptron, tuning
+
+LAYERS = [3, 5, 4, 2]
+SIZE = sum((a + 1) * b for a, b in zip(LAYERS, LAYERS[1:]))
+
+
+def rows(spark, n=3000, partitions=3):
+    part = lambda i: (F.xxhash64("id", F.lit(i)) % 1000) / 500.0
+    df = spark.range(n, numPartitions=partitions).select("id", part(0).alias("a"), part(1).alias("b"), part(2).alias("c"))
+    label = (F.col("a") + F.col("b") * F.col("b") > 0.8).cast("int").alias("label")
+    return df.select("id", label, array_to_vector(F.array("a", "b", "c")).alias("scaled_features"))
+
+
+def built(kind, **options):
+    columns = {"featuresCol": "scaled_features", "labelCol": "label", "layers": LAYERS, "seed": 1}
+    return kind(**columns, **options)
+
+
+def test_gradient_equals_differences():
+    some = np.random.default_rng(0)
+    weights, x, label = some.normal(size=SIZE), some.normal(size=(40, 3)), some.integers(0, 2, 40)
+    _, gradient = perceptron.loss_and_gradient(weights, LAYERS, x, label)
+    for i in range(SIZE):
+        nudge = np.zeros(SIZE)
+        nudge[i] = 1e-5
+        high, low = (perceptron.loss_and_gradient(weights + s * nudge, LAYERS, x, label)[0] for s in (1, -1))
+        assert abs((high - low) / 2e-5 - gradient[i]) < 1e-5
+
+
+def test_minimum_of_a_bent_valley():
+    def valley(p):
+        x, y = p
+        return (1 - x) ** 2 + 100 * (y - x * x) ** 2, np.array([-2 * (1 - x) - 400 * x * (y - x * x), 200 * (y - x * x)])
+
+    found, losses = perceptron.minimise(valley, np.array([-1.2, 1.0]), max_iter=200, tol=1e-12)
+    assert np.allclose(found, 1.0, atol=1e-4) and all(b <= a for a, b in zip(losses, losses[1:]))
+    assert len(perceptron.minimise(valley, np.array([-1.2, 1.0]), max_iter=5, tol=0.0)[1]) == 6
+    assert len(perceptron.minimise(valley, np.array([1.0, 1.0]), max_iter=5, tol=0.0)[1]) == 1
+
+
+def test_loss_and_start_are_sparks(spark):
+    """Weights mean the same to both: Spark's model predicts as the loss has it, and the start is Spark's."""
+    df = rows(spark).cache()
+    plain = built(MultilayerPerceptronClassifier, maxIter=0).fit(df)
+    ours = built(perceptron.BlockPerceptron, maxIter=0).fit(df)
+    assert np.array_equal(plain.weights.toArray(), ours.weights.toArray())
+    table = df.toPandas()
+    x, label = np.stack([v.toArray() for v in table["scaled_features"]]), table["label"].to_numpy()
+    loss, _ = perceptron.loss_and_gradient(ours.weights.toArray(), LAYERS, x, label)
+    scored = ours.transform(df).select("label", "probability").collect()
+    assert abs(loss + sum(np.log(r.probability[r.label]) for r in scored)) < 1e-6
+
+
+@pytest.mark.parametrize("partitions", [1, 40])
+def test_fit_is_as_good_as_sparks(spark, partitions):
+    """A tree of sums for many partitions, one sum for few; all rows count, whatever the partitions."""
+    df = rows(spark, partitions=partitions).cache()
+    share = lambda m: m.transform(df).where("prediction = label").count() / df.count()
+    plain = built(MultilayerPerceptronClassifier, maxIter=60, tol=1e-4).fit(df)
+    ours = built(perceptron.BlockPerceptron, maxIter=60, tol=1e-4).fit(df)
+    assert share(ours) >= share(plain) - 0.01 and share(ours) > 0.97
+    blocks = built(perceptron.BlockPerceptron)._blocks(df).collect()
+    assert sum(len(np.frombuffer(b)) for b in blocks) == 3000 * 4
+
+
+def test_threads_ship_the_package_once(spark, monkeypatch):
+    """Fits on several threads each asked for it, and Spark refuses a second file of the same name."""
+    sent = []
+    monkeypatch.setattr(session, "_SHIPPED", set())
+    monkeypatch.setattr(type(spark.sparkContext), "addPyFile", lambda self, path: time.sleep(0.2) or sent.append(path))
+    tuning.run_all(spark, [lambda: session.ship_package(spark)] * 4, 4)
+    assert len(sent) == 1
+
+
+def test_search_fits_on_blocks():
+    assert type(models.perceptron().build({"hidden_layer_sizes": (5,)}, 3, 10)) is perceptron.BlockPerceptron
+
+
+@pytest.mark.parametrize("bad", ["nan", "label", "width"])
+def test_unusable_rows_are_refused(spark, bad):
+    spoilt = {
+        "nan": rows(spark, 50).withColumn("scaled_features", array_to_vector(F.array(F.lit(1.0), F.lit(float("nan")), F.lit(0.0)))),
+        "label": rows(spark, 50).withColumn("label", F.lit(2)),
+        "width": rows(spark, 50).withColumn("scaled_features", array_to_vector(F.array(F.lit(1.0), F.lit(0.0)))),
+    }
+    with pytest.raises(PythonException, match="labels are" if bad == "label" else "features are"):
+        built(perceptron.BlockPerceptron, maxIter=2).fit(spoilt[bad])
