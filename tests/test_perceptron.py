@@ -37,6 +37,38 @@ def test_gradient_equals_differences():
         assert abs((high - low) / 2e-5 - gradient[i]) < 1e-5
 
 
+def test_single_precision_between_layers():
+    """Rows far from 0 and close together: the gradient is that of doubles, and the layers within are single."""
+    some = np.random.default_rng(3)
+    weights, label = some.normal(size=SIZE), some.integers(0, 2, 4000)
+    x = 10_000.0 + some.normal(size=(4000, 3))
+    weights[15:20] -= 10_000.0 * weights[:15].reshape(3, 5).sum(axis=0)  # offsets that bring them back
+    loss, gradient = perceptron.loss_and_gradient(weights, LAYERS, x, label)
+    near, close = perceptron.loss_and_gradient(weights, LAYERS, x, label, np.float32)
+    assert loss != near and abs(loss - near) < 1e-6 * loss
+    assert np.linalg.norm(gradient - close) < 1e-4 * np.linalg.norm(gradient) and close.dtype == np.float64
+
+
+@pytest.mark.parametrize("tol, kind", [(1e-4, np.float32), (1e-6, np.float64)])
+def test_fine_tolerances_stay_in_doubles(spark, monkeypatch, tol, kind):
+    used, plain = [], perceptron.loss_and_gradient
+    fit = built(perceptron.BlockPerceptron, tol=tol)
+    blocks = fit._blocks(rows(spark, 100)).collect()
+
+    class Here:
+        def getNumPartitions(self):
+            return 1
+
+        def treeAggregate(self, zero, add, both, depth):
+            for block in blocks:
+                zero = add(zero, block)
+            return zero
+
+    monkeypatch.setattr(perceptron, "loss_and_gradient", lambda *a: used.append(a[4]) or plain(*a))
+    fit._objective(Here())(np.zeros(SIZE))
+    assert set(used) == {kind}
+
+
 def test_minimum_of_a_bent_valley():
     def valley(p):
         x, y = p
