@@ -105,6 +105,16 @@ def test_fit_is_as_good_as_sparks(spark, partitions):
     assert sum(len(np.frombuffer(b)) for b in blocks) == 3000 * 4
 
 
+def test_a_pass_starts_no_more_tasks_than_its_rows_are_worth(spark, monkeypatch):
+    """Few rows are one task's, many are spread over all cores, and no row is lost."""
+    found = []
+    for rows_each in (1 << 17, 1000, 10):
+        monkeypatch.setattr(perceptron, "TASK_ROWS", rows_each)
+        blocks = built(perceptron.BlockPerceptron)._blocks(rows(spark, partitions=5))
+        found.append((blocks.getNumPartitions(), sum(len(np.frombuffer(b)) for b in blocks.collect())))
+    assert found == [(1, 12_000), (3, 12_000), (8, 12_000)]
+
+
 def test_threads_ship_the_package_once(spark, monkeypatch):
     """Fits on several threads each asked for it, and Spark refuses a second file of the same name."""
     sent = []
