@@ -2,6 +2,7 @@ import time
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.errors import PythonException
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.functions import array_to_vector
@@ -128,6 +129,48 @@ def test_search_fits_on_blocks():
     assert type(models.perceptron().build({"hidden_layer_sizes": (5,)}, 3, 10)) is perceptron.BlockPerceptron
 
 
+def test_side_by_side_as_alone(spark):
+    """Perceptrons of several shapes and tables answer like each by itself, also where one is done long before others."""
+    tables = [rows(spark, 3000).cache(), rows(spark, 1700, partitions=1).where("id % 3 > 0").cache()]
+    shapes = [([3, 5, 4, 2], 12), ([3, 7, 2], 2), ([3, 2], 6)]
+    made = lambda layers, n: built(perceptron.BlockPerceptron, maxIter=n, tol=1e-6).setLayers(layers)
+    fits = [(made(*shape), df) for df in tables for shape in shapes]
+    models, seconds = perceptron.fit_side_by_side(fits)
+    assert len(models) == len(seconds) == 6 and min(seconds) > 0
+    for model, (net, df) in zip(models, fits):
+        assert model.getLayers() == net.getLayers()
+        assert np.allclose(model.weights.toArray(), net.fit(df).weights.toArray(), rtol=1e-6, atol=1e-8)
+    with pytest.raises(ValueError, match="no rows"):
+        perceptron.fit_side_by_side([*fits[:1], (made(*shapes[0]), rows(spark, 10).where("id < 0"))])
+
+
+def test_a_search_passes_once_for_all_perceptrons(spark, monkeypatch):
+    """The jobs of a search are those of its longest fit, not the sum of all."""
+    passes, plain = [], RDD.treeAggregate
+    monkeypatch.setattr(RDD, "treeAggregate", lambda self, *a: passes.append(1) or plain(self, *a))
+    folded = rows(spark, 1200).withColumnRenamed("scaled_features", "features").withColumn("fold", (F.col("id") % 3).cast("int"))
+    specs = [models.perceptron([(5,), (4, 3)], max_iter=6)]
+    found = tuning.grid_search(folded, specs, width=3, fold="fold", k=3, parallelism=2)[0]
+    assert 7 <= len(passes) < 6 * 7
+    alone = models.perceptron([(5,), (4, 3)], max_iter=6)
+    for f in range(3):
+        parts = tuning.make_parts(folded.where(F.col("fold") != f), folded.where(F.col("fold") == f), [alone])
+        for scores, seconds, params in zip(found.scores, found.seconds, alone.candidates):
+            assert seconds[f] > 0
+            assert scores[f] == pytest.approx(tuning.accuracy(tuning.fit_predict(parts, alone, params, width=3)[0]))
+
+
+def test_tables_of_a_pass_share_the_cores(spark, monkeypatch):
+    """Two tasks for each core over all tables, more where partitions would be too large, and no row is lost."""
+    monkeypatch.setattr(perceptron, "TASK_ROWS", 10)
+    found = []
+    for most in (1 << 20, 300):
+        monkeypatch.setattr(perceptron, "PART_ROWS", most)
+        blocks = built(perceptron.BlockPerceptron)._blocks(rows(spark, partitions=5), 3, 4)
+        found.append((blocks.getNumPartitions(), sum(len(np.frombuffer(b)) for b in blocks.collect())))
+    assert found == [(4, 12_000), (10, 12_000)]
+
+
 @pytest.mark.parametrize("bad", ["nan", "label", "width"])
 def test_unusable_rows_are_refused(spark, bad):
     spoilt = {
